@@ -8,6 +8,7 @@ from . import common
 
 #: query name: (module, function of documents or pages, table)
 _QUERIES = {
+    "op5_quality_divergence": ("quality", "report", "documents"),
     "op6_simhash_near_dedup": ("simhash", "report", "documents"),
     "op8_mix_sources": ("mixing", "report", "documents"),
     "op10_exact_dedup": ("exact_dedup", "report", "documents"),
