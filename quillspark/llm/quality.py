@@ -192,7 +192,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def judge(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", refs: list | None = None) -> DataFrame:
     """``carry`` columns of ``docs`` and the columns of :data:`SCHEMA`, in one pass after the references."""
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias(P + "text"))
+    at = carry.index(text_col) if text_col in carry else len(carry)
+    rows = docs.select(*carry, *([text_col] if at == len(carry) else []))
     shared = docs.sparkSession.sparkContext.broadcast(refs)  # at most MOST_LANGS x COMMON words
     names = SCHEMA.replace(",", "").split()[::2]
 
@@ -200,7 +201,7 @@ def judge(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: s
         refs = shared.value
         for b in batches:
             found = []
-            for text in common.text_bytes(b.column(len(carry))):
+            for text in common.text_bytes(b.column(at)):
                 w = text.split()
                 n = base(text, w)
                 bad = failed(n[0], n[4])
@@ -211,7 +212,7 @@ def judge(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: s
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], *[pa.array(c, t) for c, t in zip(cols, types)]], [*b.schema.names[: len(carry)], *names])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(carry)])
     return rows.mapInArrow(run, f"{head}, {SCHEMA}")
 
 

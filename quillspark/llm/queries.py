@@ -10,6 +10,7 @@ from . import common
 _QUERIES = {
     "op5_quality_divergence": ("quality", "report", "documents"),
     "op6_simhash_near_dedup": ("simhash", "report", "documents"),
+    "op7_best_fit_packing": ("packing", "report", "documents"),
     "op8_mix_sources": ("mixing", "report", "documents"),
     "op10_exact_dedup": ("exact_dedup", "report", "documents"),
 }
@@ -29,7 +30,8 @@ def oracle_sql() -> dict[str, str]:
 
     ws = common.WS
     return {
-        "op8_mix_sources": mixing.ORACLE,
+        "op7_best_fit_packing": ("packing", "report", "documents"),
+    "op8_mix_sources": mixing.ORACLE,
         "op10_exact_dedup": rf"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{ws}', '', 'g')) AS h FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
