@@ -40,6 +40,11 @@ def _tidy() -> None:
         _delete(*_made.pop())
 
 
+def remember(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` when this process ends."""
+    _made.append((spark, path))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and reread it: cuts lineage, survives lost executors.
 

@@ -8,6 +8,8 @@ from . import common
 
 #: query name: (module, function of documents or pages, table)
 _QUERIES = {
+    "op2_language_id": ("langid", "report", "documents"),
+    "op3_huffman_ids": ("huffman", "report", "documents"),
     "op5_quality_divergence": ("quality", "report", "documents"),
     "op6_simhash_near_dedup": ("simhash", "report", "documents"),
     "op7_best_fit_packing": ("packing", "report", "documents"),
