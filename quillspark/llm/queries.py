@@ -10,6 +10,7 @@ from . import common
 _QUERIES = {
     "op2_language_id": ("langid", "report", "documents"),
     "op3_huffman_ids": ("huffman", "report", "documents"),
+    "op4_class_lm": ("classlm", "report", "documents"),
     "op5_quality_divergence": ("quality", "report", "documents"),
     "op6_simhash_near_dedup": ("simhash", "report", "documents"),
     "op7_best_fit_packing": ("packing", "report", "documents"),
