@@ -8,6 +8,7 @@ from . import common
 
 #: query name: (module, function of documents or pages, table)
 _QUERIES = {
+    "op1_substring_dedup": ("substring_dedup", "report", "documents"),
     "op2_language_id": ("langid", "report", "documents"),
     "op3_huffman_ids": ("huffman", "report", "documents"),
     "op4_class_lm": ("classlm", "report", "documents"),
