@@ -16,6 +16,7 @@ _QUERIES = {
     "op6_simhash_near_dedup": ("simhash", "report", "documents"),
     "op7_best_fit_packing": ("packing", "report", "documents"),
     "op8_mix_sources": ("mixing", "report", "documents"),
+    "op9_html_crf": ("htmlcrf", "report", "pages"),
     "op10_exact_dedup": ("exact_dedup", "report", "documents"),
 }
 
