@@ -148,7 +148,7 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed:
             pair[a] -= r
             pair[:, a] -= c
             pair[a, a] -= own
-            rows, cols, fp = pair.sum(1), pair.sum(0), f(pair)
+            rows, cols, fp = pair.sum(1) + c, pair.sum(0) + r, f(pair)  # the other classes' sums hold w wherever it goes
             more = f(pair + r).sum(1) + f(pair + c[:, None]).sum(0) - fp.sum(1) - fp.sum(0)
             k = np.arange(classes)
             d = pair[k, k]
@@ -180,6 +180,8 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = word_counts(train)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head, least = head_of(counts, HEAD)
+    if end := counts.filter(F.col("word") == F.lit(END)).first():
+        head[END] = end["n"]  # known to every task, however rare
     top = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:UNITS]
     unit_of = {w: i for i, w in enumerate(top)} | {END: UNITS}
     size = UNITS + 1 + ENDINGS
