@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
+_MODULES = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.oracle_sql().items()}
