@@ -96,16 +96,17 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 10_000) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, most: int = 10_000) -> DataFrame:
     """Inner join of ``rows`` with one row a group on ``key``, safe for a group that holds most rows.
 
     Groups of over ``total / most`` rows can't be more than ``most``: these few are broadcast (a proven bound), so
     their rows never shuffle. The other groups have at most ``total / most`` rows each and join by a shuffle."""
+    keys = [key] if isinstance(key, str) else key
     hot = groups.filter(F.col(size) > max(1000, total // most))
     cold = groups.filter(F.col(size) <= max(1000, total // most))
-    tagged = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    heavy = tagged.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
-    light = tagged.filter("_hot is null").drop("_hot").join(cold, key)
+    tagged = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    heavy = tagged.filter("_hot").drop("_hot").join(F.broadcast(hot), keys)
+    light = tagged.filter("_hot is null").drop("_hot").join(cold, keys)
     return heavy.unionByName(light)
 
 

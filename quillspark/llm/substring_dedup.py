@@ -200,8 +200,9 @@ def digest(words: list[bytes]) -> bytes:
 
 def verified(docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
     """``found`` plus ``want``, the digest of the source's words at the source coordinates."""
-    ask = found.select("source", "source_tag", "source_start", "n").distinct()
-    ask = ask.groupBy(F.col("source").alias("doc"), F.col("source_tag").alias("tag")).agg(F.collect_list(F.struct(F.col("source_start").alias("s"), "n")).alias("asked"))  # slices of one document
+    at = ["source", "source_tag", "source_start", "n"]
+    ask = found.groupBy(*at).agg(F.count("*").alias("times"))  # a passage that very many documents have is one row
+    ask = ask.groupBy(F.col("source").alias("doc"), F.col("source_tag").alias("tag")).agg(F.collect_list(F.struct(F.col("source_start").alias("s"), "n", "times")).alias("asked"))  # slices of one document
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text")).filter("text is not null")
     rows = rows.withColumn("tag", F.shiftright(F.crc32(F.col("text").cast("binary")), 1))
 
@@ -210,12 +211,13 @@ def verified(docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
             out = []
             for doc, tg, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.text_bytes(b.column(2)), b.column(3).to_pylist()):
                 w = text.split()
-                out += [(doc, tg, x["s"], x["n"], digest(w[x["s"] : x["s"] + x["n"] + k - 1])) for x in asked]
-            types = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["source", "source_tag", "source_start", "n", "want"])
+                out += [(doc, tg, x["s"], x["n"], x["times"], digest(w[x["s"] : x["s"] + x["n"] + k - 1])) for x in asked]
+            types = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [*at, "times", "want"])
 
-    told = common.materialize(rows.join(ask, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(run, "source long, source_tag long, source_start long, n long, want binary"))
-    return found.join(told.dropDuplicates(["source", "source_tag", "source_start", "n"]), ["source", "source_tag", "source_start", "n"])
+    told = rows.join(ask, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(run, "source long, source_tag long, source_start long, n long, times long, want binary")
+    told = common.materialize(told.dropDuplicates(at))
+    return common.attach(found, told, at, "times", found.count())
 
 
 def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
