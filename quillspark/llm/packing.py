@@ -55,107 +55,101 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, ids: bo
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
-class Bins:
-    """Open bins by their free room; the best fit is one bit search."""
+Packing = list[list]  # of bins: [filled, piece, piece, ...]
 
-    def __init__(self, size: int):
-        self.size, self.mask, self.by = size, 0, [[] for _ in range(size + 1)]
 
-    def add(self, b: int, free: int) -> None:
-        self.by[free].append(b)
-        self.mask |= 1 << free
-
-    def best(self, need: int) -> int | None:
-        m = self.mask >> need
-        if not m:
-            return None
-        free = need + (m & -m).bit_length() - 1
-        b = self.by[free].pop()
-        if not self.by[free]:
-            self.mask &= ~(1 << free)
-        return b
-
-
-def best_fit(lengths: list[int], order: list[int], size: int, bins: list[list[int]] | None = None) -> list[list[int]]:
+def best_fit(lengths: list[int], order: list[int], size: int, bins: Packing | None = None) -> Packing:
     """Put the pieces of ``order`` into ``bins``, each where the least room stays."""
     bins = [] if bins is None else bins
-    room = [size - sum(lengths[i] for i in b) for b in bins]
-    open_ = Bins(size)
-    for b, free in enumerate(room):
-        open_.add(b, free)
+    by: list[list[int]] = [[] for _ in range(size + 1)]
+    mask = 0  # of the rooms that some bin has; the best fit is one bit search
+    for b, members in enumerate(bins):
+        free = size - members[0]
+        by[free].append(b)
+        mask |= 1 << free
     for i in order:
-        b = open_.best(lengths[i])
-        if b is None:
-            b = len(bins)
-            bins.append([])
-            room.append(size)
-        bins[b].append(i)
-        room[b] -= lengths[i]
-        open_.add(b, room[b])
+        need = lengths[i]
+        m = mask >> need
+        if m:
+            free = need + (m & -m).bit_length() - 1
+            b = by[free].pop()
+            if not by[free]:
+                mask ^= 1 << free
+            members = bins[b]
+            members[0] += need
+            members.append(i)
+        else:
+            free, b = size, len(bins)
+            bins.append([need, i])
+        free -= need
+        by[free].append(b)
+        mask |= 1 << free
     return bins
 
 
-def fitness(lengths: list[int], bins: list[list[int]], size: int) -> tuple[int, float]:
-    """Fewer bins first, then unevenly filled ones (Falkenauer): less is better."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / size) ** 2 for b in bins)
+def fitness(bins: Packing, size: int) -> tuple[int, int]:
+    """Fewer bins first, then unevenly filled ones (Falkenauer's squares): less is better."""
+    return len(bins), -sum(b[0] * b[0] for b in bins)
 
 
-def cross(a: list[list[int]], b: list[list[int]], lengths: list[int], size: int, rng: random.Random) -> list[list[int]]:
+def cross(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
     """Child of b with well-filled bins of a."""
-    good = [x for x in a if sum(lengths[i] for i in x) >= size * FULL]
-    if not good:
-        good = [max(a, key=lambda x: sum(lengths[i] for i in x))]
+    good = [x for x in a if x[0] >= size * FULL] or [max(a, key=lambda x: x[0])]
     lo = rng.randrange(len(good))
     take = (good + good)[lo : lo + max(1, rng.randrange(len(good) // 2 + 1))]
-    inside = {i for x in take for i in x}
+    inside = {i for x in take for i in x[1:]}
     child, displaced = [list(x) for x in take], []
-    worst = min(b, key=lambda x: sum(lengths[i] for i in x))
+    worst = min(b, key=lambda x: x[0])
     for x in b:
-        if x is worst or not inside.isdisjoint(x):  # mutation: the emptiest bin is dissolved as well
-            displaced += [i for i in x if i not in inside]
+        if x is worst or not inside.isdisjoint(x[1:]):  # mutation: the emptiest bin is dissolved as well
+            displaced += [i for i in x[1:] if i not in inside]
         else:
             child.append(list(x))
-    displaced.sort(key=lambda i: -lengths[i])
+    displaced.sort(key=lengths.__getitem__, reverse=True)
     return best_fit(lengths, displaced, size, child)
 
 
-def evolve(lengths: list[int], population: list, size: int, seed: int, generations: int = GENERATIONS) -> list[list[int]]:
+def evolve(lengths: list[int], population: list[Packing], size: int, seed: int, generations: int = GENERATIONS) -> Packing:
     """The best packing found; ``population`` may be empty. It stops at the bound ceil(sum / size)."""
     rng, n = random.Random(seed), len(lengths)
     least = -(-sum(lengths) // size)
-    down = sorted(range(n), key=lambda i: -lengths[i])
-    people = [(fitness(lengths, p, size), p) for p in population]
-    while len(people) < POPULATION:
-        noise = 0 if not people else rng.choice((8, 32, 128))
-        order = down if not people else sorted(range(n), key=lambda i: -lengths[i] + (rng.random() - 0.5) * noise)
+    down = sorted(range(n), key=lengths.__getitem__, reverse=True)
+    people = [(fitness(p, size), p) for p in population]
+    while len(people) < POPULATION and min((x[0][0] for x in people), default=n + 1) > least:
+        order = down
+        if people:
+            noise = rng.choice((8, 32, 128))
+            keys = [x + (rng.random() - 0.5) * noise for x in lengths]
+            order = sorted(range(n), key=keys.__getitem__, reverse=True)
         p = best_fit(lengths, order, size)
-        people.append((fitness(lengths, p, size), p))
+        people.append((fitness(p, size), p))
     for _ in range(generations):
         people.sort(key=lambda x: x[0])
-        if people[0][0][0] <= least:
+        if people[0][0][0] <= least or len(people) < 2:
             break
         for _ in range(2):
             a, b = rng.sample(range(len(people)), 2)
             child = cross(people[min(a, b)][1], people[max(a, b)][1], lengths, size, rng)
-            f = fitness(lengths, child, size)
+            f = fitness(child, size)
             if all(f != x[0] for x in people):  # keeps the population varied
                 people[-1] = (f, child)
                 people.sort(key=lambda x: x[0])
     return min(people, key=lambda x: x[0])[1]
 
 
-def _bin_of(bins: list[list[int]], n: int) -> np.ndarray:
+def _bin_of(bins: Packing, n: int) -> np.ndarray:
     of = np.zeros(n, np.int32)
     for b, members in enumerate(bins):
-        of[members] = b
+        of[members[1:]] = b
     return of
 
 
-def _bins(of: np.ndarray) -> list[list[int]]:
-    out: list[list[int]] = [[] for _ in range(int(of.max()) + 1)] if len(of) else []
+def _bins(of: np.ndarray, lengths: list[int]) -> Packing:
+    out: Packing = [[0] for _ in range(int(of.max()) + 1)] if len(of) else []
     for i, b in enumerate(of.tolist()):
+        out[b][0] += lengths[i]
         out[b].append(i)
-    return [x for x in out if x]
+    return [x for x in out if len(x) > 1]
 
 
 def _seed(shard: int, island: int, level: int) -> int:
@@ -184,7 +178,7 @@ def level_of(items: DataFrame, level: int, shards: int, size: int) -> DataFrame:
         of = [np.frombuffer(x, np.int32) for x in sorted(t.column("elite").drop_null().to_pylist())]
         t, lengths = order(t.filter(pc.is_valid(t.column("row"))))
         shard = t.column("shard")[0].as_py()
-        found = _bin_of(evolve(lengths, [_bins(x) for x in of], size, _seed(shard, ISLANDS, level)), len(lengths))
+        found = _bin_of(evolve(lengths, [_bins(x, lengths) for x in of], size, _seed(shard, ISLANDS, level)), len(lengths))
         fill = np.bincount(found, lengths)
         final = (fill >= size * FULL)[found] if shards > 1 else np.ones(len(found), bool)
         sequence = (np.int64(level) << np.int64(57)) | (np.int64(shard) << np.int64(20)) | found.astype(np.int64)
