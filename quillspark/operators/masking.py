@@ -22,7 +22,12 @@ _STYLE = re.compile(r"</?(?:b|i|sup|sub)\d*>")
 
 
 def _compiled(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace(r"\d", "[0-9]").replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"))
+    """With ASCII digits and word boundaries, as everywhere here."""
+    out, inside = "", False
+    for part in re.findall(r"\\.|.", pattern, re.S):
+        inside = part == "[" or inside and part != "]"
+        out += "0-9" if part == r"\d" and inside else "[0-9]" if part == r"\d" else X.EDGE if part == r"\b" else "\\[" if part == "[" and inside and out.endswith("[") else part
+    return re.compile(out)
 
 
 _DELIMITED, _STATISTIC = [_compiled(p) for p in X.DELIMITED], [_compiled(p) for p in X.CITATION_OR_STATISTIC]
@@ -96,9 +101,10 @@ def normalize_variants(text: str, issued: set[str]) -> str:
 
 
 def restore(text: str, placeholders: list[tuple[str, str]]) -> str:
-    """Tokens, then bare names without brackets where the original is still missing."""
+    """Tokens, then bare names without brackets where the original is still missing. The last comes first, as a late original may hold
+    an earlier token."""
     text = normalize_variants(text, {t for t, _ in placeholders})
-    for token, original in placeholders:
+    for token, original in reversed(placeholders):
         text = text.replace(token, original)
         bare = re.compile(re.escape(token.strip("⟦⟧")) + "(?![0-9])")
         if original not in text:
@@ -137,7 +143,7 @@ def prose_udf(text: pd.Series) -> pd.Series:
 
 def restore_exact(text: Column, placeholders: Column) -> Column:
     """X02 without variants: a fold over the placeholders, all in the JVM."""
-    return F.aggregate(placeholders, text, lambda t, p: F.replace(t, p["token"], p["original"]))
+    return F.aggregate(F.reverse(placeholders), text, lambda t, p: F.replace(t, p["token"], p["original"]))
 
 
 def inventory(text: Column, placeholders: Column) -> Column:
