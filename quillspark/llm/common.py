@@ -86,6 +86,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in raw(column)]
 
 
+def slices(batches, rows: int = 1000):
+    """Smaller batches, so that few texts are held as objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32(id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -115,7 +115,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
         part, before = TaskContext.get().partitionId(), 0
         tail = np.array([end], memo.type).tobytes()
         width = len(tail)
-        for b in batches:
+        for b in common.slices(batches):
             found = [x + tail for x in memo.encode(common.text_bytes(b.column(1)))]
             n = np.array([len(x) // width for x in found], np.int64)
             local = before + np.cumsum(n) - n

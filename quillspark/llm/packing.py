@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, ids: bo
     def run(batches):
         memo = tokens.memo(path, "bytes")
         tail = np.array([end], memo.type).tobytes()
-        for b in batches:
+        for b in common.slices(batches):
             at, columns = [], ([], [], [], [], [])
             for row, found in enumerate(memo.encode(common.text_bytes(b.column(1)))):
                 own = np.frombuffer(found + tail, memo.type)

@@ -7,12 +7,13 @@ when the young one is full it becomes the old one, from which parts come back wh
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
 import pandas as pd
 
-MOST = 250_000
+MOST = 150_000
 #: White space other than single spaces and line feeds (UTF-8), and runs of it.
 _ODD = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], "<u8")
@@ -81,6 +82,8 @@ class Memo:
         plain = Tokenizer(models.BPE(vocab=own["vocab"], merges=merges, cache_capacity=0, **({"end_of_word_suffix": self.suffix} if self.suffix else {})))
         plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.plain = plain
+        del own, model, merges
+        gc.collect()  # the parsed file is several times the models' size
         self.size = self.tok.get_vocab_size()
         self.type = "<u2" if self.size < 65_536 else "<u4"
         self.width = int(self.type[-1])
@@ -152,7 +155,7 @@ class Memo:
         i = 0
         while i < len(texts):
             j, held = i, 0
-            while j < len(texts) and held < 8_000_000:
+            while j < len(texts) and held < 4_000_000:
                 held += len(texts[j])
                 j += 1
             out += self.some(texts[i:j])
