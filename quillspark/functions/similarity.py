@@ -16,22 +16,27 @@ def bigrams(text: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the bigram multisets. Sorted bigrams are numbered within their run (the 2nd "an" is another item), so that
-    the multisets meet as sets."""
+    """Dice coefficient of the bigram multisets. The k-th "an" of a text is another item than its first, so that multisets meet as sets:
+    in sorted order an item's number is its distance from the first one like it."""
+
     def items(text: Column) -> Column:
         g = F.array_sort(bigrams(text))
-        start = lambda acc, x: F.struct(x.alias("g"), F.when(acc["g"] == x, acc["k"] + 1).otherwise(F.lit(1)).alias("k"), F.concat(acc["all"], F.array(F.struct(x.alias("g"), F.when(acc["g"] == x, acc["k"] + 1).otherwise(F.lit(1)).alias("k")))).alias("all"))
-        first = F.struct(F.lit("").alias("g"), F.lit(0).alias("k"), F.array().cast("array<struct<g: string, k: int>>").alias("all"))
-        return F.aggregate(g, first, start, lambda acc: acc["all"])
+        return F.transform(g, lambda x, i: F.concat(x, F.lit("\x00"), (i - F.array_position(g, x)).cast("string")))
 
     shared = F.size(F.array_intersect(items(a), items(b)))
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2 * shared / (F.length(a) + F.length(b) - 2))
 
 
+def at_least(a: Column, b: Column, share: float) -> Column:
+    """Whether :func:`dice` reaches ``share``; lengths that differ too much settle it without looking at the texts."""
+    n, m = F.length(a) - 1, F.length(b) - 1
+    return F.when(a == b, share <= 1).when(2 * F.least(n, m) < share * (n + m), False).otherwise(dice(a, b) >= share)
+
+
 def copy_dominant(source: Column, text: Column) -> Column:
     """F32: the same surface, or nearly."""
     a, b = T.surface(source), T.surface(text)
-    return (a != "") & (b != "") & ((a == b) | ((F.least(F.length(a), F.length(b)) >= X.COPY_LEAST) & (dice(a, b) >= X.COPY_SIMILARITY)))
+    return (a != "") & (b != "") & ((a == b) | ((F.least(F.length(a), F.length(b)) >= X.COPY_LEAST) & at_least(a, b, X.COPY_SIMILARITY)))
 
 
 def residue_spans(text: Column, least: int = 10) -> Column:
@@ -46,7 +51,7 @@ def copied_residue(source: Column, text: Column) -> Column:
 
     def copied(span: Column) -> Column:
         b = T.surface(span)
-        return (F.length(b) >= X.COPY_LEAST) & (a.contains(b) | (dice(a, b) >= X.COPY_SIMILARITY))
+        return (F.length(b) >= X.COPY_LEAST) & (a.contains(b) | at_least(a, b, X.COPY_SIMILARITY))
 
     return (T.han_chars(text) > 0) & (a != "") & F.exists(residue_spans(text, 12), copied)
 
