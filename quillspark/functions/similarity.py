@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from . import fixed as X
 from . import regex as R
 from . import text as T
 
 
-def bigrams(text: Column) -> Column:
-    """Array of overlapping pairs of characters."""
-    return F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+def multiset_dice(a: str, b: str) -> float:
+    """X17 for two strings: Dice coefficient of their bigram multisets."""
+    if a == b:
+        return 1.0
+    if len(a) < 2 or len(b) < 2:
+        return 0.0
+    x, y = (Counter(map("".join, zip(s, s[1:]))) for s in (a, b))
+    return 2 * (x & y).total() / (len(a) + len(b) - 2)
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the bigram multisets. The k-th "an" of a text is another item than its first, so that multisets meet as sets:
-    in sorted order an item's number is its distance from the first one like it."""
+@F.pandas_udf(DoubleType())
+def dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    """X17. Counting a multiset has no built-in that is linear in the length, so it runs in Arrow batches."""
+    return pd.Series([None if x is None or y is None else multiset_dice(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    def items(text: Column) -> Column:
-        g = F.array_sort(bigrams(text))
-        return F.transform(g, lambda x, i: F.concat(x, F.lit("\x00"), (i - F.array_position(g, x)).cast("string")))
 
-    shared = F.size(F.array_intersect(items(a), items(b)))
-    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(2 * shared / (F.length(a) + F.length(b) - 2))
+@F.pandas_udf(BooleanType())
+def _copied(source: pd.Series, spans: pd.Series) -> pd.Series:
+    near = lambda a, b: len(b) >= X.COPY_LEAST and (b in a or multiset_dice(a, b) >= X.COPY_SIMILARITY)
+    return pd.Series([any(near(a or "", b) for b in found) for a, found in zip(source, spans)], dtype="bool")
 
 
 def at_least(a: Column, b: Column, share: float) -> Column:
@@ -47,13 +56,8 @@ def residue_spans(text: Column, least: int = 10) -> Column:
 
 def copied_residue(source: Column, text: Column) -> Column:
     """Han text with a stretch copied from its source."""
-    a = T.surface(source)
-
-    def copied(span: Column) -> Column:
-        b = T.surface(span)
-        return (F.length(b) >= X.COPY_LEAST) & (a.contains(b) | at_least(a, b, X.COPY_SIMILARITY))
-
-    return (T.han_chars(text) > 0) & (a != "") & F.exists(residue_spans(text, 12), copied)
+    a, spans = T.surface(source), F.transform(residue_spans(text, 12), T.surface)
+    return (T.han_chars(text) > 0) & (a != "") & _copied(a, spans)
 
 
 def english_residue(text: Column, prose: Column | None = None) -> Column:
