@@ -146,13 +146,64 @@ def char_budget(lines: Column, font: Column, kind: Column, target: Column) -> Co
 
 
 def capacity(w: Column, h: Column, font: Column) -> Column:
-    """Characters that a rectangle holds, 8 at least."""
-    return F.greatest(F.lit(8), F.floor(w / font) * F.floor(h / (font * 1.3)))
+    """Characters that a rectangle holds at a line height of 1.18, less 5 %; 8 at least."""
+    room = F.floor(F.floor(w / font) * F.floor(h / (font * 1.18)) * 0.95)
+    return F.when((w > 0) & (h > 0) & (font > 0), F.greatest(F.lit(8), room)).otherwise(8)
 
 
-def translated_size(size: Column, scale: Column) -> Column:
-    """The scale stays within 0.7 and 1.4."""
-    return size * F.least(F.greatest(scale, F.lit(0.7)), F.lit(1.4))
+def translated_size(points: Column, pixels: Column, body: Column) -> Column:
+    """Size on screen, within 5 and 48; a block without a size has the body's, else 10."""
+    pt = F.when(points > 0, points).when(body > 0, body).otherwise(10.0)
+    return F.greatest(F.lit(5.0), F.least(F.lit(48.0), pt * pixels))
+
+
+def factor(value: Column) -> Column:
+    """A chosen scale within 0.7 and 1.4; 1 for none."""
+    v = value.cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (v <= 0), 1.0).otherwise(F.greatest(F.lit(0.7), F.least(F.lit(1.4), v)))
+
+
+def font_bounds(box_height: Column, lines: Column, least: float = 4.0) -> Column:
+    """Struct least, most."""
+    return F.struct(F.lit(least).alias("least"), F.greatest(F.lit(least), F.least(F.lit(30.0), box_height / F.greatest(lines, F.lit(1)) * 0.82)).alias("most"))
+
+
+#: Line height and letter spacing of each step.
+TYPE_LADDER = ((1.42, 0.0), (1.32, 0.0), (1.32, -0.01), (1.24, -0.01), (1.18, -0.02))
+
+
+def estimated_height(chars: Column, font: Column, w: Column, step: int) -> Column:
+    """Height of so many characters at a step of the type ladder."""
+    line, spacing = TYPE_LADDER[step]
+    per_line = F.greatest(F.lit(1), F.floor(w / F.greatest(F.lit(1.0), font * (1 + spacing))))
+    return F.ceil(chars / per_line) * font * line
+
+
+def fitting_step(chars: Column, font: Column, w: Column, h: Column) -> Column:
+    """First step of the ladder whose height fits, or null."""
+    out = F.lit(None).cast("int")
+    for step in reversed(range(len(TYPE_LADDER))):
+        out = F.when(estimated_height(chars, font, w, step) <= h, step).otherwise(out)
+    return out
+
+
+def expansion(b: Column, blockers: Column, page_width: float, page_height: float, font: Column) -> Column:
+    """M08 (y down): room to the right and down until the page's edge or the nearest blocker, within limits."""
+    right0, down0 = F.greatest(F.lit(0.0), page_width * 0.9 - b["x2"]), F.greatest(F.lit(0.0), page_height * 0.95 - b["y2"])
+    right = F.aggregate(F.filter(blockers, lambda o: (y_overlap(b, o) > 2) & (o["x2"] > b["x2"] - 1)), right0, lambda a, o: F.least(a, o["x1"] - b["x2"] - 3))
+    down = F.aggregate(F.filter(blockers, lambda o: (x_overlap(b, o) > 2) & (o["y2"] > b["y2"] - 1)), down0, lambda a, o: F.least(a, o["y1"] - b["y2"] - 3))
+    return F.struct(F.greatest(F.lit(0.0), F.least(right, width(b) * 0.6)).alias("right"), F.greatest(F.lit(0.0), F.least(down, F.greatest(font * 2.8, height(b) * 0.5))).alias("down"))
+
+
+def over_ink(b: Column, images: Column) -> Column:
+    """More than 2 % of a box lies on an image."""
+    return (area(b) > 0) & F.exists(images, lambda i: intersection(b, i) > area(b) * 0.02)
+
+
+def penetrates(a: Column, b: Column, slack: float = 4.0) -> Column:
+    """Boxes that really run into each other: over the slack both ways and over 12 % of the narrower."""
+    w, h = x_overlap(a, b), y_overlap(a, b)
+    return (w > slack) & (h > slack) & (w > F.least(width(a), width(b)) * 0.12 + slack)
 
 
 def obstacle_between(a: Column, b: Column, obstacles: Column) -> Column:

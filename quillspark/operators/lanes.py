@@ -136,8 +136,8 @@ def simulate(jobs: list[dict], total: int, lanes: dict[str, int], reserved: int
     waiting, running, now, out = sorted(jobs, key=lambda j: (-j["priority"], j["id"])), [], 0.0, []
     while waiting or running:
         for j in list(waiting):
-            width = total if j["priority"] > 0 else total - reserved
-            if len(running) < width and sum(r["lane"] == j["lane"] for r in running) < lanes.get(j["lane"], 1):
+            room = len(running) < total and (j["priority"] > 0 or sum(r["priority"] <= 0 for r in running) < total - reserved)
+            if room and sum(r["lane"] == j["lane"] for r in running) < lanes.get(j["lane"], 1):
                 waiting.remove(j)
                 running.append(j | {"end": now + j["seconds"]})
                 out.append({"id": j["id"], "start": now})

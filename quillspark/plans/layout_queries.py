@@ -57,8 +57,11 @@ BLOCKS = {
     "j12_column_of": (lambda: G.column_of(BOX(), F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in ((50.0, 290.0), (300.0, 560.0))]), F.lit(W)), f"CASE WHEN x2 - x1 >= {W} * 0.62 THEN -1 WHEN greatest(least(x2, 290.0) - greatest(x1, 50.0), 0) >= greatest(least(x2, 560.0) - greatest(x1, 300.0), 0) THEN 0 ELSE 1 END"),
     "m02_coverage": (lambda: G.coverage(BOX(), G.box(F.lit(100), F.lit(100), F.lit(400), F.lit(500))), "(CASE WHEN least(x2, 400.0) - greatest(x1, 100.0) > 0 AND least(y2, 500.0) - greatest(y1, 100.0) > 0 THEN (least(x2, 400.0) - greatest(x1, 100.0)) * (least(y2, 500.0) - greatest(y1, 100.0)) ELSE 0.0 END::DOUBLE) / greatest((x2 - x1) * (y2 - y1), 1e-6::DOUBLE)"),
     "m05_char_budget": (lambda: G.char_budget(F.array_repeat(BOX(), F.col("lines")), F.col("font"), F.col("type"), F.lit("zh-CN")), "CASE WHEN type IN ('paragraph', 'list') AND floor(lines * ((x2 - x1) / font) * 0.9::DOUBLE) >= 24 THEN floor(lines * ((x2 - x1) / font) * 0.9::DOUBLE)::BIGINT END"),
-    "m06_capacity": (lambda: G.capacity(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("font")), "greatest(8, floor((x2 - x1) / font) * floor((y2 - y1) / (font * 1.3::DOUBLE)))::BIGINT"),
-    "m13_translated_size": (lambda: G.translated_size(F.col("font"), F.pmod("k", F.lit(20)) / 10), "font * least(greatest((k % 20)::DOUBLE / 10, 0.7::DOUBLE), 1.4::DOUBLE)"),
+    "m06_capacity": (lambda: G.capacity(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("font")), "greatest(8, floor(floor((x2 - x1) / font) * floor((y2 - y1) / (font * 1.18::DOUBLE)) * 0.95::DOUBLE))::BIGINT"),
+    "m07_fitting_step": (lambda: G.fitting_step(F.length("text"), F.col("font"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), "CASE " + " ".join(f"WHEN ceil(length(text) / greatest(1, floor((x2 - x1) / greatest(1.0, font * {1 + s}::DOUBLE)))) * font * {lh}::DOUBLE <= y2 - y1 THEN {i}" for i, (lh, s) in enumerate(G.TYPE_LADDER)) + " END::INT"),
+    "m07_font_bounds": (lambda: G.font_bounds(F.col("y2") - F.col("y1"), F.col("lines"))["most"], "greatest(4.0, least(30.0, (y2 - y1) / greatest(lines, 1) * 0.82::DOUBLE))::DOUBLE"),
+    "m12_over_ink": (lambda: G.over_ink(BOX(), F.array(G.box(F.lit(100), F.lit(100), F.lit(200), F.lit(300)))), "greatest(0, least(x2, 200) - greatest(x1, 100)) * greatest(0, least(y2, 300) - greatest(y1, 100)) > (x2 - x1) * (y2 - y1) * 0.02"),
+    "m13_translated_size": (lambda: G.translated_size(F.col("font") - 9, G.factor(F.pmod("k", F.lit(20)) / 10), F.lit(9.5)), "greatest(5.0, least(48.0, (CASE WHEN font - 9 > 0 THEN font - 9 ELSE 9.5::DOUBLE END) * (CASE WHEN k % 20 = 0 THEN 1.0::DOUBLE ELSE greatest(0.7::DOUBLE, least(1.4::DOUBLE, (k % 20)::DOUBLE / 10)) END)))::DOUBLE"),
     "f39_slow_lane": (lambda: T.slow_lane(F.col("type"), F.length("text"), F.pmod("k", F.lit(7)), F.pmod("k", F.lit(23)) == 0), "type = 'table' OR length(text) > 2400 OR k % 7 >= 5 OR k % 23 = 0"),
 }
 

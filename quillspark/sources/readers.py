@@ -50,7 +50,7 @@ def documents_of(spark: SparkSession, path: str, parser: PageParser, schema: str
                     out += [row | {"doc_id": p, "_corrupt": None} for row in parser(content)]
                 except Exception as e:  # bad bytes of one file
                     out.append({"doc_id": p, "_corrupt": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in (schema + ", _corrupt string").replace(RECT, "x").split(", ")])
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in (schema + ", _corrupt string").replace(RECT, "x").split(", ")], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema + ", _corrupt string")
 
