@@ -47,11 +47,12 @@ def documents_of(spark: SparkSession, path: str, parser: PageParser, schema: str
             out = []
             for p, content in zip(b["path"], b["content"]):
                 try:
-                    out += [row | {"doc_id": p, "_corrupt": None} for row in parser(content)]
+                    out += [row | {"doc_id": p} for row in parser(content)]
                 except Exception as e:  # bad bytes of one file
                     out.append({"doc_id": p, "_corrupt": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in (schema + ", _corrupt string").replace(RECT, "x").split(", ")], dtype=object)
+            yield pd.DataFrame([[row.get(n) for n in names] for row in out], columns=names, dtype=object)
 
+    names = [f.split()[0] for f in (schema + ", _corrupt string").replace(RECT, "struct").split(", ")]
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema + ", _corrupt string")
 
 
