@@ -278,6 +278,11 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
         text = rng.choice(["&copy; ", "Copyright ", "", "&copy; 2020 "]) + word() + ".example.com &middot; " + prose(1, 2)
         return rng.choice([f"<footer>{text}</footer>", f"<footer><p>{text}</p><ul>{links(3)}</ul></footer>", named("div", ["footer", "site-footer", "bottom", "colophon", "copyright", "legal"], 1) + f"<p>{text}</p></div>"])
 
+    def tail() -> str:
+        tag = rng.choice(["footer", "header", "div", "ul"])
+        open_ = f"<{tag}>" if tag in ("footer", "header") else named(tag, ["meta", "byline", "share", "social", "tags", "pager", "author", "breadcrumb"], 1)
+        return open_ + (f"<p>{phrase(1, 6)}</p>" if tag != "ul" else links(rng.randint(1, 5))) + f"</{tag}>"
+
     def article() -> tuple[str, list[str]]:
         main, parts = [], []
 
@@ -319,7 +324,11 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
                 parts.append("</table>")
             if rng.random() < 0.06:
                 parts.append(rng.choice([advert, side, notice, form])())
-        frame = rng.choice(["<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="content">', '<div class="post">', '<div class="entry article-body">', '<section class="story">', "<div>"])
+        if rng.random() < 0.2:  # what isn't article may stand within its element
+            parts += [rng.choice([comments, comments, side, form, notice, advert, tail])() for _ in range(rng.randint(1, 2))]
+        if rng.random() < 0.1:
+            parts.insert(0, rng.choice([advert, menu, notice, tail])())
+        frame = rng.choice(["<article>", "<article>", "<main>", "<main><article>", '<div class="content">', '<div id="content">', '<div class="post">', '<div class="entry article-body">', '<section class="story">', "<div>", ""])
         return frame + "".join(parts) + "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", frame))), main
 
     out = []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, WINDOW, PERCENT = 20, 8, 30
-COMMON, MOST_LANGS = 200, 64
+COMMON, MOST_LANGS = 200, 10_000
 #: A histogram of n words strays from its reference by about 1 / sqrt(n): distance allowed at length, plus that for short texts.
 FAR, FAR_SHORT, FAR_WORDS, FAR_WORDS_SHORT, LEAST_CHARS, LEAST_WORDS = 0.15, 0.8, 0.40, 1.0, 100, 40
 P = "__ql_"
