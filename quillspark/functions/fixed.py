@@ -88,3 +88,20 @@ REDACTED = "[REDACTED]"
 # --- planning ----------------------------------------------------------------------------------------------------------
 CHUNK_CHARS, CHUNK_BLOCKS, CHUNK_FILL, CONTEXT_CHARS = 8000, 24, 0.85, 600
 HASH_PRIMES, HASH_SEEDS = (0x01000193, 0x01000197), (0x811C9DC5, 0xCBF29CE4)
+
+# --- answers and errors of services --------------------------------------------------------------------------------------
+ANSWER_LABEL = r"^(?:translation|译文|翻译)\s*[:：]\s*"
+ASKS_FOR_INPUT = r"(?:请\s*(?:提供|输入|给出|粘贴|发送)|(?:please\s+)?(?:provide|send|enter|paste)\s)"
+QUOTA = "quota|billing|insufficient|credit"
+REJECTED = r"unsupported\s+value|unrecognized\s+request\s+argument|unknown\s+parameter|not\s+supported\s+with\s+this\s+model|only\s+the\s+default"
+NETWORK = "network|fetch|dns|connect|refused|NS_ERROR"
+
+# --- sentences, labels, cells --------------------------------------------------------------------------------------------
+ABBREVIATION = r"(?:^|[\s(])(?:[A-Za-z]|al|Fig|fig|Eq|eq|No|no|vs|cf|resp|approx|Ref|ref|Sec|sec|Tab|tab|Dr|Mr|Ms|Mrs|Prof|St|Inc|Ltd|e\.g|i\.e|etc)\.$"
+SENTENCE_STOP = r"([。！？；]|[.!?;])[\"'”’」』)\]】]*"
+SENTENCE_START = r"[A-Z0-9“\"'(\[一-鿿]"
+REGION_END = r"[.!?。！？][)\]\"'”’]?\s*$"
+BARE_CITATION = r"[\[(]?\d+(\s*[,–—-]\s*\d+)*[\])]?[.,]?"
+CELL_MARKS = r"[0-9±%.,;:()/<>=+\-·—–]"
+NUMERIC_CELL = r"[\d\s.,%±()/<>=+\-·—–]+"
+REGION_CHARS = 2600

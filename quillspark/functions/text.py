@@ -84,7 +84,7 @@ def metadata_reason(text: Column, sliver: Column | None = None, sidebar: Column
 def tabular(text: Column) -> Column:
     """F13."""
     t = R.trim(text)
-    n, marks = F.length(t), R.count(t, r"[0-9±%±.,;:()/<>=+\-·—–]")
+    n, marks = F.length(t), R.count(t, X.CELL_MARKS)
     words = F.size(F.filter(R.split(t, r"\s+"), lambda w: w != ""))
     return (t != "") & (n <= 160) & (((R.count(t, r"[A-Za-z\x{4e00}-\x{9fff}]") == 0) & (marks > 0)) | ((n <= 80) & R.like(t, "[0-9]") & (marks >= F.greatest(F.lit(3.0), n * 0.3))) | ((words <= 3) & R.like(t, r"[\d%±<>=/]") & (n <= 40)))
 
@@ -256,9 +256,9 @@ def error_code(status: Column, body: Column) -> Column:
         F.when(~F.coalesce(status > 0, F.lit(False)), "NETWORK")
         .when(status.isin(401, 403), "INVALID_API_KEY")
         .when(status == 404, "INVALID_MODEL")
-        .when((status == 429) & R.like(b, "quota|billing|insufficient|credit", True), "QUOTA_EXCEEDED")
+        .when((status == 429) & R.like(b, X.QUOTA, True), "QUOTA_EXCEEDED")
         .when(status == 429, "RATE_LIMITED")
-        .when((status == 400) & R.like(b, r"unsupported\s+value|unrecognized\s+request\s+argument|unknown\s+parameter|not\s+supported\s+with\s+this\s+model|only\s+the\s+default", True), "UNKNOWN")
+        .when((status == 400) & R.like(b, X.REJECTED, True), "UNKNOWN")
         .when((status == 400) & R.like(b, "model", True), "INVALID_MODEL")
         .when(status == 402, "QUOTA_EXCEEDED")
         .when(status >= 500, "NETWORK")
@@ -276,7 +276,7 @@ def failure_code(name: Column, message: Column) -> Column:
     return (
         F.when((name == "AbortError") | R.like(message, "abort", True), "CANCELLED")
         .when(R.like(message, "timeout|timed out", True), "TIMEOUT")
-        .when(R.like(F.concat(message, name), "network|fetch|dns|connect|refused|NS_ERROR", True), "NETWORK")
+        .when(R.like(F.concat(message, name), X.NETWORK, True), "NETWORK")
         .otherwise("UNKNOWN")
     )
 

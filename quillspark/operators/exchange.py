@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fixed as X
 from ..functions import hashing
 
 ANSWERS = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())]))
@@ -54,13 +55,13 @@ def plain_answer(raw: str) -> str | None:
     t = raw.strip()
     if m := re.fullmatch(r"```(?:\w+)?\s*(.*?)```", t, re.S):
         t = m[1].strip() or t
-    t = re.sub(r"^(?:translation|译文|翻译)\s*[:：]\s*", "", t, flags=re.I).strip()
+    t = re.sub(X.ANSWER_LABEL, "", t, flags=re.I).strip()
     if len(t) > 1 and t[0] + t[-1] in ('""', "“”"):
         t = t[1:-1].strip()
     if t.startswith("{") and ('"translations"' in t or '"translatedText"' in t):
         found = entries(t)
         return found[0]["text"] if found else None
-    if len(t) <= 48 and re.match(r"(?:请\s*(?:提供|输入|给出|粘贴|发送)|(?:please\s+)?(?:provide|send|enter|paste)\s)", t, re.I):
+    if len(t) <= 48 and re.match(X.ASKS_FOR_INPUT, t, re.I):
         return None
     return t or None
 

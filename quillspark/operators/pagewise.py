@@ -224,8 +224,8 @@ def column_runs(lines: list[Box]) -> list[list[Box]]:
 
 # --- regions ---------------------------------------------------------------------------------------------------------------
 
-MOST_CHARS = 2600
-_END = re.compile(r"[.!?。！？][)\]\"'”’]?\s*$")
+MOST_CHARS = X.REGION_CHARS
+_END = re.compile(X.REGION_END)
 _LABEL = re.compile(r"(figure|fig\.?|table|图|表)\s*\d", re.I)
 
 
@@ -275,7 +275,7 @@ def continues_caption(a: Item, b: Item, figures: list[Box]) -> bool:
 def is_shard(i: Item) -> bool:
     """F23."""
     t = i.text.strip()
-    return i.type == "paragraph" and bool(t) and (len(t) <= 12 or t[0].isascii() and t[0].islower() or bool(re.fullmatch(r"[\[(]?\d+(\s*[,–—-]\s*\d+)*[\])]?[.,]?", t)))
+    return i.type == "paragraph" and bool(t) and (len(t) <= 12 or t[0].isascii() and t[0].islower() or bool(re.fullmatch(X.BARE_CITATION, t)))
 
 
 def absorbs(host: Item, shard: Item, figures: list[Box]) -> bool:
@@ -345,7 +345,7 @@ def tabular(text: str) -> bool:
     t = text.strip()
     if not t or len(t) > 160:
         return False
-    letters, marks = len(re.findall("[A-Za-z一-鿿]", t)), len(re.findall(r"[0-9±%.,;:()/<>=+\-·—–]", t))
+    letters, marks = len(re.findall("[A-Za-z一-鿿]", t)), len(re.findall(X.CELL_MARKS, t))
     return (not letters and marks > 0) or (len(t) <= 80 and bool(re.search("[0-9]", t)) and marks >= max(3, len(t) * 0.3)) or (len(t.split()) <= 3 and bool(re.search(r"[0-9%±<>=/]", t)) and len(t) <= 40)
 
 
@@ -449,7 +449,7 @@ def grid(members: list[Item]) -> list[dict]:
     for (row, col), (there, straddles) in sorted(slots.items()):
         there = sorted(there, key=lambda m: (m.box.y1, m.box.x1))
         text = " ".join(t for t in (m.text.strip() for m in there) if t)
-        numeric = bool(re.fullmatch(r"[\d\s.,%±()/<>=+\-·—–]+", text))
+        numeric = bool(re.fullmatch(X.NUMERIC_CELL, text))
         header = row == 0 and bool(re.search("[A-Za-z一-鿿]", text)) and not numeric
         data = straddles or not text or not header and (tabular(text) or len(text) < 3)
         out.append({"row": row, "col": col, "text": text, "kind": "data" if data else "text", "members": [m.id for m in there]})
@@ -532,8 +532,8 @@ def ink_spans(ink: list[list[bool]], cell: float, lo: int, hi: int, least: int =
 
 # --- text in boxes -------------------------------------------------------------------------------------------------------------
 
-_ABBREVIATION = re.compile(r"(?:^|[\s(])(?:[A-Za-z]|al|Fig|fig|Eq|eq|No|no|vs|cf|resp|approx|Ref|ref|Sec|sec|Tab|tab|Dr|Mr|Ms|Mrs|Prof|St|Inc|Ltd|e\.g|i\.e|etc)\.$")
-_STOP = re.compile(r"([。！？；]|[.!?;])[\"'”’」』)\]】]*")
+_ABBREVIATION = re.compile(X.ABBREVIATION)
+_STOP = re.compile(X.SENTENCE_STOP)
 
 
 def sentences(text: str) -> list[str]:
@@ -544,7 +544,7 @@ def sentences(text: str) -> list[str]:
             continue
         if m[1] in ".!?;" and m.end() < len(t):
             rest = t[m.end() :].lstrip()
-            if not t[m.end()].isspace() or not re.match("[A-Z0-9“\"'(\\[一-鿿]", rest) or _ABBREVIATION.search(t[max(0, m.start() - 12) : m.start() + 1]):
+            if not t[m.end()].isspace() or not re.match(X.SENTENCE_START, rest) or _ABBREVIATION.search(t[max(0, m.start() - 12) : m.start() + 1]):
                 continue
         out.append(t[start : m.end()].strip())
         start = m.end() + len(t[m.end() :]) - len(t[m.end() :].lstrip())

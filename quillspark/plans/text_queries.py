@@ -57,7 +57,7 @@ def _affiliation(t: str) -> str:
     return f"(length({t}) <= 600 AND ({_like(t, X.AFFILIATION_HEAD, True)} OR ({_count(t, X.INSTITUTION, True)} >= 2 AND {_count(t, ',')} >= 3)))"
 
 
-_MARKS = r"[0-9±%±.,;:()/<>=+\-·—–]"
+_MARKS = X.CELL_MARKS
 _NAMES = f"list_filter(list_transform(regexp_split_to_array(replace(t, ' and ', ', '), {re2(',|;|' + chr(92) + 'band' + chr(92) + 'b')}), lambda w: regexp_replace(w, '^[{SPACE}*†‡§,;]+|[{SPACE}*†‡§,;]+$', '', 'g')), lambda w: w <> '')"
 _SURFACE = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 
