@@ -131,6 +131,37 @@ def classify(text: Column, lines: Column, font: Column, body: Column, bold: Colu
     )
 
 
+def classify_span(text: Column, lines: Column, font: Column, body: Column) -> Column:
+    """as F20 for spans: a title may have four lines, what goes on from the line before is prose, and bold type says nothing."""
+    from . import text as T
+
+    t = R.trim(text)
+    n, ratio = F.length(t), F.when((body > 0) & (font > 0), font / body).otherwise(1.0)
+    return (
+        F.when(R.like(t, X.FIGURE_OR_TABLE, True), F.when(R.like(t, "^(?:table|表)", True), "table").otherwise("caption"))
+        .when(R.like(t, X.BULLET) | (T.ordered_list_start(t) & (ratio < 1.1)), "list")
+        .when(T.starts_continuation(t), "paragraph")
+        .when((lines <= 4) & (ratio >= 1.35) & (n < 250), "title")
+        .when((lines <= 2) & (n < 160) & ((ratio >= 1.1) | T.section_number(t) | R.like(t, X.SECTION_WORD, True)), "heading")
+        .otherwise("paragraph")
+    )
+
+
+def math_glyph(font: Column, c: Column) -> Column:
+    """a mathematical font, symbol, or an undecoded glyph."""
+    return R.like(F.lower(F.coalesce(font, F.lit(""))), X.MATH_FONT) | R.like(c, "^" + X.MATH_SYMBOL) | c.startswith("(cid:")
+
+
+def span_text(items: Column, font: Column) -> Column:
+    """Text of a line's items (structs x1, x2, text, in order): a space where the gap is over 0.18 em, none between ideographs."""
+    def step(a: Column, i: Column) -> Column:
+        cjk = R.like(a["t"], X.CJK_EDGE + "$") & R.like(i["text"], "^" + X.CJK_EDGE)
+        space = (a["t"] != "") & (i["x1"] - a["x"] > 0.18 * font) & ~cjk & ~a["t"].endswith(" ")
+        return F.struct(F.concat(a["t"], F.when(space, " ").otherwise(""), i["text"]).alias("t"), i["x2"].alias("x"))
+
+    return F.aggregate(items, F.struct(F.lit("").alias("t"), F.lit(0.0).alias("x")), step, lambda a: R.trim(a["t"]))
+
+
 def column_of(b: Column, bands: Column, page_width: Column) -> Column:
     """Index of the band (array of structs left, right) with the largest overlap; -1 for full width, 0 for none."""
     over = F.transform(bands, lambda k, i: F.struct((F.least(b["x2"], k["right"]) - F.greatest(b["x1"], k["left"])).alias("o"), (-i).alias("i")))

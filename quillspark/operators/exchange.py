@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +117,18 @@ def page_hits(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return pages.join(newest, list(KEY), "left")
 
 
+def write_pages(cache: DataFrame, path: str) -> None:
+    """Append finished pages; the commit protocol makes the write atomic, the schema version is stamped."""
+    cache.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("append").partitionBy("attachment").parquet(path)
+
+
+def cached_by_id(blocks: DataFrame, page_hits_: DataFrame, valid: Column) -> DataFrame:
+    """Blocks with the cached text of their id, where it still passes validation (a column over text and cached)."""
+    rows = page_hits_.select(F.explode("translations").alias("t")).select(F.col("t.id").alias("id"), F.col("t.text").alias("cached"))
+    out = blocks.join(rows.dropDuplicates(["id"]), "id", "left")
+    return out.withColumn("cached", F.when(valid, F.col("cached")))
+
+
 def stale(cache: DataFrame, now: Column) -> DataFrame:
     """Rows to sweep: another schema version, or a temporary file over five minutes old."""
     return cache.filter((F.col("schema_version") != SCHEMA_VERSION) | (F.col("path").endswith(".json.tmp") & (F.col("modified") < now - F.expr("interval 5 minutes"))))
@@ -161,6 +174,48 @@ def fake(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(i, " ".join(reversed(t.split()))) for i, t in rows if alone or sum(map(ord, i)) % 7]
 
 
+@dataclass(frozen=True)
+class Service:
+    """A service as configuration: what it is called, can do and where it is; ``translate`` does the work."""
+
+    name: str
+    translate: Translator = fake
+    base_url: str = ""
+    model: str = ""
+    explains: bool = False
+    takes_budget: bool = False
+    local: bool = False
+
+
+SERVICES: dict[str, Service] = {"stand-in": Service("stand-in", explains=True, takes_budget=True, local=True)}
+
+
+def register(service: Service) -> None:
+    """Make a service known by its name."""
+    SERVICES[service.name] = service
+
+
+def explain(service: Service, text: str, most: int = 2000) -> str | None:
+    """Services that can, on at most ``most`` characters."""
+    return service.translate([("explain", text[:most])])[0][1] if service.explains and text else None
+
+
+def batch_answer(data: object, expected: int) -> list[str]:
+    """The three shapes of a batch answer: list of strings, list of [text, language], or a single string; another count is an error."""
+    rows = [data] if isinstance(data, str) else [r[0] if isinstance(r, list) else r for r in data] if isinstance(data, list) else []
+    if len(rows) != expected or not all(isinstance(r, str) for r in rows):
+        raise ValueError(f"{len(rows)} answers for {expected} texts")
+    return rows
+
+
+def bounded(tasks: list, work: Callable, most: int = 4) -> list:
+    """Results in the order of ``tasks``, at most ``most`` at once; the first failure ends it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(work, tasks))
+
+
 def call(batches: DataFrame, translator: Translator) -> DataFrame:
     """One request a batch: (batch, id, text) to (id, text); each batch is bounded by the planner."""
 

@@ -93,6 +93,30 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return out.withColumn("reading_index", (F.row_number().over(_page("_k", "_c", "_y", "ord")) - 1).cast("int")).drop("_ready", "_wides", "_k", "_c", "_y")
 
 
+def two_column_order(blocks: DataFrame) -> DataFrame:
+    """W06 (y down): on pages whose stream jumps back from the right column (1) to the left (0): full-width blocks above the columns, left, right,
+    full-width blocks below; other pages keep their order. (``place`` is dense.)"""
+    page = Window.partitionBy(*PAGE)
+    right = F.min(F.when(F.col("column") == 1, F.col("ord"))).over(page)
+    mixed = F.coalesce(F.max(F.when(F.col("column") == 0, F.col("ord"))).over(page) > right, F.lit(False))
+    top = F.min(F.when(F.col("column") >= 0, F.col("y1"))).over(page)
+    part = F.when(F.col("column") >= 0, F.col("column") + 1).when(F.col("y1") < top, 0).otherwise(3)
+    out = blocks.withColumn("_p", F.when(mixed, part).otherwise(0)).withColumn("_y", F.when(mixed, F.col("y1")).otherwise(0.0))
+    return out.withColumn("place", (F.row_number().over(_page("_p", "_y", "ord")) - 1).cast("int")).drop("_p", "_y")  # L01: ties by stream order
+
+
+def list_ended(lines: DataFrame) -> DataFrame:
+    """Pages of three lines or more, 80 % of which end like list items."""
+    ends = R.like(R.trim(F.col("text")), "[.。;；]$").cast("int")
+    return lines.filter(R.trim(F.col("text")) != "").groupBy(*PAGE).agg(F.count("*").alias("n"), F.avg(ends).alias("share")).select(*PAGE, ((F.col("n") >= 3) & (F.col("share") >= 0.8)).alias("list"))
+
+
+def ordered_union(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct runs of merged blocks, in the order of first occurrence."""
+    rows = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "runs"))).alias("r"))
+    return rows.select(*keys, F.array_distinct(F.flatten(F.transform("r", lambda x: x["runs"]))).alias("runs"))
+
+
 def order_reversed(lines: DataFrame) -> DataFrame:
     """Pages on which more moves go up than down, by at least 30 % of a line (y down)."""
     move = F.col("y1") - F.lag("y1").over(_page())

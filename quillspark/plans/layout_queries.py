@@ -44,6 +44,9 @@ _CLASS = f"""CASE WHEN {_like('t', X.FIGURE_OR_TABLE, True)} THEN CASE WHEN rege
   WHEN {_like('t', X.BULLET)} OR ({_ORDERED} AND {_RATIO} < 1.1) THEN 'list'
   WHEN lines <= 2 AND {_RATIO} >= 1.35 AND length(t) < 250 THEN 'title'
   WHEN lines <= 2 AND length(t) < 160 AND ({_RATIO} >= 1.1 OR {_like('t', X.SECTION_NUMBER)} OR ({_BOLD} AND {_RATIO} >= 0.98 AND length(t) < 90 AND NOT {_like('t', X.ENDS_SENTENCE)}) OR {_like('t', X.SECTION_WORD, True)}) THEN 'heading' ELSE 'paragraph' END"""
+_CLASS_SPAN = f"""CASE WHEN {_like('t', X.FIGURE_OR_TABLE, True)} THEN CASE WHEN regexp_matches(t, '(?i)^(?:table|表)') THEN 'table' ELSE 'caption' END
+  WHEN {_like('t', X.BULLET)} OR ({_ORDERED} AND {_RATIO} < 1.1) THEN 'list' WHEN {_like('t', X.STARTS_CONTINUATION)} THEN 'paragraph' WHEN lines <= 4 AND {_RATIO} >= 1.35 AND length(t) < 250 THEN 'title'
+  WHEN lines <= 2 AND length(t) < 160 AND ({_RATIO} >= 1.1 OR {_like('t', X.SECTION_NUMBER)} OR {_like('t', X.SECTION_WORD, True)}) THEN 'heading' ELSE 'paragraph' END"""
 _BANDS = "[{'l': 50.0::DOUBLE, 'r': 290.0::DOUBLE}, {'l': 300.0::DOUBLE, 'r': 560.0::DOUBLE}]"
 
 BLOCKS = {
@@ -54,6 +57,8 @@ BLOCKS = {
     "f16_bold_font": (lambda: T.bold_font(F.col("font_name")), _BOLD),
     "f17_right_margin": (lambda: G.reaches_right_margin(F.col("x2"), F.lit(560.0), F.col("font")), "x2 >= 560.0 - greatest(font * 1.6, 6.0)"),
     "f20_classify": (lambda: G.classify(F.col("text"), F.col("lines"), F.col("font"), F.lit(10.0), T.bold_font(F.col("font_name"))), _CLASS),
+    "f21_classify_span": (lambda: G.classify_span(F.col("text"), F.col("lines"), F.col("font"), F.lit(10.0)), _CLASS_SPAN),
+    "f26_math_glyph": (lambda: G.math_glyph(F.col("font_name"), F.col("text")), f"regexp_matches(lower(font_name), {re2(X.MATH_FONT)}) OR regexp_matches(text, {re2('^' + X.MATH_SYMBOL)}) OR starts_with(text, '(cid:')"),
     "j12_column_of": (lambda: G.column_of(BOX(), F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in ((50.0, 290.0), (300.0, 560.0))]), F.lit(W)), f"CASE WHEN x2 - x1 >= {W} * 0.62 THEN -1 WHEN greatest(least(x2, 290.0) - greatest(x1, 50.0), 0) >= greatest(least(x2, 560.0) - greatest(x1, 300.0), 0) THEN 0 ELSE 1 END"),
     "m02_coverage": (lambda: G.coverage(BOX(), G.box(F.lit(100), F.lit(100), F.lit(400), F.lit(500))), "(CASE WHEN least(x2, 400.0) - greatest(x1, 100.0) > 0 AND least(y2, 500.0) - greatest(y1, 100.0) > 0 THEN (least(x2, 400.0) - greatest(x1, 100.0)) * (least(y2, 500.0) - greatest(y1, 100.0)) ELSE 0.0 END::DOUBLE) / greatest((x2 - x1) * (y2 - y1), 1e-6::DOUBLE)"),
     "m05_char_budget": (lambda: G.char_budget(F.array_repeat(BOX(), F.col("lines")), F.col("font"), F.col("type"), F.lit("zh-CN")), "CASE WHEN type IN ('paragraph', 'list') AND floor(lines * ((x2 - x1) / font) * 0.9::DOUBLE) >= 24 THEN floor(lines * ((x2 - x1) / font) * 0.9::DOUBLE)::BIGINT END"),
@@ -261,7 +266,43 @@ w AS (SELECT *, array_to_string(list_transform(regexp_split_to_array(cleaned, '[
 SELECT doc_id, pos, contains(runs, 'xxxxxx') OR len({_SPANS.replace('@t', 'cleaned')}) > 0 AS residue, len({_SPANS.replace('@t', 'text')})::INT AS spans FROM w"""
 
 
+def two_columns(spark, d):
+    return layout.two_column_order(pages.blocks(spark, d)).select("doc_id", "page", "ord", "place")
+
+
+_TWO = f"""{pages.sql()}, m AS (SELECT *, min(ord) FILTER ("column" = 1) OVER p AS r, max(ord) FILTER ("column" = 0) OVER p AS l, min(y1) FILTER ("column" >= 0) OVER p AS top FROM b WINDOW p AS (PARTITION BY doc_id, page)),
+n AS (SELECT *, coalesce(l > r, false) AS mixed FROM m)
+SELECT doc_id, page, ord, (row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN NOT mixed THEN 0 WHEN "column" >= 0 THEN "column" + 1 WHEN y1 < top THEN 0 ELSE 3 END, CASE WHEN mixed THEN y1 ELSE 0 END, ord) - 1)::INT AS place FROM n"""
+
+
+def ended(spark, d):
+    """A11 over pages of blocks."""
+    return layout.list_ended(pages.blocks(spark, d))
+
+
+_ENDED = f"{pages.sql()}, t AS (SELECT doc_id, page, {_TRIM} AS t FROM b)\nSELECT doc_id, page, count(*) >= 3 AND avg(regexp_matches(t, '[.。;；]$')::INT) >= 0.8 AS list FROM t WHERE t <> '' GROUP BY ALL"
+
+
+def unions(spark, d):
+    """The types of a page's blocks as runs, distinct in order."""
+    return layout.ordered_union(pages.blocks(spark, d).select("doc_id", "page", "ord", F.array("type", "font_name").alias("runs")), ["doc_id", "page"]).select("doc_id", "page", F.array_join("runs", "|").alias("runs"))
+
+
+_UNIONS = f"{pages.sql()}, u AS (SELECT doc_id, page, unnest([type, font_name]) AS r, unnest([ord * 2, ord * 2 + 1]) AS k FROM b), f AS (SELECT doc_id, page, r, min(k) AS k FROM u GROUP BY ALL)\nSELECT doc_id, page, string_agg(r, '|' ORDER BY k) AS runs FROM f GROUP BY ALL"
+
+
+def line_texts(spark, d):
+    """A document's first words of each block as items of a line."""
+    item = F.struct(F.col("x1"), (F.col("x1") + F.pmod("k", F.lit(90))).alias("x2"), F.substring("text", 1, 12).alias("text"))
+    rows = pages.blocks(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("x1", "ord", item.alias("i")))).alias("r"))
+    return rows.select("doc_id", "page", G.span_text(F.transform("r", lambda x: x["i"]), F.lit(10.0)).alias("value"))
+
+
 _QUERIES = {
+    "w06_two_column_order": (two_columns, _TWO),
+    "a11_list_ended": (ended, _ENDED),
+    "a14_ordered_union": (unions, _UNIONS),
+    "x10_span_text": (line_texts, None),
     "w07_reading_order": (reading_order, _ORDER),
     "a01_page_sizes": (sizes, _SIZES),
     "a07_union_box": (union_boxes, f'{pages.sql()}\nSELECT doc_id, page, "column", min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM b GROUP BY ALL'),
