@@ -45,19 +45,22 @@ def remember(spark: SparkSession, path: str) -> None:
     _made.append((spark, path))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, slim: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and reread it: cuts lineage, survives lost executors.
 
-    Its shuffle files go when the write ends, so that only one stage's shuffle is on disk at a time."""
+    Its shuffle files go when the write ends, so that only one stage's shuffle is on disk at a time. ``slim``: Python gets only numbers here, in
+    batches of Spark's usual size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quill-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"} if slim else {})
+    before = {k: spark.conf.get(k, None) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quill_path = path
@@ -72,8 +75,11 @@ def drop(*tables: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows here are whole texts: a batch of Spark's 10,000 is tens of megabytes, held several times on the way to Python and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
 
 
 def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -86,7 +92,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in raw(column)]
 
 
-def slices(batches, rows: int = 1000):
+def slices(batches, rows: int = 500):
     """Smaller batches, so that few texts are held as objects at once."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
@@ -125,7 +131,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     of the size; each is two aggregations with map-side combining and two joins that AQE can split. ``root`` is some
     node of the component. All state is a table in the shared folder."""
     rank = lambda c: F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("v"))
-    cur = materialize(edges.filter("a <> b").select("a", "b").distinct())
+    cur = materialize(edges.filter("a <> b").select("a", "b").distinct(), slim=True)
     steps: list[DataFrame] = []
     for _ in range(most_rounds):
         if cur.isEmpty():

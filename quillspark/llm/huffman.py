@@ -133,12 +133,13 @@ def write(docs: DataFrame, to: str, path: str, end: int = END) -> None:
     kind, vocab, width = memo.type, max(memo.size, end + 1), int(memo.type[-1])
 
     def count(batches):
-        n, parts = np.zeros(vocab, np.int64), {}
-        for b in batches:
-            for part, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(ids, kind)
-                np.add.at(n, x, 1) if len(x) < 5000 else n.__iadd__(np.bincount(x, minlength=vocab))
-                parts[part] = parts.get(part, 0) + len(x)
+        n, parts = np.zeros(vocab, np.int64), {}  # ids, and ids of each part
+        for b in common.slices(batches):
+            part, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+            n += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocab)
+            for p in np.unique(part).tolist():
+                parts[p] = parts.get(p, 0) + int(size[part == p].sum())
         used = np.flatnonzero(n)
         keys = np.concatenate([used, -1 - np.array(list(parts), np.int64)]) if parts else used
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.concatenate([n[used], np.array(list(parts.values()), np.int64)]) if parts else n[used], pa.int64())], ["k", "n"])

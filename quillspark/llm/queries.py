@@ -23,7 +23,12 @@ _QUERIES = {
 
 def _query(module: str, function: str, table: str):
     f = getattr(importlib.import_module(f"{__package__}.{module}"), function)
-    return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    def run(spark, sf_dir):
+        common.small_batches(spark)
+        return f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    return run
 
 
 def queries() -> dict:

@@ -137,8 +137,11 @@ class Memo:
         """A word of letters, and marks after it, as the merges spell it, its parts divided by a space; None for any other word."""
         raise NotImplementedError
 
+    def spell(self, words: list[bytes]) -> list[str | None]:
+        return list(map(self.spelled, words))
+
     def learn(self, words: list[bytes]) -> None:
-        spelled = list(map(self.spelled, words))
+        spelled = self.spell(words)
         self.learn_hard([w for w, x in zip(words, spelled) if x is None])
         words, spelled = [w for w, x in zip(words, spelled) if x is not None], [x for x in spelled if x is not None]
         for i in range(0, len(words), 50_000):  # one encoding of all in a row, cut where the tokens' bytes add up to a word's
@@ -235,6 +238,10 @@ class WordMemo(Memo):
             letters = letters.lower().encode().decode("latin-1").translate(_SPELL)
         return f"{letters} {marks.decode()}" if marks else letters
 
+    def spell(self, words: list[bytes]) -> list[str | None]:
+        other = self.spelled
+        return [w.lower().decode() if w.isalpha() else other(w) for w in words]
+
     def learn_hard(self, words: list[bytes]) -> None:
         self.ids.update(zip(words, self.whole(words)))
 
