@@ -14,8 +14,6 @@ is the sample, one count a dimension, and one a language (languages are assumed
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,13 +23,12 @@ from . import common
 
 DIMS, CENTROIDS, SAMPLE, QUANTILE, SLACK = 8192, 3, 400, 0.995, 0.15
 _FOLD = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def grams(text: bytes) -> np.ndarray | None:
     """Count of each dimension; None if the text has no letter."""
     s = text.decode("utf-8", "replace")
-    if not _LETTER.search(s):
+    if not any(map(str.isalpha, s)):
         return None
     b = np.frombuffer(b" " + s.lower().encode("utf-8", "replace").translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
     two = (b[:-1] << np.uint32(8)) | b[1:]
