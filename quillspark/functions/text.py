@@ -216,8 +216,17 @@ def join_fragments(left: Column, right: Column) -> Column:
 
 
 def join_lines(lines: Column) -> Column:
-    """An ordered array of lines as one text."""
-    return R.trim(R.replace(F.aggregate(lines, F.lit(""), join_fragments), r"\s+", " "))
+    """An ordered array of lines as one text. What divides two lines depends on these two alone, so it is decided for neighbours, in
+    time that is linear in the text; blank lines don't count."""
+    t = F.filter(F.transform(lines, R.trim), lambda x: x != "")
+    following = F.concat(F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), F.array(F.lit(None).cast("string")))
+
+    def with_end(x: Column, after: Column) -> Column:
+        hyphen = R.like(x, f"[A-Za-z][{X.HYPHENS[1:]}-]$") & R.like(after, "^[A-Za-z]")
+        cjk = R.like(x, X.CJK_EDGE + "$") & R.like(after, "^" + X.CJK_EDGE)
+        return F.when(after.isNull() | cjk, x).when(hyphen, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))
+
+    return R.replace(F.array_join(F.zip_with(t, following, with_end), ""), r"\s+", " ")
 
 
 def escape_html(text: Column) -> Column:
