@@ -111,15 +111,44 @@ def glossary_out(rules: DataFrame) -> Column:
 
 
 def matching_rules(rules: DataFrame, texts: DataFrame, most: int = 20_000) -> DataFrame:
-    """Rules that occur in a text, whatever the case: (id, source). The rules are broadcast as one array, up to ``most`` of them."""
-    n = rules.limit(most + 1).count()
-    if n > most:  # too many to compare with each text: join by the words of both
-        words = lambda d, c: d.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower(c), r"\s+"))))
-        keyed = rules.withColumn("_w", F.split(F.lower("source"), r"\s+")[0])
-        return words(texts, F.col("text")).join(keyed, "_w").filter(F.lower("text").contains(F.lower("source"))).select("id", "source").distinct()
-    every = rules.filter(F.col("source") != "").agg(F.collect_set("source").alias("rules"))
-    hit = lambda r: F.lower("text").contains(F.lower(r))
-    return texts.crossJoin(F.broadcast(every)).select("id", F.explode(F.filter("rules", hit)).alias("source")) if n else texts.select("id", F.lit("").alias("source")).limit(0)
+    """Rules that occur in a text, whatever the case: (id, source).
+
+    Rules are broadcast as one automaton that finds all of them in a pass over a text; more than about ``most`` rules are dealt by hash into slices with an
+    automaton each."""
+    rules = rules.filter(F.coalesce("source", F.lit("")) != "").select("source").distinct()
+    slices = max(1, -(-rules.count() // most))
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, source string"
+    out = None
+    for k in range(slices):
+        part = rules.filter(F.pmod(F.xxhash64("source"), F.lit(slices)) == k)
+        found = rows.mapInArrow(_finder(sorted(r["source"] for r in part.collect())), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _finder(sources: list[str]):
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        by: dict[str, list[str]] = {}
+        for s in sources:
+            by.setdefault(s.lower(), []).append(s)
+        machine = ahocorasick.Automaton()
+        for low in by:
+            machine.add_word(low, low)
+        machine.make_automaton()
+        for b in batches:
+            at, hits = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                there = {low for _, low in machine.iter(text.lower())} if by else ()
+                for low in there:
+                    at += [i] * len(by[low])
+                    hits += by[low]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], ["id", "source"])
+
+    return run
 
 
 def diagnostics(blocks: DataFrame) -> DataFrame:
