@@ -109,6 +109,15 @@ def partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n different integers of which ``repartition(n, key)`` puts one in each partition; hashing 0 .. n-1 would put several in some and none in others."""
+    spread = spark.range(24 * n + 64).select(F.col("id").cast("int").alias("id")).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = spread.groupBy("p").agg(F.min("id").alias("id")).toPandas()  # n rows of two numbers
+    if len(found) < n:  # hardly ever: any keys are right, only less even
+        return np.arange(n)
+    return found.sort_values("p")["id"].to_numpy(np.int64)
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, most: int = 10_000) -> DataFrame:
     """Inner join of ``rows`` with one row a group on ``key``, safe for a group that holds most rows.
 

@@ -91,6 +91,7 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc, tag, start, n, source, source_tag, source_start): maximal runs of n repeated windows with one source and offset."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text")).filter("text is not null")
     parts = blocks = max(2, 2 * common.partitions(docs))
+    keys = common.even_keys(docs.sparkSession, parts)  # of parts, and of blocks as well
 
     def send(batches):
         memo = _Hashes()
@@ -122,12 +123,12 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             part = ((h[i] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             for p, at in _split(part, parts):
                 j = i[at]
-                yield p, 0, h[j].tobytes(), pack(doc[of[j]], tg[of[j]], pos[j])
+                yield int(keys[p]), 0, h[j].tobytes(), pack(doc[of[j]], tg[of[j]], pos[j])
 
         def answer(doc, tg, pos, src, src_tag, src_pos):
             for b, at in _split(block_of(doc, blocks), blocks):
                 at = at[np.lexsort((pos[at], tg[at], doc[at]))]
-                yield b % parts, 1 + b, None, pack(doc[at], tg[at], pos[at], src[at], src_tag[at], src_pos[at])
+                yield int(keys[b]), 1 + b, None, pack(doc[at], tg[at], pos[at], src[at], src_tag[at], src_pos[at])
 
         def batch(found):
             found = list(found)
@@ -151,7 +152,7 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
         for _, t in common.Runs(batches, "part"):
             back = [x for x in zip(t.column("kind").to_pylist(), t.column("data").to_pylist()) if x[0]]
             sent = [(h, d) for kind, h, d in zip(t.column("kind").to_pylist(), t.column("h").to_pylist(), t.column("data").to_pylist()) if not kind]
-            out = [(kind - 1, data) for kind, data in back]
+            out = [(int(keys[kind - 1]), data) for kind, data in back]
             if sent:
                 h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in sent])
                 doc, tg, pos = (np.concatenate(c) for c in zip(*(unpack(d, 3) for _, d in sent)))
@@ -171,7 +172,7 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
                     x, y = i[at], low[at]
                     s = np.lexsort((pos[x], tg[x], doc[x]))
                     x, y = x[s], y[s]
-                    out.append((b, pack(doc[x], tg[x], pos[x], doc[y], tg[y], pos[y])))
+                    out.append((int(keys[b]), pack(doc[x], tg[x], pos[x], doc[y], tg[y], pos[y])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "data"])
 
