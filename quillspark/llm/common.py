@@ -8,7 +8,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for notebooks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def drop(*tables: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 1200) -> None:
     """Rows here are whole texts: a batch of Spark's 10,000 is tens of megabytes, held several times on the way to Python and back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -92,7 +91,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in raw(column)]
 
 
-def slices(batches, rows: int = 500):
+def slices(batches, rows: int = 1200):
     """Smaller batches, so that few texts are held as objects at once."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
