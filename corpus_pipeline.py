@@ -12,31 +12,31 @@ from quillspark.llm import common, exact_dedup, mixing, packing, quality, simhas
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or stray from every language reference go."""
-    common.small_batches(spark)
+    common.small_batches(spark, 500)
     return quality.keep(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays."""
-    common.small_batches(spark)
+    common.small_batches(spark, 500)
     return exact_dedup.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays."""
-    common.small_batches(spark)
+    common.small_batches(spark, 500)
     return simhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    common.small_batches(spark)
+    common.small_batches(spark, 500)
     return mixing.apply(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of at most 1024 tokens."""
-    common.small_batches(spark)
+    common.small_batches(spark, 500)
     return packing.report(docs)
 
 
