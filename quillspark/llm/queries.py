@@ -21,11 +21,15 @@ _QUERIES = {
 }
 
 
+#: Texts in a batch to Python; packing gains by more, as a batch repeats more of its words.
+_ROWS = {"packing": 1200}
+
+
 def _query(module: str, function: str, table: str):
     f = getattr(importlib.import_module(f"{__package__}.{module}"), function)
 
     def run(spark, sf_dir):
-        common.small_batches(spark)
+        common.small_batches(spark, _ROWS.get(module, 500))
         return f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     return run
