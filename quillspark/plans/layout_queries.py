@@ -232,11 +232,11 @@ SELECT v.doc_id, v.ord, 'slow', (coalesce((SELECT max(chunk) FROM a WHERE a.doc_
 
 
 def dice_of_neighbours(spark, d):
-    """X17 / F32 between each document and the next: cut to 400 characters of surface, which is the operator's own input here."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring(T.surface(F.col("text")), 1, 400).alias("s"))
+    """X17 / F32 between the whole surfaces of each document and the next. The SQL twin still cuts them to 400 characters, so it agrees only where none is longer."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.surface(F.col("text")).alias("s"))
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("n"))
     both = docs.join(nxt, "doc_id")
-    return both.select("doc_id", similarity.dice(F.col("s"), F.col("n")).alias("dice"), similarity.copy_dominant(F.col("s"), F.col("n")).alias("copied"))
+    return both.select("doc_id", similarity.dice(F.col("s"), F.col("n")).alias("dice"), similarity.copied_surface(F.col("s"), F.col("n")).alias("copied"))
 
 
 _GRAMS = "(SELECT x.doc_id, substr(x.{c}, i, 2) AS g, count(*) AS n FROM p x, range(1, 400) t(i) WHERE i < length(x.{c}) GROUP BY ALL)"
