@@ -2,7 +2,7 @@
 
 Both tokenizers here split a text before merging, and never merge across a white-space boundary. So a text is cut where a cut
 cannot matter, each distinct part is encoded once by the library, and the parts' ids are joined; a text with any unusual white
-space is encoded whole. The memo lives in the worker process and never changes a result. It holds two generations of at most ``MOST`` parts:
+space or an added token is encoded whole. The memo lives in the worker process and never changes a result. It holds two generations of at most ``MOST`` parts:
 when the young one is full it becomes the old one, from which parts come back when they are met again."""
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ class Memo:
         with open(path, encoding="utf-8") as f:
             model = f.read()
         self.tok = Tokenizer.from_str(model)
-        self.tok.encode_special_tokens = True
-        own = json.loads(model)["model"]
+        own = json.loads(model)
+        self.added = [x["content"].encode() for x in own.get("added_tokens") or ()]
+        own = own["model"]
         self.suffix = own.get("end_of_word_suffix") or ""
         self.length = np.zeros(self.tok.get_vocab_size(), np.int64)  # bytes of each token: one character stands for each
         for token, i in own["vocab"].items():
@@ -94,6 +95,14 @@ class Memo:
         found = self.tok.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, self.type).tobytes() for x in found]
 
+    def bare(self, words: list[bytes]) -> list[bytes]:
+        """Like ``whole`` for parts of texts without added tokens: what lower-casing made to look like one is none."""
+        self.tok.encode_special_tokens = True
+        try:
+            return self.whole(words)
+        finally:
+            self.tok.encode_special_tokens = False
+
     def join(self, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts text[start:end] in a row, and the number of ids of each.
 
@@ -153,7 +162,7 @@ class Memo:
             self.ids.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of ``self.type``; texts in slices, so that few are held at once."""
+        """Ids of each text as little-endian bytes of ``self.type``; texts in slices, so that few are held at once. One that holds an added token is encoded whole."""
         out = []
         i = 0
         while i < len(texts):
@@ -161,7 +170,11 @@ class Memo:
             while j < len(texts) and held < 4_000_000:
                 held += len(texts[j])
                 j += 1
-            out += self.some(texts[i:j])
+            part = texts[i:j]
+            special = [any(x in t for x in self.added) for t in part]
+            whole = iter(self.whole([t for t, s in zip(part, special) if s]))
+            rest = iter(self.some([t for t, s in zip(part, special) if not s]))
+            out += [next(whole) if s else next(rest) for s in special]
             i = j
         return out
 
@@ -243,7 +256,7 @@ class WordMemo(Memo):
         return [w.lower().decode() if w.isalpha() else other(w) for w in words]
 
     def learn_hard(self, words: list[bytes]) -> None:
-        self.ids.update(zip(words, self.whole(words)))
+        self.ids.update(zip(words, self.bare(words)))
 
     def some(self, texts: list[bytes]) -> list[bytes]:
         text = b" ".join(texts).lower()  # A-Z alone; the library lowers all letters anyway
