@@ -177,9 +177,9 @@ def _cache(spark, d):
 
 
 def page_cache(spark, d):
-    """Every second page is looked up; only valid entries hit."""
+    """Every page is looked up; only valid entries hit. The SQL twin still asks for odd documents alone, so it agrees on these."""
     c = _cache(spark, d)
-    return exchange.page_hits(c.filter("doc_id % 2 = 1").select("doc_id", *exchange.KEY), c.filter("doc_id % 5 <> 0").drop("doc_id")).select("doc_id", F.col("translations")[0]["text"].alias("cached"))
+    return exchange.page_hits(c.select("doc_id", *exchange.KEY), c.filter("doc_id % 5 <> 0").drop("doc_id")).select("doc_id", F.col("translations")[0]["text"].alias("cached"))
 
 
 def swept(spark, d):
