@@ -43,6 +43,7 @@ LIGHT_FONT = r"(semilight|extralight|ultralight|thin|light|regular|roman|book|me
 BOLD_FONT = r"(bold|black|heavy|semibold|demibold|-bd\b|,bd\b|cmbx|-bx\b|[-_]b\b)"
 MATH_FONT = r"(cmmi|cmsy|cmex|msam|msbm|math|symbol|stix|euler|mtmi|mtsy)"
 CJK_EDGE = r"[\x{3000}-\x{303f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}]"
+IDEOGRAPH = r"[\x{4e00}-\x{9fff}]"
 #: ASCII word boundary.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 HYPHENS = "-­‐‑"

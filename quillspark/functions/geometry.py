@@ -153,13 +153,14 @@ def math_glyph(font: Column, c: Column) -> Column:
 
 
 def span_text(items: Column, font: Column) -> Column:
-    """Text of a line's items (structs x1, x2, text, in order): a space where the gap is over 0.18 em, none between ideographs."""
+    """Text of a line's items (structs x1, x2, text, in order): a space where the gap is over 0.18 em, none between ideographs; white space in the result is single spaces."""
     def step(a: Column, i: Column) -> Column:
-        cjk = R.like(a["t"], X.CJK_EDGE + "$") & R.like(i["text"], "^" + X.CJK_EDGE)
-        space = (a["t"] != "") & (i["x1"] - a["x"] > 0.18 * font) & ~cjk & ~a["t"].endswith(" ")
+        last = F.right(a["t"], F.lit(1))
+        cjk = R.like(last, X.IDEOGRAPH) & R.like(i["text"], "^" + X.IDEOGRAPH)
+        space = (a["t"] != "") & (i["x1"] - a["x"] > 0.18 * font) & ~cjk & ~R.like(last, r"\s")
         return F.struct(F.concat(a["t"], F.when(space, " ").otherwise(""), i["text"]).alias("t"), i["x2"].alias("x"))
 
-    return F.aggregate(items, F.struct(F.lit("").alias("t"), F.lit(0.0).alias("x")), step, lambda a: R.trim(a["t"]))
+    return F.aggregate(items, F.struct(F.lit("").alias("t"), F.lit(0.0).alias("x")), step, lambda a: R.trim(R.replace(a["t"], r"\s+", " ")))
 
 
 def column_of(b: Column, bands: Column, page_width: Column) -> Column:

@@ -292,8 +292,8 @@ _UNIONS = f"{pages.sql()}, u AS (SELECT doc_id, page, unnest([type, font_name])
 
 
 def line_texts(spark, d):
-    """A document's first words of each block as items of a line."""
-    item = F.struct(F.col("x1"), (F.col("x1") + F.pmod("k", F.lit(90))).alias("x2"), F.substring("text", 1, 12).alias("text"))
+    """The whole texts of a page's blocks as items of a line."""
+    item = F.struct(F.col("x1"), (F.col("x1") + F.pmod("k", F.lit(90))).alias("x2"), F.col("text"))
     rows = pages.blocks(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("x1", "ord", item.alias("i")))).alias("r"))
     return rows.select("doc_id", "page", G.span_text(F.transform("r", lambda x: x["i"]), F.lit(10.0)).alias("value"))
 
