@@ -7,7 +7,8 @@ the exact conditional likelihood (forward-backward), on labelled pages that :fun
 decodes by Viterbi. Training takes some seconds on the driver, once a session, is deterministic, and needs no page of the input.
 
 Defined cases: null or empty html, or no main block: empty text; equal rows get equal results; broken markup never fails (a stray < is text, open elements
-end with the page); an empty table gives an empty result; extra columns don't matter; pages of any length are handled whole."""
+end with the page, but a raw element other than a script or style that is never closed hides
+nothing); an empty table gives an empty result; extra columns don't matter; pages of any length are handled whole."""
 
 from __future__ import annotations
 
@@ -21,18 +22,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|aria-label|itemprop|data-[a-z-]+|href)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one attribute after the other, whatever its name
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+", re.I)
 # HTML element groups.
 BLOCK = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math canvas object audio video xmp noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style noscript template svg math select option button input textarea object iframe canvas audio video datalist".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas object audio video xmp noembed noframes plaintext".split())
+UNSEEN = frozenset("head title script style noscript template svg select option button input textarea object iframe canvas audio video datalist".split())
+HIDDEN = UNSEEN | {"annotation", "annotation-xml"}  # the last two are inside formulas, whose own text is seen
+NESTED = frozenset("svg canvas object audio video template".split())  # raw elements whose content has tags
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 
 
+def _attributes(rest: str) -> tuple[list[tuple[str, str]], bool]:
+    """Names and values of a start tag's attributes, and whether the tag closes itself (a slash in a bare value does not)."""
+    found, bare = [], False
+    for a in _ATTR.finditer(rest):
+        value = a[2] or ""
+        bare = a.end() == len(rest) and value[:1] not in ("", '"', "'")
+        found.append((a[1].lower(), value.strip("\"'").lower()))
+    return found, rest.endswith("/") and not bare
+
+
+class _Ends:
+    """Where the raw elements of a page end. Each end tag is met once, so that unclosed elements cost no search each."""
+
+    def __init__(self, page: str):
+        self.page, self.without = page, set()
+        self.of: dict[int, int] | None = None
+
+    def first(self, tag: str, pos: int) -> int | None:
+        """End of a raw text that begins at ``pos``: its first end tag."""
+        if tag in self.without:
+            return None
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, pos)
+        if not m:
+            self.without.add(tag)
+        return m.end() if m else None
+
+    def nested(self, pos: int) -> int | None:
+        """End of the element of ``NESTED`` whose start tag ends at ``pos``: the end tag of its own depth."""
+        if self.of is None:
+            self.of = {}
+            opened: dict[str, list[int]] = {tag: [] for tag in NESTED}
+            at = 0
+            while m := _TOKEN.search(self.page, at):
+                at = m.end()
+                tag = (m[2] or "").lower()
+                if tag in NESTED:
+                    if not m[1]:
+                        if not (tag == "svg" and _attributes(m[3] or "")[1]):
+                            opened[tag].append(at)
+                    elif opened[tag]:
+                        self.of[opened[tag].pop()] = at
+                elif tag in RAW and not m[1]:
+                    at = self.first(tag, at) or (len(self.page) if tag in ("script", "style") else at)
+        return self.of.get(pos)
+
+
 class Block:
     __slots__ = ("text", "linked", "path", "names", "near")
 
@@ -67,10 +116,10 @@ def blocks(page: str) -> list[Block]:
     def pop() -> None:
         nonlocal hidden, links
         tag, names = stack.pop()
-        hidden -= tag in UNSEEN or "!hidden" in names
+        hidden -= tag in HIDDEN or "!hidden" in names
         links -= tag == "a"
 
-    pos, size = 0, len(page)
+    pos, size, ends = 0, len(page), _Ends(page)
     while pos < size:
         m = _TOKEN.search(page, pos)
         if not m:
@@ -107,18 +156,19 @@ def blocks(page: str) -> list[Block]:
             while tag in ("tr", "dd", "dt") and stack and stack[-1][0] in SELF_CLOSING[tag]:
                 pop()
         names: list[str] = []
-        for a in _ATTR.finditer(m[3] or ""):
-            key, value = a[1].lower(), (a[2] or "").strip("\"'").lower()
+        attributes, closed = _attributes(m[3] or "")
+        for key, value in attributes:
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 names.append("!hidden")
             elif key in ("class", "id", "role", "itemprop", "aria-label"):
                 names += _NAME.findall(value)
         stack.append((tag, tuple(names)))
-        hidden += tag in UNSEEN or "!hidden" in names
+        hidden += tag in HIDDEN or "!hidden" in names
         links += tag == "a"
-        if tag in RAW:  # its content is no markup
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else size
+        if tag in RAW:  # its content makes no text; without an end tag only scripts and styles go on to the end
+            if not (tag == "svg" and closed):
+                end = ends.nested(pos) if tag in NESTED else ends.first(tag, pos)
+                pos = end or (size if tag in ("script", "style") else pos)
             pop()
     close()
     return out
