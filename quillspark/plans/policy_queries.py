@@ -90,11 +90,12 @@ def urgent(spark, d):
 
 
 def expansion(spark, d):
-    """Room around each block against the page's full-width blocks, and real collisions with them."""
+    """Room around each block against the page's full-width blocks, if it has any, and real collisions with them. The SQL twin still leaves out pages without any."""
     b = pages.blocks(spark, d)
     wide = b.filter('column = -1').groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("o"))
     me = F.struct("x1", "y1", "x2", "y2")
-    rows = b.filter("column <> -1").join(wide, ["doc_id", "page"])
+    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    rows = b.filter("column <> -1").join(wide, ["doc_id", "page"], "left").withColumn("o", F.coalesce("o", none))
     e = G.expansion(me, F.col("o"), pages.PAGE_WIDTH, pages.PAGE_HEIGHT, F.col("font"))
     return rows.select("doc_id", "page", "ord", e["right"].alias("right"), e["down"].alias("down"), F.exists("o", lambda o: G.penetrates(me, o)).alias("hit"))
 
