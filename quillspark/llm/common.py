@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,9 +21,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own (local tests only)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master may do without: its tasks share this machine's folder."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (at or f"file:{tempfile.gettempdir()}/quillspark-shared").rstrip("/")
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file:{tempfile.gettempdir()}/quillspark-shared"
+    return at.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -74,10 +80,36 @@ def drop(*tables: DataFrame) -> None:
             _made[:] = [x for x in _made if x[1] != path]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows here are whole texts: a batch of Spark's 10,000 is tens of megabytes, held several times on the way to Python and back."""
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int = 500):
+    """Rows here are whole texts: a batch of Spark's 10,000 is tens of megabytes, held several times on the way to Python and back.
+
+    Holds for what runs inside; the session's own setting comes back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
     spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Integer columns as differences, compressed: small if they are sorted."""
+    import zstandard
+
+    n = len(columns[0])
+    body = b"".join(np.diff(c.astype(np.int64), prepend=0).view(np.uint8).reshape(n, 8).T.tobytes() for c in columns) if n else b""
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(n).tobytes() + body)
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    parts = np.frombuffer(raw[8:], np.uint8).reshape(columns, 8, n)
+    return [np.cumsum(np.ascontiguousarray(p.T).view(np.int64).reshape(-1)) for p in parts]
 
 
 def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

@@ -23,14 +23,17 @@ _QUERIES = {
 
 #: Texts in a batch to Python; packing gains by more, as a batch repeats more of its words.
 _ROWS = {"packing": 1200}
+#: Their last step gives whole texts to Python: it runs while the batches are small, and its few columns are written.
+_LAST_IN_PYTHON = {"substring_dedup", "langid", "quality", "htmlcrf"}
 
 
 def _query(module: str, function: str, table: str):
     f = getattr(importlib.import_module(f"{__package__}.{module}"), function)
 
     def run(spark, sf_dir):
-        common.small_batches(spark, _ROWS.get(module, 500))
-        return f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        with common.batches(spark, _ROWS.get(module, 500)):
+            out = f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return common.materialize(out) if module in _LAST_IN_PYTHON else out
 
     return run
 

@@ -56,24 +56,6 @@ def edges(code: np.ndarray, k: int = K) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Sorted integer columns as differences, compressed."""
-    import zstandard
-
-    n = len(columns[0])
-    body = b"".join(np.diff(c.astype(np.int64), prepend=0).view(np.uint8).reshape(n, 8).T.tobytes() for c in columns) if n else b""
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(n).tobytes() + body)
-
-
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    parts = np.frombuffer(raw[8:], np.uint8).reshape(columns, 8, n)
-    return [np.cumsum(np.ascontiguousarray(p.T).view(np.int64).reshape(-1)) for p in parts]
-
-
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
     return ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
 
@@ -123,12 +105,12 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             part = ((h[i] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             for p, at in _split(part, parts):
                 j = i[at]
-                yield int(keys[p]), 0, h[j].tobytes(), pack(doc[of[j]], tg[of[j]], pos[j])
+                yield int(keys[p]), 0, h[j].tobytes(), common.pack(doc[of[j]], tg[of[j]], pos[j])
 
         def answer(doc, tg, pos, src, src_tag, src_pos):
             for b, at in _split(block_of(doc, blocks), blocks):
                 at = at[np.lexsort((pos[at], tg[at], doc[at]))]
-                yield int(keys[b]), 1 + b, None, pack(doc[at], tg[at], pos[at], src[at], src_tag[at], src_pos[at])
+                yield int(keys[b]), 1 + b, None, common.pack(doc[at], tg[at], pos[at], src[at], src_tag[at], src_pos[at])
 
         def batch(found):
             found = list(found)
@@ -155,7 +137,7 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             out = [(int(keys[kind - 1]), data) for kind, data in back]
             if sent:
                 h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in sent])
-                doc, tg, pos = (np.concatenate(c) for c in zip(*(unpack(d, 3) for _, d in sent)))
+                doc, tg, pos = (np.concatenate(c) for c in zip(*(common.unpack(d, 3) for _, d in sent)))
                 order = np.argsort(h, kind="stable")
                 hs = h[order]
                 again = np.zeros(len(h), bool)
@@ -172,14 +154,14 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
                     x, y = i[at], low[at]
                     s = np.lexsort((pos[x], tg[x], doc[x]))
                     x, y = x[s], y[s]
-                    out.append((int(keys[b]), pack(doc[x], tg[x], pos[x], doc[y], tg[y], pos[y])))
+                    out.append((int(keys[b]), common.pack(doc[x], tg[x], pos[x], doc[y], tg[y], pos[y])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "data"])
 
     def compact(batches):
         """One block of documents: edges that follow one another become a path."""
         for _, t in common.Runs(batches, "block"):
-            doc, tg, pos, src, src_tag, src_pos = (np.concatenate(c) for c in zip(*(unpack(d, 6) for d in t.column("data").to_pylist())))
+            doc, tg, pos, src, src_tag, src_pos = (np.concatenate(c) for c in zip(*(common.unpack(d, 6) for d in t.column("data").to_pylist())))
             o = np.lexsort((pos, tg, doc))
             doc, tg, pos, src, src_tag, src_pos = (x[o] for x in (doc, tg, pos, src, src_tag, src_pos))
             start = np.ones(len(doc), bool)

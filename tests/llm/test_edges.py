@@ -112,21 +112,94 @@ def test_class_lm_counts_and_base(spark):
         assert all(r.score < 0 for r in got)
 
 
-def test_class_model_is_a_distribution():
+@pytest.mark.parametrize("head, units", [(100_000, 1024), (100_000, 8), (20, 8), (0, 8)])
+def test_class_lm_score_by_brute_force(spark, monkeypatch, head, units):
+    monkeypatch.setattr(classlm, "HEAD", head)
+    monkeypatch.setattr(classlm, "UNITS", units)
+    data = rows(3000)
+    m = classlm.train_model(frame(spark, data))
+    beyond = {bytes(r.word): r["class"] for r in m["tail"].collect()}
+    of = {w: int(m["class"][i]) for w, i in m["head"].numbers().items()} | beyond | {"end": 0}
+    texts = [(i, [w.lower() for w in words(t)] + ["end"]) for i, t, *_ in data]
+    count, k = Counter(), classlm.CLASSES
+    between = np.zeros((k, k))
+    for i, w in texts:
+        if mod(i, 5) != 1:
+            count.update(w)
+            for a, b in zip(["end", *w], w):
+                if not (a in beyond and b in beyond):
+                    between[of[a], of[b]] += 1
+    assert set(count) == set(of) and all(0 < c < k for w, c in of.items() if w != "end")  # every training word has a class of its own
+    room = np.array([sum(count[w] for w in of if of[w] == c) + 0.5 * (sum(of[w] == c for w in of) + 1) for c in range(k)])
+    step = (between + classlm.KAPPA * room / room.sum()) / (between.sum(1, keepdims=True) + classlm.KAPPA)
+    assert np.allclose(step.sum(1), 1)
+    want = []
+    for i, w in texts:
+        state, log = np.eye(k)[0], 0.0
+        for x in w:
+            state = state @ step
+            state = state * (0.5 / room) if not count[x] else state * np.eye(k)[of[x]] * (count[x] + 0.5) / room
+            log += log10(state.sum())
+            state /= state.sum()
+        want.append((str(i), len(w), round(log, 4)))
+    got = classlm.score(m).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in got) == sorted(want)
+
+
+def objective(n, of, classes):
+    one = np.eye(classes)[of]
+    pair = one.T @ n @ one
+    f = classlm.f
+    return f(pair).sum() - f(pair.sum(0)).sum() - f(pair.sum(1)).sum()
+
+
+def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(0)
-    n = rng.integers(0, 5, (classlm.UNITS + 1 + classlm.ENDINGS,) * 2).astype(float)
-    n[40:, :] = n[:, 40:] = 0
-    of = classlm.exchange(n, classes=8, sweeps=4, fixed=0)
-    assert of[0] == 0 and (of[1:] > 0).all()
+    n = rng.integers(0, 5, (30, 30)).astype(float)
+    of = np.append(1 + np.arange(25) % 7, [0, 8, 3, 4, 5])  # 25 units move; one of the others is without a class
+    new, moves = classlm.exchange(n, of, 25, classes=8, sweeps=100)
+    assert moves and (new[25:] == of[25:]).all() and (new[:25] > 0).all() and (new[:25] < 8).all()
+    best = objective(n, new, 9)
+    assert best >= objective(n, of, 9)
+    for w in range(25):
+        for c in range(1, 8):
+            assert objective(n, np.where(np.arange(30) == w, c, new), 9) <= best + 1e-6
+
+
+def test_choose_takes_the_class_of_the_largest_gain():
+    rng = np.random.default_rng(1)
+    every, m = 6, 40
+    n = rng.integers(0, 4, (m, m)).astype(float)
+    np.fill_diagonal(n, 0)  # the sweep at once counts a word's bigrams with itself by its old class
+    of = rng.integers(1, every, m)
+    of[0] = 0
+    pair = np.eye(every)[of].T @ n @ np.eye(every)[of]
+    cells = [(w, s, c, (n[:, w] if s == 0 else n[w])[of == c].sum()) for w in range(m) for s in (0, 1) for c in range(every)]
+    w, s, c, k = (np.array(x) for x in zip(*[x for x in cells if x[3]]))
+    got = classlm.choose(w, s, c, k, of, pair)
+    for i in range(1, m):
+        others = np.arange(m) != i
+        rest = np.eye(every)[of[others]].T @ n[np.ix_(others, others)] @ np.eye(every)[of[others]]
+        gains = []
+        for b in range(1, every - 1):
+            g = 0.0
+            for side, own in ((0, pair), (1, pair.T)):
+                x = np.array([(n[:, i] if side == 0 else n[i])[of == d].sum() for d in range(every)])
+                y = own[:, b] - (of[i] == b) * x
+                g += (classlm.f(y + x) - classlm.f(y)).sum() - classlm.f(y.sum() + x.sum()) + classlm.f(y.sum())
+            gains.append(g)
+        assert rest.sum() <= pair.sum() and gains[got[i] - 1] == pytest.approx(max(gains))
 
 
 def test_exchange_finds_planted_classes():
-    # Words 1-10 are always followed by 11-20 and these by 1-10.
+    # Words 0-9 are always followed by 10-19 and these by 0-9; 20 is the end token.
     n = np.zeros((21, 21))
-    n[1:11, 11:21] = n[11:21, 1:11] = 7
-    n[0, 1:11] = n[11:21, 0] = 1
-    of = classlm.exchange(n, classes=3, sweeps=10, fixed=0)
-    assert len(set(of[1:11])) == 1 and len(set(of[11:21])) == 1 and of[1] != of[11]
+    n[:10, 10:20] = n[10:20, :10] = 7
+    n[20, :10] = n[10:20, 20] = 1
+    of = np.append(1 + np.arange(20) % 2, 0)
+    of[:2] = 2
+    of, _ = classlm.exchange(n, of, 20, classes=3, sweeps=10)
+    assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10]
 
 
 def brute_base(text):
