@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import common, exact_dedup, mixing, packing, quality, simhash
 
 
+# Every stage: null texts count as empty; texts of any length are handled whole; rows with equal ids or equal in all columns are rows of their own; an
+# empty table gives an empty one; extra columns of any name are kept (the last stage returns its own columns only). The operators' docstrings say more.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or stray from every language reference go."""
-    common.small_batches(spark, 500)
-    return quality.keep(docs)
+    """Documents that fail the base rules or stray from every language reference go.
+
+    Null and empty texts have no words and go; of equal rows all stay or all go; a null lang makes no reference but is judged."""
+    with common.batches(spark):  # what is given to Python runs while batches are small
+        return common.materialize(quality.keep(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
-    common.small_batches(spark, 500)
+    """Of equal texts the longest original stays, then the smallest doc_id (null last); of rows equal in both, one. Null and empty texts are one group."""
     return exact_dedup.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    common.small_batches(spark, 500)
-    return simhash.deduplicate(docs)
+    """Of each group of linked fingerprints the document with the smallest doc_id stays (null last; of equal ids one). Null and empty texts have fingerprint zero."""
+    with common.batches(spark):
+        return simhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    common.small_batches(spark, 500)
+    """Every document as many times as the mix takes it, 0 to 3. A null source is a source of its own; null and empty texts have size 0; rows of equal rank are taken in an
+    order of their sizes."""
     return mixing.apply(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 1024 tokens."""
-    common.small_batches(spark, 500)
-    return packing.report(docs)
+    """Pieces of the mixed documents in sequences of at most 1024 tokens. Null and empty texts are their end id; copies are pieces of their own."""
+    with common.batches(spark):
+        return packing.report(docs)
 
 
 STAGES = [
