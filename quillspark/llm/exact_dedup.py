@@ -1,13 +1,17 @@
 """Exact deduplication by two passes over a Bloom filter of repeated hashes (DataFrame functions only).
 
-Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. Pass one counts slots of a 64-bit hash (8 bytes a
-row, combined map-side) and makes a bitmap of the slots met twice or more; pass two tests every row against it. Rows
-outside are surely single and go straight through; only the possibly repeated ones shuffle, by SHA-256, so a false
-positive of the filter costs a shuffled row and never a wrong result.
+Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. The filter counts to two: it consists of pieces of ``PIECE`` bits, a text's SHA-256 selects
+one piece and ``HASHES`` bits of it. Pass one finds the bits met twice or more: a task sends the numbers of its bits, combined (8 bytes for each different one; whole
+partial filters would cost tasks x filter, which grows with the square of the input). Pass two tests every row: if one of its bits was met only once, the row is surely
+single and goes straight through. Only the possibly repeated rows shuffle, by SHA-256, so a false positive costs a shuffled row (about 1 of 600 single ones) and never a
+wrong result.
+
+The filter grows with the rows, ``BITS_A_ROW`` bits each. It is never broadcast whole: rows are written by ranges of at most ``RANGE`` pieces (32 MB), and each
+range's rows are read and tested against its part of the filter. Up to 11 million rows are one range.
 
 Defined cases: a null text counts as empty, and all empty texts are one group; a null doc_id sorts after every
-id; equal rows (same id and text) are told apart only by order, one of them stays; an empty table gives an empty result;
-extra columns pass through unchanged, also ones named like the helper columns (these carry a prefix of their own)."""
+id; equal rows (same id and text) are told apart only by order, one of them stays; an empty table gives an empty result; texts of any length are hashed whole;
+extra columns pass through :func:`deduplicate` unchanged, whatever their names (the helper columns are kept apart from them)."""
 
 from __future__ import annotations
 
@@ -17,49 +21,59 @@ from pyspark.sql import functions as F
 from . import common
 
 P = "__xd_"
-#: Bits of the filter a row; the bitmap of 32,768-bit pieces is broadcast only up to so many pieces (4 KB each).
-BITS_A_ROW, LEAST_BITS, MOST_PIECES, PIECE = 64, 8, 16384, 32768
-
-
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with its size, normalised SHA-256 and 64-bit hash."""
-    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", "")
-    return docs.select("*", F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias(P + "n"), F.sha2(norm.cast("binary"), 256).alias(P + "sha"))
+BITS_A_ROW, HASHES, PIECE, RANGE = 24, 3, 32768, 8192
 
 
-def repeated_slots(hashes: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """Pass one: the filter's slots that two or more rows of ``hashes`` hit, and the number of bitmap pieces."""
-    pieces = max(1, -(-total * BITS_A_ROW // PIECE))
-    if pieces > MOST_PIECES >= -(-total * LEAST_BITS // PIECE):
-        pieces = MOST_PIECES
-    slots = hashes.select(slot_of(pieces).alias(P + "slot"))
-    return slots.groupBy(P + "slot").agg(F.count("*").alias(P + "c")).filter(F.col(P + "c") > 1).select(P + "slot"), pieces
+def filter_pieces(total: int) -> int:
+    return max(1, -(-total * BITS_A_ROW // PIECE))
 
 
-def slot_of(pieces: int) -> Column:
-    return F.pmod(F.xxhash64(P + "sha"), F.lit(pieces * PIECE))
-
-
-def possibly_repeated(rows: DataFrame, again: DataFrame, pieces: int) -> DataFrame:
-    """Pass two: ``rows`` plus a boolean, false only if no other row has its hash.
-
-    The filter has one hash function over 64 bits a row (fewer, down to 8, near the broadcast bound of 64 MB), so about
-    1 row of 64 is a false positive. Beyond the bound the slots join the rows by a shuffle instead."""
-    rows = rows.withColumn(P + "slot", slot_of(pieces))
-    if pieces > MOST_PIECES:
-        return rows.join(again.withColumn(P + "hit", F.lit(True)), P + "slot", "left").withColumn(P + "hit", F.coalesce(P + "hit", F.lit(False)))
-    bitmap = again.groupBy(F.floor(F.col(P + "slot") / PIECE).alias(P + "piece")).agg(F.bitmap_construct_agg(F.pmod(P + "slot", F.lit(PIECE))).alias(P + "bits"))
-    rows = rows.withColumn(P + "piece", F.floor(F.col(P + "slot") / PIECE)).join(F.broadcast(bitmap), P + "piece", "left")
-    byte = f"coalesce(cast(conv(hex(substring({P}bits, cast(pmod({P}slot, {PIECE}) div 8 as int) + 1, 1)), 16, 10) as int), 0)"
-    return rows.withColumn(P + "hit", F.expr(f"(shiftright({byte}, cast(pmod({P}slot, 8) as int)) & 1) = 1")).drop(P + "bits", P + "piece")
+def prepared(docs: DataFrame, carry: list[str], id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``carry``, row number, size, SHA-256 and filter piece of every row, written by range of pieces; and the number of rows."""
+    total = docs.count()
+    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", "")
+    rows = docs.select(
+        *carry,
+        F.col(id_col).alias(P + "id"),
+        F.monotonically_increasing_id().alias(P + "row"),
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias(P + "n"),
+        F.sha2(norm.cast("binary"), 256).alias(P + "sha"),
+    )
+    rows = rows.withColumn(P + "piece", F.pmod(F.xxhash64(P + "sha"), F.lit(filter_pieces(total))))
+    return common.materialize(rows.withColumn(P + "range", F.floor(F.col(P + "piece") / RANGE)), by=P + "range"), total
+
+
+def bit(k: int) -> Column:
+    """Number within its piece of the row's k-th bit."""
+    return F.pmod(F.xxhash64(F.lit(k), F.col(P + "sha")), F.lit(PIECE))
+
+
+def filter_of(rows: DataFrame) -> DataFrame:
+    """Pass one: (piece, bits), a bitmap of the bits that two or more rows have."""
+    slots = rows.select(F.explode(F.array(*[F.col(P + "piece") * PIECE + bit(k) for k in range(HASHES)])).alias("slot"))
+    again = slots.groupBy("slot").agg(F.count("*").alias("c")).filter("c > 1")
+    return again.groupBy(F.floor(F.col("slot") / PIECE).alias(P + "piece")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(PIECE))).alias(P + "bits"))
+
+
+def possibly_repeated(rows: DataFrame, total: int) -> DataFrame:
+    """Pass two: ``rows`` of :func:`prepared` plus ``__xd_hit``, false only if no other row has the same hash."""
+    out = None
+    for r in range(-(-filter_pieces(total) // RANGE)):
+        mine = rows.filter(F.col(P + "range") == r)
+        met = mine.join(F.broadcast(filter_of(mine)), P + "piece", "left")  # at most RANGE pieces of 4 KB
+        hit = F.col(P + "bits").isNotNull()
+        for k in range(HASHES):
+            byte = F.conv(F.hex(F.substring(F.col(P + "bits"), (bit(k) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            hit = hit & (F.call_function("shiftright", byte, F.pmod(bit(k), F.lit(8)).cast("int")).bitwiseAND(1) == 1)
+        met = met.withColumn(P + "hit", hit).drop(P + "bits")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, SHA, keep id, group size, kept) for every row; texts don't shuffle."""
-    slim = digests(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
-    slim = common.materialize(slim.withColumn(P + "row", F.monotonically_increasing_id()))
-    total = slim.count()
-    tested = possibly_repeated(slim, *repeated_slots(slim, total))
+    slim, total = prepared(docs, [], id_col, text_col)
+    tested = common.materialize(possibly_repeated(slim, total).select(F.col(P + "id").alias("doc_id"), P + "row", P + "n", P + "sha", P + "hit"))
     single = tested.filter(~F.col(P + "hit")).select("doc_id", P + "row", P + "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = tested.filter(P + "hit").select("doc_id", P + "row", P + "n", P + "sha")
     joined = common.attach(maybe, maybe.groupBy(P + "sha").agg(F.count("*").alias("group_size"), first("doc_id")), P + "sha", "group_size", total)
@@ -79,12 +93,12 @@ def report(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns of ``docs``; of equal rows with equal ids one stays.
 
-    Pass two writes rows with their hash and the filter's answer. Single rows are read from there without a shuffle;
-    of the possibly repeated, those that stay come by a join with the groups' best rows."""
-    rows = digests(docs, id_col, text_col)
-    slim = common.materialize(rows.select(P + "sha"))
-    total = slim.count()
-    tested = common.materialize(possibly_repeated(rows, *repeated_slots(slim, total)).withColumn(P + "row", F.monotonically_increasing_id()))
+    Rows are written once with their hashes; both passes read only the hashes. Single rows are read again without a shuffle; of the possibly repeated, those that stay
+    come by a join with the groups' best rows."""
+    names = [f"{P}c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    rows, total = prepared(docs.toDF(*names), names, of[id_col], of[text_col])
+    tested = possibly_repeated(rows, total)
     maybe = tested.filter(P + "hit")
-    stay = maybe.groupBy(P + "sha").agg(first(id_col)).select(F.col("best.row").alias(P + "row"))
-    return tested.filter(~F.col(P + "hit")).select(*docs.columns).unionByName(maybe.join(stay, P + "row", "left_semi").select(*docs.columns))
+    stay = maybe.groupBy(P + "sha").agg(first(P + "id")).select(F.col("best.row").alias(P + "row"))
+    return tested.filter(~F.col(P + "hit")).select(*names).unionByName(maybe.join(stay, P + "row", "left_semi").select(*names)).toDF(*docs.columns)

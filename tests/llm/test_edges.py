@@ -368,8 +368,25 @@ def test_exact_dedup_by_brute_force(spark):
     assert left.columns == frame(spark).columns and left.count() == len(groups)
 
 
-def test_exact_dedup_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MOST_PIECES", 0)
+@pytest.mark.parametrize("bits, pieces", [(24, 8192), (2000, 1), (1, 8192)])
+def test_exact_dedup_in_ranges(spark, monkeypatch, bits, pieces):
+    """Many ranges of one piece each, and a filter so full that it lets most single rows shuffle, give the same rows."""
     a = Counter(tuple(r) for r in exact_dedup.report(frame(spark)).collect())
-    monkeypatch.undo()
+    monkeypatch.setattr(exact_dedup, "BITS_A_ROW", bits)
+    monkeypatch.setattr(exact_dedup, "RANGE", pieces)
     assert a == Counter(tuple(r) for r in exact_dedup.report(frame(spark)).collect())
+    assert exact_dedup.deduplicate(frame(spark)).count() == sum(k[3] * n for k, n in a.items())
+
+
+def test_bloom_filter_lets_single_rows_pass(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2 if i < 1000 else i}") for i in range(21_000)], "doc_id long, text string")
+    rows, total = exact_dedup.prepared(docs, [], "doc_id", "text")
+    hit = {r["__xd_id"] for r in exact_dedup.possibly_repeated(rows, total).filter("__xd_hit").collect()}
+    assert hit >= set(range(1000)) and len(hit) < 1000 + 200  # no repeated row is missed, hardly a single one shuffles
+
+
+def test_exact_dedup_carries_any_column(spark):
+    names = ["doc_id", "text", "__xd_row", "__xd_sha", "__xd_hit", "__xd_c0", "slot"]
+    data = [(1, "a b", 7, "s", True, "p", 1), (2, "ab", 8, "t", None, "q", 2), (3, "c", 9, None, False, "r", 3)]
+    out = exact_dedup.deduplicate(spark.createDataFrame(data, "doc_id long, text string, __xd_row long, __xd_sha string, __xd_hit boolean, __xd_c0 string, slot long"))
+    assert out.columns == names and sorted(tuple(r) for r in out.collect()) == [data[0], data[2]]
