@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator on documents."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -344,6 +345,60 @@ def test_mixing_hits_targets_and_weights(spark):
     assert mixing.apply(docs).count() == sum(r.copies for r in mixing.plan(docs).collect())
 
 
+def test_mixing_apply_carries_any_column(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i), f"s{i % 2}", i, f"c{i}", -i) for i in range(50)], "doc_id long, text string, source string, __mx_row long, __mx_c0 string, size int")
+    times = {r.doc_id: r.copies for r in mixing.plan(docs).collect()}
+    out = mixing.apply(docs)
+    assert out.columns == docs.columns
+    assert Counter(tuple(r) for r in out.collect()) == Counter({tuple(r): times[r.doc_id] for r in docs.collect() if times[r.doc_id]})
+
+
+def test_mixing_includes_by_unequal_probability(spark):
+    """Many sources alike: documents of each weight are taken as often as their inclusion probability says, which plain random order wouldn't give."""
+    rng = random.Random(2)
+    sizes = [rng.choice([2, 5, 9, 20, 40, 100, 300]) for _ in range(40)]
+    data = [(1000 * s + i, "w " * n, f"s{s:03}") for s in range(240) for i, n in enumerate(sizes)]
+    got = mixing.plan(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    extra, want, n = defaultdict(float), defaultdict(float), Counter()
+    plain = {}
+    for r in got:
+        k = (int(r.source[1:]) % 3, r.size)
+        extra[k] += r.copies - r.whole
+        want[k] += r.p
+        n[k] += 1
+        plain.setdefault(r.source, []).append(r)
+    differ = 0
+    for k in n:
+        p = want[k] / n[k]
+        assert abs(extra[k] / n[k] - p) <= 0.04 + 4 * (p * (1 - p) / n[k]) ** 0.5, k
+    assert max(want[k] / n[k] for k in n) - min(want[k] / n[k] for k in n) > 0.3  # unequal indeed
+    for source, docs in plain.items():
+        u = lambda r: int(hashlib.md5(f"mix-1:{r.doc_id}".encode()).hexdigest()[:13], 16)
+        left = docs[0].target - sum(r.whole * r.size for r in docs)
+        by_u = set()
+        for r in sorted((r for r in docs if r.p > 0), key=u):
+            if left > 0 and left * 2 >= r.size:
+                by_u.add(r.doc_id)
+            left -= r.size
+        differ += by_u != {r.doc_id for r in docs if r.copies > r.whole}
+    assert differ > 120
+
+
+def test_mixing_weights_follow_the_bound(spark):
+    """Brute force: lambda = min(3, c * weight) with the words of the source as expected."""
+    docs = spark.createDataFrame([(i, "w " * (1 if i % 2 else 1000), "a" if i < 30 else "b") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.plan(docs).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        lo, hi = 0.0, 3.0
+        for _ in range(100):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(r.size * min(3, c * r.size.bit_length()) for r in mine) < mine[0].target else (lo, c)
+        for r in mine:
+            want = min(3, lo * r.size.bit_length())
+            assert (r.p == pytest.approx(want % 1, abs=1e-6) or want % 1 > 1 - 1e-6 or want % 1 < 1e-6) and want - 1 - 1e-6 <= r.copies <= want + 1 + 1e-6
+
+
 def test_mixing_caps_small_sources(spark):
     docs = spark.createDataFrame([(i, "w", "b") for i in range(90)] + [(100 + i, "w", "a") for i in range(2)] + [(200, "w", None)], "doc_id long, text string, source string")
     target = {r.source: (r.target, r.source_size) for r in mixing.plan(docs).collect()}
