@@ -1,12 +1,16 @@
 """HTML main-text extraction: a linear-chain conditional random field over the DOM's leaf blocks.
 
-A tolerant scanner walks the whole html, keeps the stack of open elements, and cuts the text into leaf blocks at block-level tags; scripts, styles, comments,
-heads and other invisible parts make no text. Each block has features: its ancestors' tags and words of their class, id and role (nearest and all), and of
-its text (length, link share, marks, stop phrases, position). A chain of main / other labels with log-linear weights is trained by gradient ascent on
+A tolerant scanner walks the whole html once, keeps the stack of open elements, and cuts the text into leaf blocks at block-level tags. Scripts, styles, comments,
+heads, lists of options and the insides of raw elements (svg, canvas, video, noscript, ...) make no text; all other text, hidden or in a button too, belongs to a block,
+and what is kept is the chain's decision. Each block has features: its ancestors' tags and words of their class, id and role (nearest and all), whether it is
+hidden, and of its text (length, share of links and buttons, marks, stop phrases, position). A chain of main / other labels with log-linear weights is trained by gradient ascent on
 the exact conditional likelihood (forward-backward), on labelled pages that :func:`labelled_pages` writes from templates with random parts, and
 decodes by Viterbi. Training takes some seconds on the driver, once a session, is deterministic, and needs no page of the input.
 
-Defined cases: null or empty html, or no main block: empty text; equal rows get equal results; broken markup never fails (a stray < is text, open elements
+Time is linear in the page: a tag that the page's end cuts off, a quote or a raw element that is never closed are each searched for once, and a block
+takes its ancestors' features from sets that follow the stack and hold only what the model knows.
+
+Defined cases: null or empty html, or no main block: empty text; equal rows get equal results; both labels equally likely: other; broken markup never fails (a stray < is text, open elements
 end with the page, but a raw element other than a script or style that is never closed hides
 nothing); an empty table gives an empty result; extra columns don't matter; pages of any length are handled whole."""
 
@@ -21,19 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*>)?")  # the whole tag if it has no quotes
+_TO_VALUE = re.compile(r"[^>=]*")
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one attribute after the other, whatever its name
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+", re.I)
 # HTML element groups.
-BLOCK = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg canvas object audio video xmp noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style noscript template svg select option button input textarea object iframe canvas audio video datalist".split())
-HIDDEN = UNSEEN | {"annotation", "annotation-xml"}  # the last two are inside formulas, whose own text is seen
+RAW = frozenset("script style title noscript template textarea iframe svg canvas object audio video xmp noembed noframes plaintext".split())
+CONTROL = frozenset("select option optgroup datalist".split())  # of forms; any other element ends them
+HIDDEN = CONTROL | {"head", "annotation", "annotation-xml"}  # the last two are inside formulas, whose own text is seen
+OF_HEAD = frozenset("head title meta link base script style noscript template".split())
 NESTED = frozenset("svg canvas object audio video template".split())  # raw elements whose content has tags
-CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
+CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
+HOLDS_P = frozenset(("td", "th", "button", "object"))  # a paragraph outside of these is not ended from within
 
 
 def _attributes(rest: str) -> tuple[list[tuple[str, str]], bool]:
@@ -46,20 +53,67 @@ def _attributes(rest: str) -> tuple[list[tuple[str, str]], bool]:
     return found, rest.endswith("/") and not bare
 
 
-class _Ends:
-    """Where the raw elements of a page end. Each end tag is met once, so that unclosed elements cost no search each."""
+class _Tokens:
+    """Tags and the ends of raw elements of a page. Whatever the page lacks from some place on is searched for once, so that all tags together take linear time."""
 
     def __init__(self, page: str):
-        self.page, self.without = page, set()
+        self.page, self.size = page, len(page)
+        self.without: set[str] = set()  # strings and raw elements' end tags that don't come any more
+        self.plain = False  # after a tag that ends with the page, quotes don't matter
         self.of: dict[int, int] | None = None
 
+    def find(self, what: str, pos: int) -> int:
+        if what in self.without:
+            return -1
+        at = self.page.find(what, pos)
+        if at < 0:
+            self.without.add(what)
+        return at
+
+    def close_of(self, pos: int) -> int:
+        """Place of the ``>`` of a tag whose name ends at ``pos``, or -1; values in quotes may hold one."""
+        page, at = self.page, pos
+        while not self.plain:
+            at = _TO_VALUE.match(page, at).end()
+            if at >= self.size:
+                self.plain = True
+            elif page[at] == ">":
+                return at
+            else:
+                at += 1
+                while at < self.size and page[at].isspace():
+                    at += 1
+                if at < self.size and page[at] in "\"'":
+                    at = max(at, self.find(page[at], at + 1)) + 1
+        return self.find(">", pos)
+
+    def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, tag in lower case or "", attributes) of the first tag, comment or declaration from ``pos`` on."""
+        page = self.page
+        while (pos := page.find("<", pos)) >= 0:
+            if m := _TAG.match(page, pos):
+                if m[3]:
+                    return pos, m.end(), m[1], m[2].lower(), m[3][:-1]
+                end = self.close_of(m.end())
+                if end >= 0:
+                    return pos, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            elif page.startswith("<!--", pos):
+                end = self.find("-->", pos + 4)
+                return pos, end + 3 if end >= 0 else self.size, "", "", ""
+            elif page.startswith(("<!", "<?"), pos):
+                end = self.find(">", pos)
+                if end >= 0:
+                    return pos, end + 1, "", "", ""
+            pos += 1
+        return None
+
     def first(self, tag: str, pos: int) -> int | None:
         """End of a raw text that begins at ``pos``: its first end tag."""
-        if tag in self.without:
+        if "</" + tag in self.without:
             return None
         m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, pos)
         if not m:
-            self.without.add(tag)
+            self.without.add("</" + tag)
         return m.end() if m else None
 
     def nested(self, pos: int) -> int | None:
@@ -67,109 +121,154 @@ class _Ends:
         if self.of is None:
             self.of = {}
             opened: dict[str, list[int]] = {tag: [] for tag in NESTED}
-            at = 0
-            while m := _TOKEN.search(self.page, at):
-                at = m.end()
-                tag = (m[2] or "").lower()
+            own, at = _Tokens(self.page), 0
+            while m := own.next(at):
+                _, at, slash, tag, rest = m
                 if tag in NESTED:
-                    if not m[1]:
-                        if not (tag == "svg" and _attributes(m[3] or "")[1]):
+                    if not slash:
+                        if not (tag == "svg" and _attributes(rest)[1]):
                             opened[tag].append(at)
                     elif opened[tag]:
                         self.of[opened[tag].pop()] = at
-                elif tag in RAW and not m[1]:
-                    at = self.first(tag, at) or (len(self.page) if tag in ("script", "style") else at)
+                elif tag in RAW and not slash:
+                    at = own.first(tag, at) or (self.size if tag in ("script", "style") else at)
         return self.of.get(pos)
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "names", "near")
-
-    def __init__(self, text: str, linked: int, path: tuple, names: tuple, near: tuple):
-        self.text, self.linked, self.path, self.names, self.near = text, linked, path, names, near
-
-
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
+    """Text; characters of it in links and in buttons; tags of the two nearest block elements; tags and names of all, names of the two nearest."""
+
+    __slots__ = ("text", "linked", "pressed", "tags", "inside", "names", "near")
+
+    def __init__(self, text: str, linked: int, pressed: int, tags: tuple, inside: tuple, names: tuple, near: tuple):
+        self.text, self.linked, self.pressed, self.tags, self.inside, self.names, self.near = text, linked, pressed, tags, inside, names, near
+
+
+class _Stack:
+    """Open elements, with what a block asks of them kept up to date."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.own: list[tuple] = []  # names of each
+        self.blocks: list[int] = []  # places of block elements, of paragraphs, of what holds paragraphs
+        self.paragraphs: list[int] = []
+        self.holders: list[int] = []
+        self.open: dict[str, int] = {}
+        self.inside: dict[str, int] = {}  # tags and names of block elements, counted
+        self.names: dict[str, int] = {}
+        self.hidden = 0
+
+    def push(self, tag: str, names: tuple) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.own.append(names)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.hidden += tag in HIDDEN
+        if tag in BLOCK:
+            self.blocks.append(at)
+            self.inside[tag] = self.inside.get(tag, 0) + 1
+            for w in names:
+                self.names[w] = self.names.get(w, 0) + 1
+            if tag == "p":
+                self.paragraphs.append(at)
+        if tag in HOLDS_P:
+            self.holders.append(at)
+
+    def pop(self) -> str:
+        tag, names = self.tags.pop(), self.own.pop()
+        at = len(self.tags)
+        self.open[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        for places in (self.blocks, self.paragraphs, self.holders):
+            if places and places[-1] == at:
+                places.pop()
+        if tag in BLOCK:
+            for counted, keys in ((self.inside, (tag,)), (self.names, names)):
+                for w in keys:
+                    counted[w] -= 1
+                    if not counted[w]:
+                        del counted[w]
+        return tag
+
+    def pop_to(self, size: int) -> None:
+        while len(self.tags) > size:
+            self.pop()
+
+    def top(self) -> str:
+        return self.tags[-1] if self.tags else ""
+
+
+def blocks(page: str, known: frozenset | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order. Names of attributes that aren't ``known`` are left out (None: none are)."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []  # tag and words of its attributes
+    stack, tokens = _Stack(), _Tokens(page)
     parts: list[str] = []
-    linked = hidden = links = 0
+    linked = pressed = 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, pressed
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                at = [x for x in stack if x[0] in BLOCK]
-                out.append(Block(text, linked, tuple(x[0] for x in at), tuple(w for x in at for w in x[1]), tuple(w for x in at[-2:] for w in x[1])))
-        linked = 0
+                last = stack.blocks[-2:]
+                out.append(Block(text, linked, pressed, tuple(stack.tags[i] for i in reversed(last)), tuple(stack.inside), tuple(stack.names), tuple(w for i in last for w in stack.own[i])))
+        linked = pressed = 0
 
     def add(text: str) -> None:
-        nonlocal linked
-        if not hidden and text:
+        nonlocal linked, pressed
+        if text and not stack.hidden:
             parts.append(text)
-            if links:
+            if stack.open.get("a"):
                 linked += len(text)
-
-    def pop() -> None:
-        nonlocal hidden, links
-        tag, names = stack.pop()
-        hidden -= tag in HIDDEN or "!hidden" in names
-        links -= tag == "a"
-
-    pos, size, ends = 0, len(page), _Ends(page)
-    while pos < size:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            add(page[pos:])
-            break
-        add(page[pos : m.start()])
-        pos = m.end()
-        tag = m[2] and m[2].lower()
+            if stack.open.get("button"):
+                pressed += len(text)
+
+    pos, size = 0, len(page)
+    while m := tokens.next(pos):
+        start, end, slash, tag, rest = m
+        add(page[pos:start])
+        pos = end
         if not tag:
             continue
-        if m[1]:
-            if any(x[0] == tag for x in stack):
+        if slash:
+            if stack.open.get(tag):
                 if tag in BLOCK:
                     close()
-                while stack:
-                    last = stack[-1][0]
-                    pop()
-                    if last == tag:
-                        break
+                while stack.pop() != tag:
+                    pass
             continue
-        if tag in BLOCK or tag in UNSEEN:
+        if tag in BLOCK:
             close()
+        if stack.open.get("head") and tag not in OF_HEAD:
+            while stack.pop() != "head":
+                pass
+        while stack.top() in CONTROL and tag not in CONTROL:
+            stack.pop()
         if tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        if tag in CLOSES_P and any(x[0] == "p" for x in stack):
-            last = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in ("td", "th", "button", "object") for x in stack[last:]):
-                while len(stack) > last:
-                    pop()
-        if tag in SELF_CLOSING and stack and stack[-1][0] in SELF_CLOSING[tag]:
-            pop()
-            while tag in ("tr", "dd", "dt") and stack and stack[-1][0] in SELF_CLOSING[tag]:
-                pop()
-        names: list[str] = []
-        attributes, closed = _attributes(m[3] or "")
+        if tag in CLOSES_P and stack.paragraphs and (not stack.holders or stack.holders[-1] < stack.paragraphs[-1]):
+            stack.pop_to(stack.paragraphs[-1])
+        if tag in SELF_CLOSING and stack.top() in SELF_CLOSING[tag]:
+            stack.pop()
+            while tag in ("tr", "dd", "dt") and stack.top() in SELF_CLOSING[tag]:
+                stack.pop()
+        names: dict[str, None] = {}
+        attributes, closed = _attributes(rest)
         for key, value in attributes:
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                names.append("!hidden")
+                names["!hidden"] = None
             elif key in ("class", "id", "role", "itemprop", "aria-label"):
-                names += _NAME.findall(value)
-        stack.append((tag, tuple(names)))
-        hidden += tag in HIDDEN or "!hidden" in names
-        links += tag == "a"
+                names |= dict.fromkeys(_NAME.findall(value))
         if tag in RAW:  # its content makes no text; without an end tag only scripts and styles go on to the end
             if not (tag == "svg" and closed):
-                end = ends.nested(pos) if tag in NESTED else ends.first(tag, pos)
+                end = tokens.nested(pos) if tag in NESTED else tokens.first(tag, pos)
                 pos = end or (size if tag in ("script", "style") else pos)
-            pop()
+        else:
+            stack.push(tag, tuple(w for w in names if known is None or w in known))
+    add(page[pos:])
     close()
     return out
 
@@ -180,18 +279,22 @@ _STOP = re.compile(r"cookie|subscri|newsletter|sign ?(?:up|in)|log ?in|copyright
 def features(found: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out, n = [], len(found)
-    h1 = next((i for i, b in enumerate(found) if b.path and b.path[-1] == "h1"), None)
+    h1 = next((i for i, b in enumerate(found) if b.tags and b.tags[0] == "h1"), None)
     for i, b in enumerate(found):
         text, size = b.text, len(b.text)
         words = text.count(" ") + 1
-        f = ["bias", f"tag={b.path[-1] if b.path else '-'}", f"up={b.path[-2] if len(b.path) > 1 else '-'}"]
-        f += [f"in={t}" for t in set(b.path)]
-        f += [f"name={w}" for w in set(b.names)]
+        f = ["bias", f"tag={b.tags[0] if b.tags else '-'}", f"up={b.tags[1] if len(b.tags) > 1 else '-'}"]
+        f += [f"in={t}" for t in b.inside]
+        f += [f"name={w}" for w in b.names]
         f += [f"near={w}" for w in set(b.near)]
-        framed = "content" if not {"article", "main"}.isdisjoint(b.path) else "page"
+        framed = "content" if "article" in b.inside or "main" in b.inside else "page"
+        if "!hidden" in b.names:
+            f.append(f"hidden in {framed}")
         f.append(f"words={min(6, words.bit_length())}")
         share = b.linked / max(1, size)
         f.append(f"links={0 if share < 0.05 else 1 if share < 0.4 else 2 if share < 0.9 else 3}")
+        if b.pressed:
+            f.append(f"buttons={0 if b.pressed < 0.4 * size else 1 if b.pressed < 0.9 * size else 2}")
         f.append(f"end={'.' if text[-1] in '.!?…。' else ':' if text[-1] in ':;,' else '-'}")
         if _STOP.search(text):
             f += [f"stop={min(3, words.bit_length() // 2)}", f"stop in {framed}"]
@@ -209,6 +312,7 @@ class Crf:
 
     def __init__(self, names: dict[str, int]):
         self.names = names
+        self.known = frozenset(f.partition("=")[2] for f in names if f.startswith(("name=", "near=")))
         self.w, self.t = np.zeros((len(names), 2)), np.zeros((2, 2))
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
@@ -232,6 +336,23 @@ class Crf:
         return out[::-1]
 
 
+def gradient(s: np.ndarray, t: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of labels y under scores s (block, label) and t (label before, label), and its derivatives by s and t."""
+    n = len(s)
+    a, b = np.zeros((n, 2)), np.zeros((n, 2))
+    a[0] = s[0]
+    for i in range(1, n):
+        m = a[i - 1][:, None] + t
+        a[i] = s[i] + np.logaddexp(m[0], m[1])
+    for i in range(n - 2, -1, -1):
+        m = t + (s[i + 1] + b[i + 1])[None, :]
+        b[i] = np.logaddexp(m[:, 0], m[:, 1])
+    z = np.logaddexp(*a[-1])
+    pairs = -np.exp(a[:-1, :, None] + t + (s[1:] + b[1:])[:, None, :] - z).sum(0)
+    np.add.at(pairs, (y[:-1], y[1:]), 1)
+    return s[np.arange(n), y].sum() + t[y[:-1], y[1:]].sum() - z, np.eye(2)[y] - np.exp(a + b - z), pairs
+
+
 def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate: float = 0.3, decay: float = 1e-4) -> Crf:
     """Maximum conditional likelihood by AdaGrad, page by page in a fixed order."""
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in pages for r in rows for f in r}))}
@@ -240,26 +361,9 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 12, rate
     index = [([np.array([names[f] for f in r]) for r in rows], np.array(y)) for rows, y in pages]
     for _ in range(rounds):
         for rows, y in index:
-            n = len(rows)
-            if not n:
+            if not rows:
                 continue
-            s = np.array([crf.w[r].sum(0) for r in rows])
-            a, b = np.zeros((n, 2)), np.zeros((n, 2))
-            a[0] = s[0]
-            for i in range(1, n):
-                m = a[i - 1][:, None] + crf.t
-                a[i] = s[i] + np.logaddexp(m[0], m[1])
-            for i in range(n - 2, -1, -1):
-                m = crf.t + (s[i + 1] + b[i + 1])[None, :]
-                b[i] = np.logaddexp(m[:, 0], m[:, 1])
-            z = np.logaddexp(*a[-1])
-            p = np.exp(a + b - z)
-            d = np.eye(2)[y] - p
-            pairs = np.zeros((2, 2))
-            if n > 1:
-                q = np.exp(a[:-1, :, None] + crf.t + (s[1:] + b[1:])[:, None, :] - z)
-                pairs = -q.sum(0)
-                np.add.at(pairs, (y[:-1], y[1:]), 1)
+            _, d, pairs = gradient(np.array([crf.w[r].sum(0) for r in rows]), crf.t, y)
             for r, g in zip(rows, d):
                 g = g - decay * crf.w[r]
                 gw[r] += g * g
@@ -305,7 +409,10 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
 
     def notice() -> str:
         text = rng.choice(["We use cookies. ", "Cookie notice: ", "Subscribe to our newsletter. ", "This site uses cookies. ", ""]) + prose(1, 2)
-        return named("div", ["cookie", "cookies", "notice", "consent", "banner", "popup", "modal", "alert", "gdpr", "newsletter", "subscribe", "paywall"], 1) + rng.choice([text, f"<p>{text}</p>"]) + "</div>"
+        box = named("div", ["cookie", "cookies", "notice", "consent", "banner", "popup", "modal", "alert", "gdpr", "newsletter", "subscribe", "paywall"], 1)
+        if rng.random() < 0.3:
+            box = box[:-1] + rng.choice([" hidden>", ' aria-hidden="true">', ' style="display: none">'])
+        return box + rng.choice([text, f"<p>{text}</p>"]) + (f"<button>{phrase(1, 2)}</button>" if rng.random() < 0.4 else "") + "</div>"
 
     def advert() -> str:
         tag = rng.choice(["div", "div", "aside", "section", "p"])
@@ -330,6 +437,8 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
 
     def tail() -> str:
         tag = rng.choice(["footer", "header", "div", "ul"])
+        if rng.random() < 0.15:
+            return named("div", ["share", "social", "buttons", "actions", "toolbar"], 0.8) + "".join(f"<button>{phrase(1, 2)}</button> " for _ in range(rng.randint(1, 4))) + "</div>"
         open_ = f"<{tag}>" if tag in ("footer", "header") else named(tag, ["meta", "byline", "share", "social", "tags", "pager", "author", "breadcrumb"], 1)
         return open_ + (f"<p>{phrase(1, 6)}</p>" if tag != "ul" else links(rng.randint(1, 5))) + f"</{tag}>"
 
@@ -339,6 +448,11 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
         def put(open_: str, text: str, close: str) -> None:
             main.append(text)
             shown = html.escape(text, quote=False) if rng.random() < 0.7 else text
+            if " " in shown and rng.random() < 0.06:  # what stands within a sentence
+                a, b = shown.split(" ", 1)
+                shown = rng.choice(["<button>{}</button> {}", "{} <svg><text>x</text></svg>{}", "{} <math><mi>{}</mi></math>", "{} <select><option>x</select>{}", "<span hidden>{}</span> {}", "{}<script>x()</script> {}"]).format(a, b)
+            if rng.random() < 0.04 and open_.endswith(("p>", "li>", "div>", "blockquote>")):
+                open_ = open_[:-1] + rng.choice([" hidden>", ' aria-hidden="true">', ' style="display:none">'])
             parts.append(open_ + shown + close)
 
         if rng.random() < 0.9:
@@ -349,7 +463,7 @@ def labelled_pages(n: int = 600, seed: int = 9) -> list[tuple[str, list[str]]]:
             kind = rng.random()
             if kind < 0.68:
                 put(rng.choice(["<p>", "<p>", "<p>", '<p class="lead">', "<p><b>", "<div>"]), prose(), rng.choice(["</p>", "</p>", "<br>"]))
-                if parts[-1].startswith("<div>"):
+                if parts[-1].startswith("<div"):
                     parts[-1] = parts[-1] + "</div>"
             elif kind < 0.8:
                 put(rng.choice(["<h2>", "<h3>"]), phrase(1, 8).capitalize(), rng.choice(["</h2>", "</h3>"]))
@@ -412,7 +526,7 @@ def model(n: int = 600, seed: int = 9) -> Crf:
 
 
 def extract(page: str | None, crf: Crf) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", crf.known)
     return "\n".join(b.text for b, y in zip(found, crf.viterbi(crf.scores(features(found)))) if y)
 
 
