@@ -52,9 +52,9 @@ def fingerprints(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row key, fp as a signed long) of every row; only these 24 bytes a row go on."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(P + "row") if P + "row" in docs.columns else F.monotonically_increasing_id().alias(P + "row"), F.col(text_col).alias("text"))
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row key, fp as a signed long) of every row; only these 24 bytes a row go on. ``row_col``: a column of different numbers, else made here."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias(P + "row"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -157,9 +157,9 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     return fps.mapInArrow(deal, "unit long, fp long").repartition(F.col("unit")).sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
 
 
-def rows_with_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame, int]:
+def rows_with_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, row_col: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, row, fp) of all rows; (fp, id, row, n) of all fingerprints, id and row the first of their component; rows."""
-    rows = common.materialize(with_fingerprints(docs, id_col, text_col))
+    rows = common.materialize(with_fingerprints(docs, id_col, text_col, row_col))
     first = lambda c: F.min(c).alias("first")
     fps = common.materialize(rows.groupBy("fp").agg(F.count("*").alias("n"), first(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(P + "row").alias("row")))))
     roots = common.components(links(fps.select("fp"), radius))
@@ -179,6 +179,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The row with the smallest id of every component, with the columns of ``docs``."""
-    seen = common.materialize(docs.withColumn(P + "row", F.monotonically_increasing_id()))
-    _, member, _ = rows_with_roots(seen, id_col, text_col, radius)
-    return seen.join(member.select(F.col("keep_row").alias(P + "row")).distinct(), P + "row", "left_semi").select(*docs.columns)
+    names = [f"{P}c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    seen = common.materialize(docs.toDF(*names).withColumn(P + "row", F.monotonically_increasing_id()))
+    _, member, _ = rows_with_roots(seen, of[id_col], of[text_col], radius, P + "row")
+    return seen.join(member.select(F.col("keep_row").alias(P + "row")).distinct(), P + "row", "left_semi").select(*names).toDF(*docs.columns)

@@ -209,7 +209,7 @@ def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
     A path's tail is the node (doc, tag, start + n); it joins the path that starts there. Each node has one path in and one out at most, so chains
     don't branch. Every round doubles the stretch a path has taken in, and drops those that another took in."""
     cur = common.materialize(found.select("doc", "tag", "start", (F.col("start") + F.col("n")).alias("end")).distinct())
-    for _ in range(most_rounds):
+    for _ in range(most_rounds):  # each doubles the length, so 40 are enough for any text
         nxt = cur.select("doc", "tag", F.col("start").alias("end"), F.col("end").alias("far"))
         grown = cur.join(nxt, ["doc", "tag", "end"], "left").select("doc", "tag", "start", F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("more"))
         grown = common.materialize(grown)
@@ -218,12 +218,15 @@ def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
         common.drop(cur)
         cur = grown.select("doc", "tag", "start", "end")
         cur._quill_path = grown._quill_path
+    else:
+        raise RuntimeError(f"spans: not done after {most_rounds} rounds")
     # What lies inside a longer span of the same end has been taken in.
     return cur.groupBy("doc", "tag", "end").agg(F.min("start").alias("start")).select("doc", "tag", "start", (F.col("end") + k - 1).alias("end"))
 
 
 def removals(docs: DataFrame, k: int = K) -> DataFrame:
-    """docs with two more columns, null where nothing repeats: paths (start, n, want) and the spans (start, end) they compact into."""
+    """``docs`` (doc_id, text, and columns whose names begin with ``__sd_``) with two more columns, null where nothing repeats: paths (start, n, want) and
+    the spans (start, end) they compact into."""
     found = paths(docs, k)
     sure = common.materialize(verified(docs, found, k).select("doc", "tag", "start", "n", "want"))
     long = spans(found, k).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -250,7 +253,9 @@ def keep_mask(words: list[bytes], paths: list[dict], spans: list[dict], k: int =
 
 
 def apply(docs: DataFrame, k: int, carry: list[str], extra: str, make) -> DataFrame:
-    rows = removals(docs, k).select(*carry, F.col("text").alias("__sd_text"), F.col("paths").alias("__sd_paths"), F.col("spans").alias("__sd_spans"))
+    names = [f"__sd_c{i}" for i in range(len(carry))]  # carried columns may have any name
+    own = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
+    rows = removals(own, k).select(*names, "text", "paths", "spans")
 
     def run(batches):
         n = len(carry)
@@ -264,7 +269,7 @@ def apply(docs: DataFrame, k: int, carry: list[str], extra: str, make) -> DataFr
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [(f.split()[0], kinds[f.split()[1]]) for f in extra.split(", ")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)])
-    return rows.mapInArrow(run, head + extra)
+    return rows.mapInArrow(run, head + extra).toDF(*carry, *[f for f, _ in fields])
 
 
 def report(docs: DataFrame) -> DataFrame:

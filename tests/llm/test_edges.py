@@ -54,10 +54,18 @@ def test_substring_dedup_by_brute_force(spark):
     assert got == want
 
 
-def test_substring_remove_keeps_columns(spark):
+def test_substring_remove_carries_any_column(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    names = "doc_id long, text string, doc string, tag string, paths string, spans string, start int, __sd_c0 long, want string"
+    data = [(i, f"a{i} {passage} b{i}", f"D{i}", f"T{i}", "p", None, i, -i, "w") for i in range(5)] + [(None, None, "D", None, "p", "s", 9, 9, "w"), (7, "short", None, "T", None, "s", 8, 8, None)]
+    out = substring_dedup.remove(spark.createDataFrame(data, names))
+    assert out.columns == [x.split()[0] for x in names.split(", ")]
+    want = Counter((r[0], f"a{r[0]} b{r[0]}" if r[0] in range(1, 5) else r[1] or "", *r[2:]) for r in data)
+    assert Counter((r[0], r[1] or "", *r[2:]) for r in out.collect()) == want
     out = substring_dedup.remove(frame(spark))
     assert out.columns == frame(spark).columns
-    assert out.count() == len(rows())
+    carried = lambda r: (r[0], *r[2:])
+    assert Counter(map(carried, out.collect())) == Counter(map(carried, frame(spark).collect()))
 
 
 def test_spans_compact_paths_of_several_sources(spark):
@@ -268,6 +276,13 @@ def test_simhash_by_brute_force(spark):
     assert kept.columns == frame(spark).columns and kept.count() == len(set(of))
 
 
+def test_simhash_deduplicate_carries_any_column(spark):
+    data = [(3, "a b c d", 7, "x", None), (1, "A b c D", 8, None, "u"), (2, "e f g h", 9, "z", "v"), (None, None, 1, "n", "w")]
+    out = simhash.deduplicate(spark.createDataFrame(data, "doc_id long, text string, __sh_row long, fp string, __sh_c0 string"))
+    assert out.columns == ["doc_id", "text", "__sh_row", "fp", "__sh_c0"]
+    assert Counter(map(tuple, out.collect())) == Counter([data[1], data[2], data[3]])
+
+
 def test_simhash_tiles_lose_no_link(spark):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
