@@ -245,3 +245,26 @@ def obstacle_between(a: Column, b: Column, obstacles: Column) -> Column:
     top, bottom = upper["y1"], lower["y2"]
     gap = top - bottom
     return (gap >= 2) & F.exists(obstacles, lambda o: (x_overlap(o, a) >= 6) & (x_overlap(o, b) >= 6) & (F.least(top, o["y2"]) - F.greatest(bottom, o["y1"]) >= F.least(F.lit(4.0), gap * 0.5)))
+
+
+def gap_x(a: Column, b: Column) -> Column:
+    """Horizontal gap; negative where they overlap."""
+    return F.greatest(a["x1"] - b["x2"], b["x1"] - a["x2"])
+
+
+def gap_y(a: Column, b: Column) -> Column:
+    """Vertical gap; 0 where they share a height."""
+    return F.greatest(F.lit(0.0), a["y1"] - b["y2"], b["y1"] - a["y2"])
+
+
+def share_x(a: Column, b: Column) -> Column:
+    """Horizontal overlap as a share of the narrower, negative when apart."""
+    narrow = F.least(width(a), width(b))
+    return F.when(narrow > 0, x_overlap(a, b) / narrow).otherwise(0.0)
+
+
+def in_gutter(a: Column, b: Column, others: Column, slack: float = 0.0) -> Column:
+    """Something stands between two boxes that lie side by side, at a height they share (``slack`` wider for cells)."""
+    left, right = F.least(a["x2"], b["x2"]), F.greatest(a["x1"], b["x1"])
+    top, bottom = F.greatest(a["y1"], b["y1"]) - slack, F.least(a["y2"], b["y2"]) + slack
+    return (right > left) & (bottom > top) & F.exists(others, lambda o: (o["x1"] < right) & (o["x2"] > left) & (o["y1"] < bottom) & (o["y2"] > top))

@@ -55,8 +55,17 @@ def replace(text: Column, pattern: str, by: str, i: bool = False) -> Column:
     return F.regexp_replace(text, java(pattern, i), by)
 
 
+#: The characters of ``\\s``.
+BLANKS = " \t\n\x0b\x0c\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
-    return replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def split(text: Column, pattern: str) -> Column:

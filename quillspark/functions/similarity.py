@@ -69,13 +69,16 @@ def copied_residue(source: Column, text: Column) -> Column:
     return (T.han_chars(text) > 0) & (a != "") & _copied(a, spans)
 
 
+_OTHER = rf"[^A-Za-z{R.SPACE}]*+"
+#: Six words in a row that are lower-case letters but for marks around them.
+_PLAIN_RUN = rf"(?:^|[{R.SPACE}])(?:{_OTHER}[a-z]{{2,}}+{_OTHER}[{R.SPACE}]++){{{X.RESIDUE_RUN - 1}}}{_OTHER}[a-z]{{2,}}+{_OTHER}(?:\z|[{R.SPACE}])"
+
+
 def english_residue(text: Column, prose: Column | None = None) -> Column:
     """a run of six lower-case words, or a long span in the prose view."""
-    cleaned = R.replace(text, r"https?://\S+|www\.\S+|\S+@\S+", " ", True)
-    words = F.transform(R.split(cleaned, r"\s+"), lambda w: R.like(R.replace(w, "^[^A-Za-z]+|[^A-Za-z]+$", ""), "^[a-z]{2,}$"))
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"))
-    longest = F.aggregate(words, start, lambda acc, w: F.struct(F.when(w, acc["run"] + 1).otherwise(0).alias("run"), F.greatest(acc["most"], F.when(w, acc["run"] + 1).otherwise(0)).alias("most")), lambda acc: acc["most"])
-    return (longest >= X.RESIDUE_RUN) | (F.size(residue_spans(cleaned if prose is None else prose, 10)) > 0)
+    cleaned = F.when(R.like(text, "@|https?://|www", True), R.replace(text, r"https?://\S+|www\.\S+|\S+@\S+", " ", True)).otherwise(text)
+    spans = lambda c: F.size(residue_spans(c if prose is None else prose, 10)) > 0
+    return R.let(cleaned, lambda c: c.rlike(_PLAIN_RUN) | spans(c))
 
 
 def target_share(text: Column) -> Column:

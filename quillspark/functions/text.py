@@ -40,10 +40,12 @@ def boilerplate(text: Column) -> Column:
 def author_list(text: Column) -> Column:
     """a roster of names with marks."""
     bare = R.replace(text, r"\b[A-Z]\.", "")
-    bare = F.substring(bare, F.lit(1), F.greatest(F.length(bare) - 6, F.lit(0)))
+
+    def names(tokens: Column) -> Column:
+        return (F.size(tokens) >= 4) & (F.size(F.filter(tokens, lambda t: R.like(t, X.NAME_LIKE))) / F.size(tokens) >= 0.66)
+
     tokens = F.filter(R.split(text, r"\s+"), lambda t: R.like(t, "[a-zA-Z]"))
-    names = F.size(F.filter(tokens, lambda t: R.like(t, X.NAME_LIKE)))
-    return F.length(text).between(12, 420) & ~R.like(bare, r"[.!?。][\s]") & (R.count(text, ",") >= 2) & (F.size(tokens) >= 4) & R.like(text, r"[*†‡§]|\d") & (names / F.size(tokens) >= 0.66)
+    return F.length(text).between(12, 420) & R.like(text, "(?s),.*,") & R.like(text, r"[*†‡§]|\d") & ~R.let(bare, lambda b: R.like(F.substring(b, F.lit(1), F.greatest(F.length(b) - 6, F.lit(0))), r"[.!?。][\s]")) & R.let(tokens, names)
 
 
 def degree_roster(text: Column) -> Column:
@@ -53,29 +55,31 @@ def degree_roster(text: Column) -> Column:
 
 def affiliation(text: Column) -> Column:
     """F08."""
-    return (F.length(text) <= 600) & (R.like(text, X.AFFILIATION_HEAD, True) | ((R.count(text, X.INSTITUTION, True) >= 2) & (R.count(text, ",") >= 3)))
+    return (F.length(text) <= 600) & (R.like(text, X.AFFILIATION_HEAD, True) | (R.like(text, "(?s),.*,.*,") & (R.count(text, X.INSTITUTION, True) >= 2)))
 
 
 def metadata_reason(text: Column, sliver: Column | None = None, sidebar: Column | None = None) -> Column:
     """first rule that makes a block front matter, or null. The geometric rules come as columns, if there are any."""
-    t = R.trim(text)
-    n = F.length(t)
     no = F.lit(False)
+    return R.let(R.trim(text), lambda t: _reason(t, F.length(t), no if sliver is None else sliver, no if sidebar is None else sidebar))
+
+
+def _reason(t: Column, n: Column, sliver: Column, sidebar: Column) -> Column:
     return (
         F.when(t == "", "empty")
-        .when(no if sliver is None else sliver, "sliver")
-        .when((no if sidebar is None else sidebar) & (n < 700), "sidebar")
-        .when(R.like(t, X.META_LABEL, True) & (n < 700), "label")
+        .when(sliver, "sliver")
+        .when(sidebar & (n < 700), "sidebar")
+        .when((n < 700) & R.like(t, X.META_LABEL, True), "label")
         .when((n < 40) & R.like(t, X.ARTICLE_BANNER, True), "banner")
-        .when(R.like(t, X.GRANT, True) & (n < 700), "grant")
-        .when(R.like(t, X.LICENSE_TAIL, True) & (n < 700), "licence")
+        .when((n < 700) & R.like(t, X.GRANT, True), "grant")
+        .when((n < 700) & R.like(t, X.LICENSE_TAIL, True), "licence")
         .when((n < 40) & R.like(t, X.ORPHAN_MARKS), "marks")
-        .when(R.like(t, X.AUTHOR_NOTES, True) & (n < 300), "notes")
-        .when(degree_roster(t) & (n < 900), "degrees")
-        .when(R.like(t, X.RECEIVED, True), "dates")
+        .when((n < 300) & R.like(t, X.AUTHOR_NOTES, True), "notes")
+        .when((n < 900) & degree_roster(t), "degrees")
+        .when(R.like(t, r"(?:19|20)\d\d") & R.like(t, X.RECEIVED, True), "dates")
         .when(R.like(t, X.COPYRIGHT, True), "copyright")
         .when(R.like(t, X.CORRESPONDENCE, True), "correspondence")
-        .when(R.like(t, X.DOI_URL, True) & (n < 220), "doi")
+        .when((n < 220) & R.like(t, X.DOI_URL, True), "doi")
         .when(author_list(t), "authors")
         .when(affiliation(t), "affiliation")
     )
@@ -131,6 +135,17 @@ def bare_label(text: Column) -> Column:
     return R.like(R.trim(text), X.BARE_LABEL, True)
 
 
+def shard(text: Column, kind: Column) -> Column:
+    """a piece of body text that can't stand alone: a bare citation, a dozen characters, or what begins in lower case."""
+    t = R.trim(text)
+    return (kind == "paragraph") & (t != "") & ((F.length(t) <= 12) | R.like(t, "^[a-z]") | R.like(t, f"^{X.BARE_CITATION}$"))
+
+
+def overlayable(kind: Column) -> Column:
+    """what an overlay covers."""
+    return kind.isin("paragraph", "heading")
+
+
 def formula_run(text: Column) -> Column:
     """F25."""
     t = R.trim(text)
@@ -163,11 +178,15 @@ def english_prose(text: Column, least: int | Column = 6) -> Column:
 
 def name_list(text: Column) -> Column:
     """author-name list in running text."""
-    t = R.trim(text)
-    parts = F.transform(R.split(F.replace(t, F.lit(" and "), F.lit(", ")), r",|;|\band\b"), lambda s: R.replace(s, r"^[\s*†‡§,;]+|[\s*†‡§,;]+$", ""))
-    parts = F.filter(parts, lambda s: s != "")
-    names = F.size(F.filter(parts, lambda s: R.count(s, X.AUTHOR_TOKEN).between(2, 5)))
-    return (t != "") & (F.length(t) <= 240) & ~R.like(t, "@|https?://") & (F.size(parts) >= 3) & (names >= F.greatest(F.lit(3), F.size(parts) - 1))
+
+    def listed(t: Column) -> Column:
+        parts = F.transform(R.split(F.replace(t, F.lit(" and "), F.lit(", ")), r",|;|\band\b"), lambda s: R.replace(s, r"^[\s*†‡§,;]+|[\s*†‡§,;]+$", ""))
+        enough = lambda p: (F.size(p) >= 3) & (F.size(F.filter(p, lambda s: R.count(s, X.AUTHOR_TOKEN).between(2, 5))) >= F.greatest(F.lit(3), F.size(p) - 1))
+        # Three parts need two marks between them, and three names of two words six capitals.
+        worth = R.like(t, r"(?s)(?:,|;|\band\b).*(?:,|;|\band\b)") & R.like(t, "(?s)(?:[A-ZÀ-ÖØ-Þ].*){6}")
+        return (t != "") & (F.length(t) <= 240) & worth & ~R.like(t, "@|https?://") & R.let(F.filter(parts, lambda s: s != ""), enough)
+
+    return R.let(R.trim(text), listed)
 
 
 def truncated(source: Column, text: Column) -> Column:

@@ -208,6 +208,19 @@ def batch_answer(data: object, expected: int) -> list[str]:
     return rows
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def batch_answers_udf(raw: pd.Series, expected: pd.Series) -> pd.Series:
+    """S17 over JSON texts; null for a wrong count or no JSON."""
+
+    def one(r, n):
+        try:
+            return batch_answer(json.loads(r), n)
+        except (TypeError, ValueError):
+            return None
+
+    return pd.Series([one(r, n) for r, n in zip(raw, expected)], dtype=object)
+
+
 def bounded(tasks: list, work: Callable, most: int = 4) -> list:
     """Results in the order of ``tasks``, at most ``most`` at once; the first failure ends it."""
     from concurrent.futures import ThreadPoolExecutor

@@ -139,6 +139,12 @@ def dominant_size(rows: DataFrame, size: Column, weight: Column | None = None) -
     return buckets.groupBy(*PAGE).agg(F.max(F.struct("n", "bucket"))["bucket"].alias("dominant"))
 
 
+def longest_first(literals: Column) -> Column:
+    """Texts of an array of structs (place, text), the longest first, then by place."""
+    key = F.transform(literals, lambda x: F.struct((-F.length(x["text"])).alias("n"), x["place"].alias("place"), x["text"].alias("text")))
+    return F.transform(F.array_sort(key), lambda x: x["text"])
+
+
 def upper_median(values: Column) -> Column:
     """Of an array: the element at floor(n / 2) in order."""
     return F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))

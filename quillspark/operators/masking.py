@@ -125,20 +125,54 @@ def prose(text: str) -> str:
     return _TOKEN.sub(" ", protect(_STYLE.sub("", text))[0])
 
 
-@F.pandas_udf(MASKED)
-def protect_udf(text: pd.Series) -> pd.DataFrame:
-    found = [protect(t or "") for t in text]
-    return pd.DataFrame({"text": [t for t, _ in found], "placeholders": [[{"token": a, "original": b} for a, b in p] for _, p in found]})
+#: What every protected run has one of, and style marks as well: a text without is as it was.
+_TRIGGER = r"[$\\\[(<>=≈≠≤≥±%⟦]"
+
+
+def _view(text: str, masked: str) -> str:
+    """X05 of a text that has been masked already: only style marks make another pass necessary."""
+    bare = _STYLE.sub("", text)
+    return _TOKEN.sub(" ", masked if bare == text else protect(bare)[0])
+
+
+@F.pandas_udf(T.StructType([*MASKED.fields, T.StructField("prose", T.StringType())]))
+def _protect_batch(text: pd.Series) -> pd.DataFrame:
+    found = [protect(t) if t is not None else (None, []) for t in text]
+    return pd.DataFrame({"text": [t for t, _ in found], "placeholders": [[{"token": a, "original": b} for a, b in p] for _, p in found], "prose": [None if t is None else _view(t, m[0]) for t, m in zip(text, found)]})
 
 
 @F.pandas_udf(T.StringType())
-def restore_udf(text: pd.Series, placeholders: pd.Series) -> pd.Series:
-    return pd.Series([restore(t or "", [(p["token"], p["original"]) for p in ps]) for t, ps in zip(text, placeholders)])
+def _restore_batch(text: pd.Series, placeholders: pd.Series) -> pd.Series:
+    return pd.Series([None if ps is None else restore(t or "", [(p["token"], p["original"]) for p in ps]) for t, ps in zip(text, placeholders)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
-def prose_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([prose(t or "") for t in text])
+def _prose_batch(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else prose(t) for t in text], dtype=object)
+
+
+def _worth(text: Column) -> Column:
+    """Only texts that can hold a protected run go to Python."""
+    return F.when(text.rlike(_TRIGGER), text)
+
+
+def protect_udf(text: Column | str) -> Column:
+    """Struct of masked text, placeholders, and the prose view."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.coalesce(text, F.lit(""))
+    found = _protect_batch(_worth(text))
+    none = F.array().cast(ENTRY)
+    return F.struct(F.coalesce(found["text"], plain).alias("text"), F.coalesce(found["placeholders"], none).alias("placeholders"), F.coalesce(found["prose"], plain).alias("prose"))
+
+
+def restore_udf(text: Column, placeholders: Column) -> Column:
+    """X02."""
+    return F.coalesce(_restore_batch(text, F.when(F.size(placeholders) > 0, placeholders)), F.coalesce(text, F.lit("")))
+
+
+def prose_udf(text: Column) -> Column:
+    """X05."""
+    return F.coalesce(_prose_batch(_worth(text)), F.coalesce(text, F.lit("")))
 
 
 def restore_exact(text: Column, placeholders: Column) -> Column:

@@ -1,6 +1,6 @@
 """Order-dependent layout algorithms of one page, and the Spark wrapper that runs them.
 
-A page has a bounded number of items, so an algorithm sees it whole. Groups are documents, not pages, which keeps the overhead of a group low; rows are
+A page has a bounded number of items, so an algorithm sees it whole; rows are
 sorted by their documented key first, so results don't depend on partitioning or input order. Boxes are (x1, y1, x2, y2)."""
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import fixed as X
 
@@ -64,16 +65,35 @@ class Item:
 
 
 def run(df: DataFrame, algorithm: Callable[[list[dict]], Iterable[dict]], schema: str, order: tuple[str, ...] = ("ord",), keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Apply ``algorithm`` to every page's rows (dicts in ``order``); it returns rows without the keys."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def of_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, page in pdf.sort_values([*keys, *order], kind="stable").groupby(list(keys), sort=False):
-            out += [dict(zip(keys, key)) | row for row in algorithm(page.to_dict("records"))]
-        return pd.DataFrame(out, columns=names)
-
-    return df.groupBy(keys[0]).applyInPandas(of_document, schema)
+    """Apply ``algorithm`` to every page's rows (dicts in ``order``); it returns rows without the keys.
+
+    Pages meet by their keys and stream through in order: a task holds one page and one batch, whatever the size of a document."""
+    fields = StructType.fromDDL(schema)
+    kind = to_arrow_schema(fields)
+
+    def stream(batches):
+        import pyarrow as pa
+
+        now, page, out = None, [], []
+
+        def done():
+            if page:
+                out.extend(dict(zip(keys, now)) | row for row in algorithm(page))
+
+        for b in batches:
+            for row in b.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != now:
+                    done()
+                    now, page = key, []
+                page.append(row)
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out = []
+        done()
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, fields)
 
 
 def item(row: dict) -> Item:

@@ -138,11 +138,20 @@ def nearest_below(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "page", "caption").agg(F.min_by("ord", F.struct("y1", "ord")).alias("ord"))
 
 
+def bands(values: Column, tolerance: float) -> Column:
+    """First members of the bands of an array of centres: in order, a value opens a band if it lies more than ``tolerance`` above the last one's first member.
+
+    The array is that of a page or a table."""
+    start = F.array().cast("array<double>")
+    return F.aggregate(F.array_sort(values), start, lambda a, v: F.when((F.size(a) == 0) | (v > F.element_at(a, -1) + tolerance), F.concat(a, F.array(v))).otherwise(a))
+
+
 def shared_rows(cells: DataFrame, tolerance: float, least: int = 3) -> DataFrame:
-    """Cluster pairs of a page with at least ``least`` rows at the same height: distinct row bands by a grid of the tolerance."""
-    rows = cells.select("doc_id", "page", "cluster", F.round((F.col("y1") + F.col("y2")) / 2 / tolerance).alias("row")).distinct()
-    a, b = rows.withColumnRenamed("cluster", "a"), rows.withColumnRenamed("cluster", "b")
-    return a.join(b, ["doc_id", "page", "row"]).filter("a < b").groupBy("doc_id", "page", "a", "b").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
+    """Cluster pairs a < b of a page, with the number of a's row bands that have a band of b within ``tolerance``, if there are ``least`` or more."""
+    rows = cells.groupBy("doc_id", "page", "cluster").agg(F.collect_list((F.col("y1") + F.col("y2")) / 2).alias("y")).withColumn("y", bands(F.col("y"), tolerance))
+    a, b = (rows.select("doc_id", "page", F.col("cluster").alias(n), F.col("y").alias(f"_{n}")) for n in "ab")
+    shared = F.size(F.filter("_a", lambda y: F.exists("_b", lambda z: F.abs(z - y) <= tolerance)))
+    return a.join(b, ["doc_id", "page"]).filter("a < b").withColumn("rows", shared).filter(F.col("rows") >= least).select("doc_id", "page", "a", "b", "rows")
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:
@@ -182,6 +191,31 @@ def refresh(blocks: DataFrame, page_cache: DataFrame, segment_cache: DataFrame,
     return out.withColumn("cached", F.coalesce(F.col("_p") if "_p" in out.columns else none, F.col("_s") if "_s" in out.columns else none)).drop("_p", "_s")
 
 
+def refreshed_failures(failures: DataFrame, page_hashes: DataFrame, level: str = "none") -> DataFrame:
+    """What the failure memory keeps: a normal refresh forgets the hashes of this page's blocks only, a forced one all."""
+    if level == "force":
+        return failures.limit(0)
+    return failures if level == "none" else failures.join(page_hashes.select("hash").distinct(), "hash", "left_anti")
+
+
+def finished(extractions: DataFrame, slots: int = 2, timeout: float = 20.0) -> DataFrame:
+    """Extractions (lane, seq, asked, seconds) through ``slots`` per lane in order of asking: when each starts and ends, and whether its result is still taken.
+
+    A slot stays busy until its work ends, also past the time limit; a result after the limit is late and dropped."""
+    rows = extractions.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct(F.col("asked").cast("double").alias("asked"), "seq", F.col("seconds").cast("double").alias("seconds")))).alias("e"))
+    kind = "array<struct<seq: bigint, start: double, end: double, late: boolean>>"
+    begin = F.struct(F.array_repeat(F.lit(0.0), slots).alias("free"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        start = F.greatest(e["asked"], F.array_min(a["free"]))
+        end = start + e["seconds"]
+        busy = F.array_sort(F.concat(F.slice(F.array_sort(a["free"]), 2, slots), F.array(end)))
+        mine = F.struct(e["seq"].cast("long").alias("seq"), start.alias("start"), end.alias("end"), (e["seconds"] > timeout).alias("late"))
+        return F.struct(busy.alias("free"), F.concat(a["out"], F.array(mine)).alias("out"))
+
+    return rows.select("lane", F.explode(F.aggregate("e", begin, step, lambda a: a["out"])).alias("x")).select("lane", "x.*")
+
+
 def accept_repair(old: DataFrame, new: DataFrame, valid: Column, gone: Column) -> DataFrame:
     """A redone block replaces the old one only if it is valid and what was wrong is gone."""
     out = old.join(new.select("id", F.col("text").alias("new")), "id", "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extension_queries, layout_queries, policy_queries, state_queries, text_queries
+from . import extension_queries, layout_queries, policy_queries, record_queries, state_queries, text_queries
 
-_MODULES = (text_queries, layout_queries, state_queries, policy_queries, extension_queries)
+_MODULES = (text_queries, layout_queries, state_queries, policy_queries, record_queries, extension_queries)
 
 
 def queries() -> dict:

@@ -232,15 +232,15 @@ SELECT v.doc_id, v.ord, 'slow', (coalesce((SELECT max(chunk) FROM a WHERE a.doc_
 
 
 def dice_of_neighbours(spark, d):
-    """X17 / F32 between the whole surfaces of each document and the next. The SQL twin still cuts them to 400 characters, so it agrees only where none is longer."""
+    """X17 / F32 between the whole surfaces of each document and the next."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.surface(F.col("text")).alias("s"))
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("n"))
     both = docs.join(nxt, "doc_id")
     return both.select("doc_id", similarity.dice(F.col("s"), F.col("n")).alias("dice"), similarity.copied_surface(F.col("s"), F.col("n")).alias("copied"))
 
 
-_GRAMS = "(SELECT x.doc_id, substr(x.{c}, i, 2) AS g, count(*) AS n FROM p x, range(1, 400) t(i) WHERE i < length(x.{c}) GROUP BY ALL)"
-_DICE = f"""WITH s AS (SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 400) AS s FROM documents),
+_GRAMS = "(SELECT doc_id, substr(s, i, 2) AS g, count(*) AS n FROM (SELECT doc_id, {c} AS s, unnest(range(1, length({c}))) AS i FROM p) GROUP BY ALL)"
+_DICE = f"""WITH s AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
 p AS (SELECT a.doc_id, a.s, b.s AS n FROM s a JOIN s b ON b.doc_id = a.doc_id + 1),
 q AS (SELECT x.doc_id, sum(least(x.n, y.n)) AS shared FROM {_GRAMS.format(c='s')} x JOIN {_GRAMS.format(c='n')} y USING (doc_id, g) GROUP BY ALL),
 r AS (SELECT p.*, CASE WHEN s = n THEN 1.0::DOUBLE WHEN length(s) < 2 OR length(n) < 2 THEN 0.0 ELSE (2 * coalesce(shared, 0))::DOUBLE / (length(s) + length(n) - 2) END AS dice FROM p LEFT JOIN q USING (doc_id))
@@ -318,7 +318,6 @@ _QUERIES = {
     "w13_chunk_plan": (planned, _PLAN),
     "x17_dice": (dice_of_neighbours, _DICE),
     "f34_english_residue": (residue, _RESIDUE),
-    "m01_content_hash": (hashes, None),
 }
 
 

@@ -90,7 +90,7 @@ def urgent(spark, d):
 
 
 def expansion(spark, d):
-    """Room around each block against the page's full-width blocks, if it has any, and real collisions with them. The SQL twin still leaves out pages without any."""
+    """Room around each block against the page's full-width blocks, if it has any, and real collisions with them."""
     b = pages.blocks(spark, d)
     wide = b.filter('column = -1').groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("o"))
     me = F.struct("x1", "y1", "x2", "y2")
@@ -100,10 +100,10 @@ def expansion(spark, d):
     return rows.select("doc_id", "page", "ord", e["right"].alias("right"), e["down"].alias("down"), F.exists("o", lambda o: G.penetrates(me, o)).alias("hit"))
 
 
-_EXPANSION = f"""{pages.sql()}, p AS (SELECT a.*, b.x1 AS ox1, b.y1 AS oy1, b.x2 AS ox2, b.y2 AS oy2, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS h, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS v FROM b a JOIN b ON b.doc_id = a.doc_id AND b.page = a.page AND b."column" = -1 WHERE a."column" <> -1)
+_EXPANSION = f"""{pages.sql()}, p AS (SELECT a.*, b.x1 AS ox1, b.y1 AS oy1, b.x2 AS ox2, b.y2 AS oy2, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS h, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS v FROM b a LEFT JOIN b ON b.doc_id = a.doc_id AND b.page = a.page AND b."column" = -1 WHERE a."column" <> -1)
 SELECT doc_id, page, ord, greatest(0, least(greatest(0, {pages.PAGE_WIDTH} * 0.9::DOUBLE - any_value(x2)), coalesce(min(ox1 - x2 - 3) FILTER (v > 2 AND ox2 > x2 - 1), 1e9), (any_value(x2) - any_value(x1)) * 0.6::DOUBLE))::DOUBLE AS "right",
   greatest(0, least(greatest(0, {pages.PAGE_HEIGHT} * 0.95::DOUBLE - any_value(y2)), coalesce(min(oy1 - y2 - 3) FILTER (h > 2 AND oy2 > y2 - 1), 1e9), greatest(any_value(font) * 2.8::DOUBLE, (any_value(y2) - any_value(y1)) * 0.5::DOUBLE)))::DOUBLE AS down,
-  bool_or(h > 4 AND v > 4 AND h > least(x2 - x1, ox2 - ox1) * 0.12 + 4) AS hit FROM p GROUP BY doc_id, page, ord"""
+  coalesce(bool_or(ox1 IS NOT NULL AND h > 4 AND v > 4 AND h > least(x2 - x1, ox2 - ox1) * 0.12 + 4), false) AS hit FROM p GROUP BY doc_id, page, ord"""
 
 
 def health(spark, d):

@@ -35,18 +35,24 @@ SAMPLES = [
 ]
 
 
+#: Rows that are a sample alone, after the lines of each document.
+ALONE = 3
+
+
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pos, text): a third of the lines as they are, a third behind a sample, a third replaced by one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "line"))
+    """(doc_id, pos, text): all lines, a third as they are, a third behind a sample, a third before one; then samples alone. A null text is an empty line."""
+    lines = F.concat(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.array_repeat(F.lit(None).cast("string"), ALONE))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(lines).alias("pos", "line"))
     sample = F.element_at(F.array(*[F.lit(s) for s in SAMPLES]), (F.pmod(F.col("doc_id") + F.col("pos") * 5, F.lit(len(SAMPLES))) + 1).cast("int"))
     kind = F.pmod(F.col("doc_id") + F.col("pos"), F.lit(3))
-    text = F.when(kind == 0, F.col("line")).when(kind == 1, F.concat(sample, F.lit(" "), F.col("line"))).otherwise(sample)
+    text = F.when(F.col("line").isNull(), sample).when(kind == 0, F.col("line")).when(kind == 1, F.concat(sample, F.lit(" "), F.col("line"))).otherwise(F.concat("line", F.lit(" "), sample))
     return docs.select("doc_id", F.col("pos").cast("int").alias("pos"), text.alias("text"))
 
 
 def sql() -> str:
     """The same as a common table expression named ``s``."""
     quoted = ", ".join("'" + s.replace("'", "''") + "'" for s in SAMPLES)
+    sample, lines = f"([{quoted}])[(doc_id + pos * 5) % {len(SAMPLES)} + 1]", f"list_concat(string_split(coalesce(text, ''), chr(10)), [{', '.join(['NULL'] * ALONE)}])"
     return f"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-s AS (SELECT doc_id, pos::INTEGER AS pos, CASE (doc_id + pos) % 3 WHEN 0 THEN line WHEN 1 THEN ([{quoted}])[(doc_id + pos * 5) % {len(SAMPLES)} + 1] || ' ' || line ELSE ([{quoted}])[(doc_id + pos * 5) % {len(SAMPLES)} + 1] END AS text FROM lines)"""
+WITH lines AS (SELECT doc_id, unnest({lines}) AS line, unnest(range(len({lines}))) AS pos FROM documents),
+s AS (SELECT doc_id, pos::INTEGER AS pos, CASE WHEN line IS NULL THEN {sample} WHEN (doc_id + pos) % 3 = 0 THEN line WHEN (doc_id + pos) % 3 = 1 THEN {sample} || ' ' || line ELSE line || ' ' || {sample} END AS text FROM lines)"""

@@ -25,12 +25,32 @@ class PageParser(Protocol):
 
 def chars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Glyphs, with a fixed schema; ignorable ones are dropped."""
-    return spark.read.schema(CHARS).format(fmt).load(path).filter(~F.coalesce("ignorable", F.lit(False)))
+    return glyphs(spark.read.schema(CHARS).format(fmt).load(path))
+
+
+def glyphs(rows: DataFrame) -> DataFrame:
+    """Of rows of :data:`CHARS` those that count."""
+    return rows.filter(~F.coalesce("ignorable", F.lit(False)))
+
+
+def page_text(rows: DataFrame) -> DataFrame:
+    """(doc_id, page, text) of glyphs, with spaces and line ends where their flags say so; lines are joined as everywhere. A page is an array."""
+    each = F.array_sort(F.collect_list(F.struct("pos", F.concat("c", F.when(F.coalesce("line_break_after", F.lit(False)), "\n").when(F.coalesce("space_after", F.lit(False)), " ").otherwise("")).alias("c"))))
+    return rows.groupBy("doc_id", "page").agg(each.alias("g")).select("doc_id", "page", T.join_lines(F.split(F.array_join(F.transform("g", lambda g: g["c"]), ""), "\n", -1)).alias("text"))
+
+
+def whole_text(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): the pages of a document in a row, with nothing between them."""
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("text"))
 
 
 def spans(spark: SparkSession, path: str) -> DataFrame:
-    """Span files (one JSON object a page); the declared size wins over the box's height."""
-    files = spark.read.schema(SPAN_FILE).json(path, multiLine=True)
+    """Span files (one JSON object a page)."""
+    return span_rows(spark.read.schema(SPAN_FILE).json(path, multiLine=True))
+
+
+def span_rows(files: DataFrame) -> DataFrame:
+    """Rows of :data:`SPANS` from parsed span files; the declared size wins over the box's height."""
     rows = files.select(F.col("source").alias("doc_id"), "page", F.col("pageWidth").alias("page_width"), F.col("pageHeight").alias("page_height"), F.posexplode("items").alias("pos", "i"))
     r = F.col("i.rect")
     rect = F.struct(r[0].alias("x1"), r[1].alias("y1"), r[2].alias("x2"), r[3].alias("y2"))

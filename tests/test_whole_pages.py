@@ -4,7 +4,7 @@ from quillspark.plans import pages, policy_queries
 
 
 def test_pages_without_full_width_blocks(spark, tmp_path):
-    texts = ["\n".join(f"line {i}" for i in range(1 + d % 4)) for d in range(20)]
+    texts = ["\n".join(f"line {i}" for i in range(9 + d % 4)) for d in range(20)]  # a last page of a few blocks
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     b = pages.blocks(spark, str(tmp_path)).collect()
     wide = {(x.doc_id, x.page) for x in b if x.column == -1}
