@@ -3,15 +3,17 @@
 A document is its token ids and an end id; one longer than a sequence is cut into full pieces, the first of which may be shorter. Pieces
 of a whole sequence need no packing. The others are dealt by hash into shards of about ``SHARD`` pieces; each shard has ``ISLANDS`` islands,
 every one a Spark group of its own that evolves a population of packings from differently ordered best fits. Crossover injects whole
-well-filled bins of one parent into the other, removes the bins that hold a piece twice, and best-fits the displaced pieces, largest first.
-Then the elites migrate: a second set of groups, one a shard, gets the best of all its islands and evolves these together. Bins filled to
-``FULL`` of a sequence are final; the pieces of all other bins are dealt anew into fewer shards, until one shard holds the rest.
+well-filled bins of one parent into the other, removes the bins that hold a piece twice, and best-fits the displaced pieces, largest first; a mutation dissolves some
+open bins as well. An epoch ends with migration: every island of a shard gets the elites of all. After ``EPOCHS`` of them one group a shard evolves all elites
+together. Bins filled to ``FULL`` of a sequence are final; the pieces of all other bins are dealt anew into fewer shards, until one shard holds the rest. A shard whose packing
+has no more bins than its tokens need evolves no further. If dealing anew places less than a tenth of what was left, or after ``MOST_LEVELS`` levels, open bins stay
+as they are (some sequences are less full; no piece is lost).
 
 Only 30 bytes a piece shuffle; a group has a bounded number of pieces whatever the input. All choices derive from hashes of the pieces, so
 reruns agree.
 
-Defined cases: null or empty text is the end id alone, one token; equal rows are pieces of their own; a null doc_id is kept; an empty table
-gives an empty result; extra columns don't matter."""
+Defined cases: null or empty text is the end id alone, one token; equal rows are pieces of their own; pieces of equal length go by their row's place; a text of any length is
+encoded whole; a null doc_id is kept; an empty table gives an empty result; extra columns don't matter."""
 
 from __future__ import annotations
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SIZE, END, SHARD, ISLANDS, POPULATION, GENERATIONS, FULL, MOST_LEVELS = 1024, 2, 2000, 2, 5, 12, 1022 / 1024, 12
+SIZE, END, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN, FULL, MOST_LEVELS = 1024, 2, 20_000, 2, 2, 5, 24, 1022 / 1024, 12
 P = "__pk_"
 
 
@@ -95,46 +97,46 @@ def fitness(bins: Packing, size: int) -> tuple[int, int]:
 def cross(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
     """Child of b with well-filled bins of a."""
     good = [x for x in a if x[0] >= size * FULL] or [max(a, key=lambda x: x[0])]
-    lo = rng.randrange(len(good))
-    take = (good + good)[lo : lo + max(1, rng.randrange(len(good) // 2 + 1))]
+    take = rng.sample(good, max(1, int(len(good) * rng.uniform(0.05, 0.6))))
     inside = {i for x in take for i in x[1:]}
     child, displaced = [list(x) for x in take], []
-    worst = min(b, key=lambda x: x[0])
+    open_ = [x for x in b if x[0] < size]
+    dissolved = {id(x) for x in rng.sample(open_, int(len(open_) * rng.uniform(0, 0.5)))} | {id(min(b, key=lambda x: x[0]))}
     for x in b:
-        if x is worst or not inside.isdisjoint(x[1:]):  # mutation: the emptiest bin is dissolved as well
+        if id(x) in dissolved or not inside.isdisjoint(x[1:]):
             displaced += [i for i in x[1:] if i not in inside]
         else:
             child.append(list(x))
-    displaced.sort(key=lengths.__getitem__, reverse=True)
+    if noise := rng.choice((0, 0, 4, 16, 64)):
+        displaced.sort(key=lambda i: lengths[i] + rng.random() * noise, reverse=True)
+    else:
+        displaced.sort(key=lengths.__getitem__, reverse=True)
     return best_fit(lengths, displaced, size, child)
 
 
-def evolve(lengths: list[int], population: list[Packing], size: int, seed: int, generations: int = GENERATIONS) -> Packing:
+def evolve(lengths: list[int], population: list[Packing], size: int, seed: int, children: int | None = None) -> Packing:
     """The best packing found; ``population`` may be empty. It stops at the bound ceil(sum / size)."""
     rng, n = random.Random(seed), len(lengths)
     least = -(-sum(lengths) // size)
-    down = sorted(range(n), key=lengths.__getitem__, reverse=True)
     people = [(fitness(p, size), p) for p in population]
     while len(people) < POPULATION and min((x[0][0] for x in people), default=n + 1) > least:
-        order = down
+        keys = lengths
         if people:
-            noise = rng.choice((8, 32, 128))
+            noise = rng.choice((2, 8, 32, 128))
             keys = [x + (rng.random() - 0.5) * noise for x in lengths]
-            order = sorted(range(n), key=keys.__getitem__, reverse=True)
-        p = best_fit(lengths, order, size)
+        p = best_fit(lengths, sorted(range(n), key=keys.__getitem__, reverse=True), size)
         people.append((fitness(p, size), p))
-    for _ in range(generations):
-        people.sort(key=lambda x: x[0])
+    people.sort(key=lambda x: x[0])
+    for _ in range(CHILDREN if children is None else children):
         if people[0][0][0] <= least or len(people) < 2:
             break
-        for _ in range(2):
-            a, b = rng.sample(range(len(people)), 2)
-            child = cross(people[min(a, b)][1], people[max(a, b)][1], lengths, size, rng)
-            f = fitness(child, size)
-            if all(f != x[0] for x in people):  # keeps the population varied
-                people[-1] = (f, child)
-                people.sort(key=lambda x: x[0])
-    return min(people, key=lambda x: x[0])[1]
+        a, b = sorted(rng.sample(range(len(people)), 2))  # the better one's bins are injected
+        child = cross(people[a][1], people[b][1], lengths, size, rng)
+        f = fitness(child, size)
+        if f < people[-1][0] and all(f != x[0] for x in people):  # keeps the population varied
+            people[-1] = (f, child)
+            people.sort(key=lambda x: x[0])
+    return people[0][1]
 
 
 def _bin_of(bins: Packing, n: int) -> np.ndarray:
@@ -152,33 +154,44 @@ def _bins(of: np.ndarray, lengths: list[int]) -> Packing:
     return [x for x in out if len(x) > 1]
 
 
-def _seed(shard: int, island: int, level: int) -> int:
-    return zlib.crc32(f"{shard}:{island}:{level}".encode())
+def _seed(*parts: int) -> int:
+    return zlib.crc32(":".join(map(str, parts)).encode())
 
 
 def level_of(items: DataFrame, level: int, shards: int, size: int) -> DataFrame:
     """(row, length, sequence, final) of ``items`` (row, length): islands, migration, and which bins stay."""
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
-    islands = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    dealt = common.materialize(items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards))), slim=True)
 
-    def order(t: pa.Table) -> tuple[pa.Table, list[int]]:
-        t = t.sort_by("row")
-        return t, t.column("length").to_pylist()
+    def known(t: pa.Table) -> tuple[pa.Table, list[int], list[Packing]]:
+        """Pieces in order, their lengths, and the packings of the elites that came with them."""
+        of = [np.frombuffer(x, np.int32) for x in sorted(t.column("elite").drop_null().to_pylist())]
+        t = t.filter(pc.is_valid(t.column("row"))).sort_by("row")
+        lengths = t.column("length").to_pylist()
+        return t, lengths, [_bins(x, lengths) for x in of]
+
+    def island(epoch: int):
+        def run(t: pa.Table) -> pa.Table:
+            t, lengths, elites = known(t)
+            shard, k = t.column("shard")[0].as_py(), t.column("island")[0].as_py()
+            found = _bin_of(evolve(lengths, elites, size, _seed(shard, k, level, epoch)), len(lengths))
+            return pa.table({"shard": [shard], "elite": pa.array([found.tobytes()], pa.binary())})
 
-    def island(t: pa.Table) -> pa.Table:
-        t, lengths = order(t)
-        shard, k = t.column("shard")[0].as_py(), t.column("island")[0].as_py()
-        found = _bin_of(evolve(lengths, [], size, _seed(shard, k, level)), len(lengths))
-        return pa.table({"shard": [shard], "elite": pa.array([found.tobytes()], pa.binary())})
+        return run
 
-    elites = islands.groupBy("shard", "island").applyInArrow(island, "shard long, elite binary")
-    both = dealt.select("shard", "row", "length", F.lit(None).cast("binary").alias("elite")).unionByName(elites.select("shard", F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("length"), "elite"))
+    def on(df: DataFrame) -> DataFrame:
+        return df.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+
+    none = F.lit(None).cast("long")
+    rows = dealt.select("shard", "row", "length", F.lit(None).cast("binary").alias("elite"))
+    both = rows
+    for epoch in range(EPOCHS):
+        elites = common.materialize(on(both).groupBy("shard", "island").applyInArrow(island(epoch), "shard long, elite binary"), slim=True)
+        both = rows.unionByName(elites.select("shard", none.alias("row"), none.alias("length"), "elite"))
 
     def migrate(t: pa.Table) -> pa.Table:
-        of = [np.frombuffer(x, np.int32) for x in sorted(t.column("elite").drop_null().to_pylist())]
-        t, lengths = order(t.filter(pc.is_valid(t.column("row"))))
+        t, lengths, elites = known(t)
         shard = t.column("shard")[0].as_py()
-        found = _bin_of(evolve(lengths, [_bins(x, lengths) for x in of], size, _seed(shard, ISLANDS, level)), len(lengths))
+        found = _bin_of(evolve(lengths, elites, size, _seed(shard, ISLANDS, level, EPOCHS)), len(lengths))
         fill = np.bincount(found, lengths)
         final = (fill >= size * FULL)[found] if shards > 1 else np.ones(len(found), bool)
         sequence = (np.int64(level) << np.int64(57)) | (np.int64(shard) << np.int64(20)) | found.astype(np.int64)
@@ -193,7 +206,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     items = cut.filter(F.col("length") < size).select(F.col(P + "row").alias("row"), "length")
     placed, left = [], items.count()
     for level in range(MOST_LEVELS):
-        shards = 1 if level == MOST_LEVELS - 1 and left <= 20 * SHARD else max(1, -(-left // SHARD))
+        shards = 1 if level == MOST_LEVELS - 1 and left <= 2 * SHARD else max(1, -(-left // SHARD))
         done = common.materialize(level_of(items, level, shards, size))
         placed.append(done.filter("final").select("row", "sequence"))
         items, before = done.filter("not final").select("row", "length"), left

@@ -101,6 +101,56 @@ def test_packing_is_near_the_bound(spark):
     assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 1024) * 1.005 + 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_packing_needs_no_more_than_best_fit_decreasing(spark):
+    got = packing.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    lengths = [r.length for r in got]
+    down = packing.best_fit(lengths, sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True), 1024)
+    assert len({r.sequence_id for r in got}) <= len(down)
+
+
+def test_evolution_saves_bins():
+    """Against best-fit decreasing, over a few draws of lengths that leave it room."""
+    saved = 0
+    for seed in range(6):
+        rng = random.Random(seed)
+        lengths = [rng.choice((rng.randint(130, 420), rng.randint(250, 600))) for _ in range(240)]
+        down = packing.best_fit(lengths, sorted(range(240), key=lengths.__getitem__, reverse=True), 1024)
+        best = packing.evolve(lengths, [], 1024, seed, 200)
+        assert sorted(i for b in best for i in b[1:]) == list(range(240)) and all(b[0] == sum(lengths[i] for i in b[1:]) <= 1024 for b in best)
+        assert len(best) <= len(down)
+        saved += len(down) - len(best)
+    assert saved > 0
+
+
+def test_crossover_keeps_every_piece_once():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 1000) for _ in range(200)]
+    a, b = (packing.best_fit(lengths, rng.sample(range(200), 200), 1024) for _ in range(2))
+    for _ in range(50):
+        a, b = b, packing.cross(a, b, lengths, 1024, rng)
+        assert sorted(i for x in b for i in x[1:]) == list(range(200)) and all(x[0] == sum(lengths[i] for i in x[1:]) <= 1024 for x in b)
+
+
+def test_packing_in_many_shards(spark, monkeypatch):
+    """Levels, migration and the last shard at a small shard size place every piece once, within the bound's reach."""
+    monkeypatch.setattr(packing, "SHARD", 300)
+    rng = random.Random(3)
+    cut = spark.createDataFrame([(i, 0, 0, rng.choice((1024, rng.randint(1, 1024), rng.randint(1, 300))), 0) for i in range(3000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(cut).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    assert len(got) == 3000
+    for rows_ in by.values():
+        at = 0
+        for r in sorted(rows_, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert len(by) <= -(-sum(r.length for r in got) // 1024) * 1.01 + 1
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 100, 5000):
