@@ -8,11 +8,11 @@ reference, all others one class). A document of n words is rejected when its nea
 noisy; nothing is rejected under ``LEAST_CHARS`` characters or ``LEAST_WORDS`` words.
 
 References come from all documents that pass the base rules, by their lang (null lang: none): character counts and word counts are summed
-by Spark. The word counts shuffle once, combined in each task; what reaches the driver is bounded: ``COMMON`` words a language, of the
-``MOST_LANGS`` largest languages.
+by Spark. The word counts shuffle once, combined in each task; ``COMMON`` words of every language reach the driver and the tasks, so these grow with the number of
+languages alone.
 
-Defined cases: null text has no words and fails; equal rows get equal results; without any reference (empty table, no lang) the
-verdict is the base rules'; extra columns pass through :func:`keep` unchanged."""
+Defined cases: null text has no words and fails; equal rows get equal results; of words of equal count the first by bytes are common; without any reference (empty
+table, no lang) the verdict is the base rules'; texts of any length count whole; extra columns of any name pass through :func:`keep` unchanged."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST, WINDOW, PERCENT = 20, 8, 30
-COMMON, MOST_LANGS = 200, 10_000
+COMMON = 200
 #: A histogram of n words strays from its reference by about 1 / sqrt(n): distance allowed at length, plus that for short texts.
 FAR, FAR_SHORT, FAR_WORDS, FAR_WORDS_SHORT, LEAST_CHARS, LEAST_WORDS = 0.15, 0.8, 0.40, 1.0, 100, 40
 P = "__ql_"
@@ -142,23 +142,24 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
     counts = common.materialize(rows.mapInArrow(count, "lang string, item binary, n long, is_char boolean").groupBy("lang", "is_char", "item").agg(F.sum("n").alias("n")))
     total = counts.groupBy("lang", "is_char").agg(F.sum("n").alias("total"))
-    langs = [r["lang"] for r in total.filter("not is_char").orderBy(F.desc("total"), "lang").limit(MOST_LANGS).collect()]
-    totals = {(r["lang"], r["is_char"]): r["total"] for r in total.filter(F.col("lang").isin(langs)).collect()} if langs else {}
+    totals = {(r["lang"], r["is_char"]): r["total"] for r in total.collect()}
     # First the best of every hash part, so that no language's words meet in one task.
     part = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "item")
-    best = counts.filter("not is_char").filter(F.col("lang").isin(langs)).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(64)))
+    best = counts.filter("not is_char").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(64)))
     best = best.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= COMMON)
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= COMMON)
-    words = best.select("lang", "item", "n").collect() if langs else []
-    chars = counts.filter("is_char").filter(F.col("lang").isin(langs)).collect() if langs else []
+    chars = {lang: np.zeros(CLASSES) for lang, is_char in totals if not is_char}
+    words: dict[str, list] = {lang: [] for lang in chars}
+    for r in best.select("lang", "item", "n").collect():
+        words[r["lang"]].append((-r["n"], bytes(r["item"])))
+    for r in counts.filter("is_char").collect():
+        if r["lang"] in chars:
+            chars[r["lang"]][int(bytes(r["item"]))] = r["n"]
     out = []
-    for lang in sorted(langs):
-        c, mine = np.zeros(CLASSES), sorted(((r["n"], bytes(r["item"])) for r in words if r["lang"] == lang), key=lambda x: (-x[0], x[1]))
-        for r in chars:
-            if r["lang"] == lang:
-                c[int(bytes(r["item"]))] = r["n"]
-        n = np.array([x[0] for x in mine], float)
-        out.append((lang, c, {w: i for i, (_, w) in enumerate(mine)}, np.append(n, totals[lang, False] - n.sum())))
+    for lang in sorted(chars):
+        mine = sorted(words[lang])
+        n = np.array([-x[0] for x in mine], float)
+        out.append((lang, chars[lang], {w: i for i, (_, w) in enumerate(mine)}, np.append(n, totals[lang, False] - n.sum())))
     common.drop(counts)
     return out
 
@@ -194,7 +195,7 @@ def judge(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: s
     refs = references(docs, text_col, lang_col) if refs is None else refs
     at = carry.index(text_col) if text_col in carry else len(carry)
     rows = docs.select(*carry, *([text_col] if at == len(carry) else []))
-    shared = docs.sparkSession.sparkContext.broadcast(refs)  # at most MOST_LANGS x COMMON words
+    shared = docs.sparkSession.sparkContext.broadcast(refs)  # COMMON words a language
     names = SCHEMA.replace(",", "").split()[::2]
 
     def run(batches):

@@ -86,8 +86,28 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 and (r.lang_pred in ("und", "en", "fr", "de")) and r.held_out == (mod(r.doc_id, 4) == 2) for r in got)
 
 
+def test_language_rejection_by_brute_force(spark):
+    """Nearest centroid by cosine over all centroids; beyond the centroid's reach a text is flagged."""
+    docs = frame(spark, [r for r in rows(3000)] + [(700 + i, "zqxj wvkq xzzq jjqx " * 20 + str(i), "en", "s", 1, *[None] * 10) for i in (2, 5)])
+    model = langid.train(docs.filter("doc_id between 100 and 111"))
+    want = Counter()
+    for r in docs.collect():
+        n = langid.grams((r.text or "").encode())
+        if n is None:
+            want[r.doc_id, "und", 0.0, True] += 1
+            continue
+        tf = {i: (1 + np.log(c)) * model["idf"][i] for i, c in enumerate(n) if c}
+        size = sum(v * v for v in tf.values()) ** 0.5 or 1
+        cos = [sum(v * c[i] for i, v in tf.items()) / size for c in model["centroids"]]
+        j = int(np.argmax(cos))
+        want[r.doc_id, model["langs"][j], round(min(1, max(0, cos[j])), 3), bool(cos[j] < model["least"][j])] += 1
+    got = langid.predict(docs, model).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 3), r.rejected) for r in got) == want
+    assert all(r.rejected for r in got if r.doc_id and r.doc_id >= 700) and not any(r.rejected for r in got if r.doc_id in range(100, 112))
+
+
 def test_huffman_round_trip(spark):
-    data = [r for r in rows() if r[0] not in (303,)]
+    data = rows()
     memo = tokens.memo(tokens.default_path("word_bpe_49k.json"), "words")
     got = huffman.report(frame(spark, data)).collect()
     want = Counter()
@@ -238,9 +258,80 @@ def test_quality_base_by_brute_force(spark):
         assert quality.base(t.encode(), words(t)) == brute_base(t)
 
 
+def brute_class(c):
+    if ord(c) > 127:
+        return 9
+    if c in "aeiou":
+        return 0
+    if c.islower():
+        return 1
+    if c.isupper():
+        return 2
+    if c.isdigit():
+        return 3
+    if c in ".,;:!?'\"-()":
+        return 4
+    return 6 if c == " " else 7 if c == "\n" else 8 if ord(c) < 32 or ord(c) == 127 else 5
+
+
+def brute_distance(p, q):
+    keys = set(p) | set(q)
+    a, b = sum(p.values()) or 1, sum(q.values()) or 1
+    total = 0.0
+    for k in keys:
+        x, y = p.get(k, 0) / a, q.get(k, 0) / b
+        for z in (x, y):
+            total += z * np.log2(z / ((x + y) / 2)) / 2 if z else 0
+    return max(0.0, total) ** 0.5
+
+
+def brute_verdicts(data):
+    """(base failed, kept, both distances) of every (text, lang), by definition."""
+    chars, words_ = defaultdict(Counter), defaultdict(Counter)
+    bad = []
+    for t, lang in data:
+        n = brute_base(t)
+        bad.append(n[0] < 20 or 100 * n[4] > 30 * n[0])
+        if t is not None and lang is not None and not bad[-1]:
+            chars[lang].update(map(brute_class, t))
+            words_[lang].update(words(t))
+    common_ = {lang: {w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON]} for lang, c in words_.items()}
+    fold = lambda c, known: Counter({k: sum(n for w, n in c.items() if (w if w in known else None) == k) for k in [*known, None]})
+    refs = [(chars[lang], common_[lang], fold(words_[lang], common_[lang])) for lang in chars]
+    out = []
+    for (t, _), failed in zip(data, bad):
+        if failed or not refs:
+            out.append((failed, not failed, None, None))
+            continue
+        w = words(t)
+        far = min(brute_distance(Counter(map(brute_class, t)), c) for c, _, _ in refs)
+        far_words = min(brute_distance(fold(Counter(w), known), ref) for _, known, ref in refs)
+        short = sum(len(x.decode()) for x in w) < quality.LEAST_CHARS or len(w) < quality.LEAST_WORDS
+        stray = far > quality.FAR + quality.FAR_SHORT * len(w) ** -0.5 or far_words > quality.FAR_WORDS + quality.FAR_WORDS_SHORT * len(w) ** -0.5
+        out.append((failed, short or not stray, round(far, 6), round(far_words, 6)))
+    return out
+
+
+@pytest.mark.parametrize("langs", [True, False])
+def test_quality_verdict_by_brute_force(spark, langs):
+    rng = random.Random(8)
+    odd = " ".join("".join(rng.choice("XQ#7@;") for _ in range(6)) for _ in range(80))  # like no reference
+    data = [r for r in rows(3000)] + [(900 + i, odd + f" {i}", None, "s", 1, *[None] * 10) for i in range(3)]
+    data = [r if langs else (*r[:2], None, *r[3:]) for r in data]
+    want = Counter((r[0], *v) for r, v in zip(data, brute_verdicts([(r[1], r[2]) for r in data])))
+    figure = lambda x: None if x is None else round(x, 6)
+    got = quality.report(frame(spark, data)).collect()
+    assert Counter((r.doc_id, r.base_failed, r.kept, figure(r.char_distance), figure(r.word_distance)) for r in got) == want
+    assert any(not r.kept and not r.base_failed for r in got) == langs
+
+
 def test_quality_keep_keeps_columns(spark):
     out = quality.keep(frame(spark))
     assert out.columns == frame(spark).columns
+    verdict = Counter()
+    for r, v in zip(rows(), brute_verdicts([(r[1], r[2]) for r in rows()])):
+        verdict[r] += v[1]
+    assert Counter(tuple(r) for r in out.collect()) == +verdict
     want = Counter(r.doc_id for r in quality.report(frame(spark)).collect() if r.kept)
     assert Counter(r.doc_id for r in out.collect()) == want
 

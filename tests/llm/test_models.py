@@ -1,8 +1,10 @@
 """Held-out accuracy, planted cases, round trips, and the pipeline against a brute-force version."""
 
+import hashlib
 import html
 import os
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,8 +12,8 @@ import pytest
 
 from quillspark.llm import classlm, exact_dedup, htmlcrf, huffman, langid, mixing, packing, quality, simhash, tokens
 
-from .fixture import frame, rows
-from .test_edges import brute_base, brute_fingerprint
+from .fixture import frame, rows, words
+from .test_edges import brute_fingerprint, brute_verdicts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -197,37 +199,111 @@ def test_memo_gives_the_librarys_ids(name, kind):
         tokens.MOST = before
 
 
+def brute_mix(data):
+    """Copies of each (id, text, source), by definition: targets by water-filling, copies by Pareto order."""
+    sizes = defaultdict(int)
+    for _, t, s in data:
+        sizes[s] += len(words(t))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, room = {}, set(order), float(sum(sizes.values()))
+    while True:
+        total = sum(weight[s] for s in free)
+        full = {s for s in free if total and room * weight[s] / total > 3 * sizes[s]}
+        if not full:
+            target |= {s: room * weight[s] / total for s in free}
+            break
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+            room -= 3 * sizes[s]
+        free -= full
+    out = Counter()
+    for s in order:
+        mine = [(i, t, len(words(t))) for i, t, x in data if x == s]
+        lo, hi = 0.0, 4.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(n * min(3, c * max(1, n.bit_length())) for *_, n in mine) < target[s] else (lo, c)
+        times = lambda n: min(3.0, hi * max(1, n.bit_length())) if sizes[s] else 0.0
+        if target[s] >= 3 * sizes[s] - 1e-6:
+            times = lambda n: 3.0 if sizes[s] else 0.0
+        need, ranked = target[s], []
+        for i, t, n in mine:
+            whole = int(times(n) + 1e-9)
+            p = max(0.0, times(n) - whole)
+            need -= whole * n
+            key = str(i) if i is not None else "null:" + hashlib.md5((t or "").encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix-1:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            ranked.append((u / (1 - u) / (p / (1 - p)) if p > 1e-9 else None, i, n, t, whole))
+        for odds, i, n, t, whole in sorted(ranked, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0, r[2])):
+            extra = odds is not None and need > 1e-6 and 2 * need >= n
+            if odds is not None:
+                need -= n
+            out[i, t, s] += whole + extra
+    return out
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage, and the whole, against what its contract says of the rows that the stage before kept."""
     import corpus_pipeline
 
     data = [r for r in rows(3000)]
     frame(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
     stages = dict(corpus_pipeline.STAGES)
     docs = frame(spark, data)
+    seen = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.collect())
     kept = stages["quality_rules"](spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
-    left = Counter((r.doc_id, r.text) for r in kept.collect())
-    verdict = Counter((r.doc_id, r.n_words) for r in quality.report(docs).collect() if r.kept)
-    assert sum(left.values()) == sum(verdict.values()) and all(not (lambda b: b[0] < 20 or 100 * b[4] > 30 * b[0])(brute_base(t)) for _, t in left)
+    left = Counter()
+    for r, v in zip(data, brute_verdicts([(r[1], r[2]) for r in data])):
+        left[r[0], r[1], r[3]] += v[1]
+    left = +left
+    assert seen(kept) == left
     exact = stages["exact_dedup"](spark, kept, str(tmp_path))
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     groups = defaultdict(list)
-    for (i, t), n in left.items():
-        groups[norm(t)] += [(i, t)] * n
+    for r, n in left.items():
+        groups[norm(r[1])] += [r] * n
     want = Counter(min(g, key=lambda r: (-len(r[1]), r[0] is None, r[0] or 0)) for g in groups.values())
-    assert Counter((r.doc_id, r.text) for r in exact.collect()) == want
+    assert exact.columns == docs.columns and seen(exact) == want
     near = stages["simhash_near_dedup"](spark, exact, str(tmp_path))
     items = list(want)
-    prints = [brute_fingerprint(t) for _, t in items]
+    prints = [brute_fingerprint(r[1]) for r in items]
     of = list(range(len(items)))
     for _ in items:
         of = [min(of[b] for b in range(len(items)) if bin(prints[a] ^ prints[b]).count("1") <= 2) for a in range(len(items))]
-    assert near.count() == len(set(of))
+    first = {}
+    for r, k in sorted(zip(items, of), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        first.setdefault(k, r)
+    left = Counter(first.values())
+    assert near.columns == docs.columns and seen(near) == left
     mixed = stages["mix_sources"](spark, near, str(tmp_path))
-    times = sum(r.copies for r in mixing.plan(near).collect())
-    assert mixed.columns == docs.columns and mixed.count() == times
+    times = +brute_mix(list(left.elements()))
+    assert mixed.columns == docs.columns and seen(mixed) == times
+    tok = tokens.memo(tokens.default_path("byte_bpe_50k.json"), "bytes").tok
+    pieces = Counter()
+    for (i, t, _), n in times.items():
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        head = len(ids) - 1024 * ((len(ids) - 1) // 1024)
+        for p, (lo, hi) in enumerate(zip([0, *range(head, len(ids), 1024)], range(head, len(ids) + 1, 1024))):
+            pieces[i, p, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())] += n
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sum(r.length for r in out) == sum(r.length for r in packing.report(mixed).collect()) and len(out) >= times
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == pieces
+    by = defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append(r)
+    assert all(sum(r.length for r in s) <= 1024 for s in by.values())
+
+
+@pytest.mark.parametrize("data", [[], [(i, None, None, None, None, *[None] * 10) for i in (1, None, 2)]], ids=["empty", "nulls"])
+def test_pipeline_of_nothing(spark, tmp_path, data):
+    import corpus_pipeline
+
+    docs = frame(spark, data) if data else frame(spark).limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_only_known_modules():
