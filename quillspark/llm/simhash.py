@@ -1,13 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Words are lower-cased (A-Z) ``[^\\x20\\x09-\\x0D]+``; a 64-bit fingerprint has the bits that over half of the 3-word shingles'
-XXH64 (seed 42) have. Distinct fingerprints fall into tiles by the population counts of their four 16-bit quarters. Two
-fingerprints at ``RADIUS`` or fewer differing bits have quarter counts that differ by ``RADIUS`` in sum at most, so all other
-tile pairs are skipped; the rest are compared whole with numpy exclusive-or and bit counts. Tiles hold ``TILE`` fingerprints at
-most: larger ones are dealt into several by hash, each pair of which is one unit of work. A unit returns a spanning forest
-of its links (fewer links than fingerprints, and no component is lost), and components of all forests come from Spark joins.
+XXH64 (seed 42) have. Distinct fingerprints fall into tiles by the population counts of their four 16-bit quarters: keys (four counts) in order of their sum and of
+the first two counts' sum fill tiles of at most ``tile`` fingerprints; a key that has more is dealt into several tiles by hash. Two
+fingerprints at ``RADIUS`` or fewer differing bits have quarter counts that differ by ``RADIUS`` in sum at most, so a fingerprint meets only the tiles
+that hold a key so near to its own; these pairs of tiles are compared whole with numpy exclusive-or and bit counts, each pair a unit of work. A unit returns a
+spanning forest of its links (fewer links than fingerprints, and no component is lost), and components of all forests come from Spark joins.
 
-The work is quadratic in the number of *distinct* fingerprints by the method named; the quarter counts skip about 98 % of it.
+The work is quadratic in the number of *distinct* fingerprints by the method named. A tile holds a 64th of them, but not under ``LEAST_TILE`` nor over ``TILE``: up to 8 million fingerprints
+each is sent to some 30 tiles at most, whatever their number; beyond, to about 4 % of all tiles.
 
 Defined cases: null, empty or blank texts have fingerprint zero and link like any other; texts of 1 or 2 words have one shingle,
 the whole sequence; a null doc_id counts as larger than any id and a component of only such rows has a null id; rows with equal ids
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RADIUS, TILE, WIDTH, SEED = 2, 8192, 3, 42
+RADIUS, LEAST_TILE, TILE, WIDTH, SEED = 2, 8192, 131_072, 3, 42
 P = "__sh_"
 
 
@@ -98,7 +99,25 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray
     return every[f[:, 0]], every[f[:, 1]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def tiles_of(n: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tile and number of tiles of each key, from the keys' counts."""
+    k = np.arange(17**4)
+    c = np.stack([k // 4913, k // 289 % 17, k // 17 % 17, k % 17])
+    first, cuts = np.zeros(17**4, np.int64), np.zeros(17**4, np.int64)
+    at, room = -1, 0
+    order = np.lexsort((c[2], c[0], c[0] + c[1], c.sum(0)))
+    for key in order[n[order] > 0].tolist():
+        own = int(n[key])
+        if own > room:
+            at, room = at + 1, tile
+        first[key], cuts[key] = at, max(1, -(-own // tile))
+        room -= own
+        if cuts[key] > 1:  # tiles of its own
+            at, room = at + int(cuts[key]) - 1, 0
+    return first, cuts
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> DataFrame:
     """(a long, b long): links between distinct fingerprints (column fp) that keep every component whole."""
 
     def count(batches):
@@ -107,10 +126,10 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
 
     # At most 17^4 = 83,521 rows of two numbers, whatever the input: safe to hold on the driver and to broadcast.
-    held = fps.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    cuts = np.zeros(17**4, np.int64)
-    cuts[held["k"].to_numpy(np.int64)] = -(-held["n"].to_numpy(np.int64) // tile)
-    base = np.concatenate([[0], np.cumsum(cuts)[:-1]])
+    held = fps.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    size = np.zeros(17**4, np.int64)
+    size[held.column("k").to_numpy()] = held.column("n").to_numpy()
+    base, cuts = tiles_of(size, tile or int(min(TILE, max(LEAST_TILE, size.sum() // 64))))
     shared, steps = fps.sparkSession.sparkContext.broadcast((cuts, base)), _steps(radius)
 
     def deal(batches):
@@ -123,19 +142,24 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
                 mixed = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 own = base[k] + (mixed % cuts[k].astype(np.uint64)).astype(np.int64)
                 digits = np.stack([k // 4913, k // 289 % 17, k // 17 % 17, k % 17], 1)
-                units, values = [own * (1 << 31) + own], [fp]
+                units, which = [own * (1 << 31) + own], [np.arange(len(fp))]
                 for s in steps:
                     near = digits + s
                     ok = ((near >= 0) & (near <= 16)).all(1)
                     other = ((near[ok, 0] * 17 + near[ok, 1]) * 17 + near[ok, 2]) * 17 + near[ok, 3]
-                    n, mine, f = cuts[other], own[ok], fp[ok]
+                    n, mine = cuts[other], np.flatnonzero(ok)
                     at = np.repeat(np.arange(len(n)), n)
                     t = base[other][at] + (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
-                    m = mine[at]
+                    m = own[mine[at]]
                     keep = t != m
                     units.append((np.minimum(t, m) * (1 << 31) + np.maximum(t, m))[keep])
-                    values.append(f[at][keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(units)), pa.array(np.concatenate(values))], ["unit", "fp"])
+                    which.append(mine[at][keep])
+                unit, of = np.concatenate(units), np.concatenate(which)
+                o = np.lexsort((unit, of))  # several near keys may be in one tile
+                unit, of = unit[o], of[o]
+                once = np.ones(len(o), bool)
+                once[1:] = (unit[1:] != unit[:-1]) | (of[1:] != of[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[once]), pa.array(fp[of[once]])], ["unit", "fp"])
 
     def compare(batches):
         cuts, base = shared.value

@@ -388,7 +388,7 @@ def test_simhash_tiles_lose_no_link(spark):
     df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
     from quillspark.llm import common
 
-    for tile in (4, 8192):
+    for tile in (1, 4, 30, 8192):
         roots = {r.node: r.root for r in common.components(simhash.links(df, 2, tile)).collect()}
         got = {}
         for x, k in zip(fp.view(np.int64).tolist(), label):
@@ -396,6 +396,21 @@ def test_simhash_tiles_lose_no_link(spark):
         assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(label.tolist()))
 
 
+def test_simhash_tiles_hold_their_keys():
+    rng = np.random.default_rng(5)
+    n = np.where(rng.random(17**4) < 0.02, rng.integers(1, 200, 17**4), 0)
+    first, cuts = simhash.tiles_of(n, 100)
+    held = np.zeros(int((first + cuts).max()), np.int64)
+    for k in np.flatnonzero(n):
+        assert cuts[k] == -(-n[k] // 100)
+        if cuts[k] == 1:
+            held[first[k]] += n[k]
+        else:
+            assert held[first[k] : first[k] + cuts[k]].sum() == 0
+            held[first[k] : first[k] + cuts[k]] = 1000
+    assert held.min() > 0 and held[held < 1000].max() <= 100
+
+
 def test_components_of_long_chains(spark):
     from quillspark.llm import common
 
