@@ -7,8 +7,8 @@ fingerprints at ``RADIUS`` or fewer differing bits have quarter counts that diff
 that hold a key so near to its own; these pairs of tiles are compared whole with numpy exclusive-or and bit counts, each pair a unit of work. A unit returns a
 spanning forest of its links (fewer links than fingerprints, and no component is lost), and components of all forests come from Spark joins.
 
-The work is quadratic in the number of *distinct* fingerprints by the method named. A tile holds a 64th of them, but not under ``LEAST_TILE`` nor over ``TILE``: up to 8 million fingerprints
-each is sent to some 30 tiles at most, whatever their number; beyond, to about 4 % of all tiles.
+The work is quadratic in the number of *distinct* fingerprints by the method named. A tile holds a ``PARTS``th of them, ``TILE`` at most: up to 4 million fingerprints
+each is sent to some 10 to 20 tiles, whatever their number; beyond, to a share of all tiles.
 
 Defined cases: null, empty or blank texts have fingerprint zero and link like any other; texts of 1 or 2 words have one shingle,
 the whole sequence; a null doc_id counts as larger than any id and a component of only such rows has a null id; rows with equal ids
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RADIUS, LEAST_TILE, TILE, WIDTH, SEED = 2, 8192, 131_072, 3, 42
+RADIUS, PARTS, TILE, WIDTH, SEED = 2, 32, 131_072, 3, 42
 P = "__sh_"
 
 
@@ -129,7 +129,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int | None = None) -> Data
     held = fps.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     size = np.zeros(17**4, np.int64)
     size[held.column("k").to_numpy()] = held.column("n").to_numpy()
-    base, cuts = tiles_of(size, tile or int(min(TILE, max(LEAST_TILE, size.sum() // 64))))
+    base, cuts = tiles_of(size, tile or int(min(TILE, max(1, size.sum() // PARTS))))
     shared, steps = fps.sparkSession.sparkContext.broadcast((cuts, base)), _steps(radius)
 
     def deal(batches):
