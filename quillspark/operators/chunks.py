@@ -1,4 +1,4 @@
-"""Batches of bounded size: greedy folds over the ordered blocks of a page or document, as higher-order functions."""
+"""Batches of bounded size: greedy folds over the ordered blocks of a page or document."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from . import ordered
 
 
 def fold(sizes: Column, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS) -> Column:
-    """Chunk number of each element of an ordered array of sizes: a block is never split, a chunk never over ``most`` blocks."""
+    """W11 for one array of sizes, that of a page: chunk number of each: a block is never split, a chunk never over ``most`` blocks."""
     start = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, size: Column) -> Column:
@@ -21,24 +22,29 @@ def fold(sizes: Column, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS)
     return F.aggregate(sizes, start, step, lambda a: a["out"])
 
 
-def greedy(blocks: DataFrame, keys: list[str], order: list[str], size: Column, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS) -> DataFrame:
-    """W11 over a table: (keys, order, chunk). A key is a page or a document, so its array is bounded."""
-    rows = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, size.cast("long").alias("_size")))).alias("_rows"))
-    rows = rows.withColumn("_chunk", fold(F.transform("_rows", lambda r: r["_size"]), budget, most))
-    return rows.select(*keys, F.explode(F.arrays_zip("_rows", "_chunk")).alias("z")).select(*keys, *[F.col(f"z._rows.{o}").alias(o) for o in order], F.col("z._chunk").alias("chunk"))
+def _packer(order: list[str], budget: int, most: int, fill: float | None):
+    """A chunk ends when the next block would not fit, or, with ``fill``, at the start of a module once it is so full."""
 
+    def step(s: dict, row: dict) -> list[dict]:
+        full = s["size"] + row["_size"] > budget or s["n"] >= most or (fill is not None and row["_starts"] and s["size"] >= budget * fill)
+        if s["n"] and full:
+            s.update(chunk=s["chunk"] + 1, size=0, n=0)
+        s["size"] += row["_size"]
+        s["n"] += 1
+        return [{o: row[o] for o in order} | {"chunk": s["chunk"]}]
 
-def soft_fold(rows: Column, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS, fill: float = X.CHUNK_FILL) -> Column:
-    """W13's fold over structs (size, starts): a chunk also ends at a module's start once it is ``fill`` full."""
-    start = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    return step
 
-    def step(a: Column, r: Column) -> Column:
-        size = r["size"].cast("long")
-        full = (a["n"] > 0) & ((r["starts"] & (a["s"] >= budget * fill)) | (a["s"] + size > budget) | (a["n"] >= most))
-        c = F.when(full, a["c"] + 1).otherwise(a["c"])
-        return F.struct(c.alias("c"), F.when(full, size).otherwise(a["s"] + size).alias("s"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(c)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+def _pack(rows: DataFrame, keys: list[str], order: list[str], budget: int, most: int, fill: float | None = None) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{o}` {kinds[o]}" for o in order) + ", chunk int"
+    return ordered.fold(rows, keys, order, schema, lambda: {"chunk": 0, "size": 0, "n": 0}, _packer(order, budget, most, fill))
+
+
+def greedy(blocks: DataFrame, keys: list[str], order: list[str], size: Column, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS) -> DataFrame:
+    """W11 over a table: (keys, order, chunk), linear in the blocks of a key."""
+    return _pack(blocks.select(*keys, *order, F.coalesce(size, F.lit(0)).cast("long").alias("_size")), keys, order, budget, most)
 
 
 def plan(blocks: DataFrame, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLOCKS, fill: float = X.CHUNK_FILL) -> DataFrame:
@@ -48,8 +54,7 @@ def plan(blocks: DataFrame, budget: int = X.CHUNK_CHARS, most: int = X.CHUNK_BLO
     fast, slow = blocks.filter(~F.col("risky")), blocks.filter("risky")
     w = Window.partitionBy("doc_id").orderBy("ord")
     marked = fast.withColumn("_starts", F.lag("ord").over(w).isNotNull() & ~F.lag("module").over(w).eqNullSafe(F.col("module")))
-    rows = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.length("text").alias("size"), F.col("_starts").alias("starts")))).alias("r"))
-    rows = rows.withColumn("c", soft_fold(F.col("r"), budget, most, fill)).select("doc_id", F.explode(F.arrays_zip("r", "c")).alias("z")).select("doc_id", F.col("z.r.ord").alias("ord"), F.col("z.c").alias("chunk"))
+    rows = _pack(marked.select("doc_id", "ord", F.length("text").cast("long").alias("_size"), "_starts"), ["doc_id"], ["ord"], budget, most, fill)
     out = marked.join(rows, ["doc_id", "ord"])
     chunk = Window.partitionBy("doc_id", "chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.first(F.struct("module", "heading")).over(chunk)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Fixed values: (kind, mode) to (least, initial, most) parallel requests.
 BANDS = [
     ("free", "stable", 1, 1, 1), ("free", "auto", 1, 1, 1), ("free", "high", 1, 1, 1), ("free", "custom", 1, 1, 1),
@@ -49,23 +51,21 @@ def window_pages(page: Column, ahead: Column, behind: Column, pages: Column) ->
     return F.filter(F.sequence(page - behind, page + ahead), lambda p: (p >= 0) & (p < pages))
 
 
-def cap_step(cap: Column, streak: Column, kind: Column, least: Column | int, most: Column | int) -> Column:
-    """Rate limits halve, timeouts take one, five successes in a row give one, within the band."""
-    least, most = (F.lit(x) if isinstance(x, int) else x for x in (least, most))
-    return (
-        F.when(kind == "rate", F.struct(F.greatest(least, F.floor(cap / 2).cast("int")).alias("cap"), F.lit(0).alias("streak")))
-        .when(kind == "timeout", F.struct(F.greatest(least, cap - 1).alias("cap"), F.lit(0).alias("streak")))
-        .when(cap >= most, F.struct(cap.alias("cap"), streak.alias("streak")))
-        .when(streak + 1 >= 5, F.struct(F.least(most, cap + 1).alias("cap"), F.lit(0).alias("streak")))
-        .otherwise(F.struct(cap.alias("cap"), (streak + 1).alias("streak")))
-    )
+def adaptive_caps(events: DataFrame, least: int = 1, most: int = 6) -> DataFrame:
+    """(lane, cap, streak, events) after all feedback (lane, seq, kind) in order: rate limits halve, timeouts take one, five successes in a row give one."""
 
+    def step(s: dict, row: dict) -> tuple:
+        s["events"] += 1
+        if row["kind"] in ("rate", "timeout"):
+            s["cap"], s["streak"] = max(least, s["cap"] // 2 if row["kind"] == "rate" else s["cap"] - 1), 0
+        elif s["cap"] < most:
+            s["streak"] += 1
+            if s["streak"] == 5:
+                s["cap"], s["streak"] = s["cap"] + 1, 0
+        return ()
 
-def adaptive_caps(events: DataFrame, least: int = 1, most: int = 6, chunk: int = 100_000) -> DataFrame:
-    """R03 as a fold: (lane, cap, streak, events) after all feedback (lane, seq, kind) in order. A lane's events are bounded by its session."""
-    rows = events.groupBy("lane").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("e"))
-    start = F.struct(F.lit(most).alias("cap"), F.lit(0).alias("streak"))
-    return rows.withColumn("s", F.aggregate("e", start, lambda a, e: cap_step(a["cap"], a["streak"], e["kind"], least, most))).select("lane", "s.cap", "s.streak", F.size("e").alias("events"))
+    rows = events.select("lane", "seq", "kind")
+    return ordered.fold(rows, ["lane"], ["seq", "kind"], "cap int, streak int, events int", lambda: {"cap": most, "streak": 0, "events": 0}, step, lambda s: [s])
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap: str = "150 seconds") -> DataFrame:
@@ -81,26 +81,27 @@ def latest_wins(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def cooled(events: DataFrame, key: str, ts: Column, pause_ms: int) -> DataFrame:
     """Events that aren't echoes: an event within ``pause_ms`` of the last accepted one of its key is dropped."""
-    rows = events.withColumn("_ms", ts).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_ms", "event_id"))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("ids"))
 
-    def step(a: Column, e: Column) -> Column:
-        ok = a["last"].isNull() | (e["_ms"] - a["last"] >= pause_ms)
-        return F.struct(F.when(ok, e["_ms"]).otherwise(a["last"]).alias("last"), F.when(ok, F.concat(a["ids"], F.array(e["event_id"]))).otherwise(a["ids"]).alias("ids"))
+    def step(s: dict, row: dict) -> list[dict]:
+        if s["last"] is not None and row["_ms"] - s["last"] < pause_ms:
+            return []
+        s["last"] = row["_ms"]
+        return [{"event_id": row["event_id"]}]
 
-    return rows.select(key, F.explode(F.aggregate("e", start, step, lambda a: a["ids"])).alias("event_id"))
+    return ordered.fold(events.select(key, ts.alias("_ms"), "event_id"), [key], ["_ms", "event_id"], "event_id long", lambda: {"last": None}, step)
 
 
 def failure_memory(runs: DataFrame, limit: int = 2) -> DataFrame:
     """Hashes that failed in ``limit`` runs, each begun after the failure before was counted: (hash, failures, skip)."""
-    rows = runs.filter("failed").groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("started", "ended"))).alias("r"))
-    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("n"))
 
-    def step(a: Column, r: Column) -> Column:
-        counts = a["at"].isNull() | (r["started"] > a["at"])
-        return F.struct(F.when(counts, r["ended"]).otherwise(a["at"]).alias("at"), (a["n"] + counts.cast("int")).alias("n"))
+    def step(s: dict, row: dict) -> tuple:
+        if s["at"] is None or row["started"] > s["at"]:
+            s["at"], s["failures"] = row["ended"], s["failures"] + 1
+        return ()
 
-    return rows.select("hash", F.aggregate("r", start, step, lambda a: a["n"]).alias("failures")).withColumn("skip", F.col("failures") >= limit)
+    rows = runs.filter("failed").select("hash", "started", "ended")
+    out = ordered.fold(rows, ["hash"], ["started", "ended"], "failures int", lambda: {"at": None, "failures": 0}, step, lambda s: [{"failures": s["failures"]}])
+    return out.withColumn("skip", F.col("failures") >= limit)
 
 
 def first_terms(terms: DataFrame, most: int = 200) -> DataFrame:
@@ -112,22 +113,24 @@ def first_terms(terms: DataFrame, most: int = 200) -> DataFrame:
 def queue(commands: DataFrame) -> DataFrame:
     """Queue verbs as an event fold: (queue, seq, verb, key, priority) to what is still waiting, most urgent first.
 
-    enqueue (ignored while the key waits), promote (keeps the higher priority), cancel, cancel-except, clear."""
-    rows = commands.groupBy("queue").agg(F.array_sort(F.collect_list(F.struct("seq", "verb", "key", "priority"))).alias("e"))
-    kind = "array<struct<key: string, priority: int, seq: bigint>>"
-
-    def step(a: Column, e: Column) -> Column:
-        there = F.exists(a, lambda j: j["key"] == e["key"])
-        return (
-            F.when((e["verb"] == "enqueue") & ~there, F.concat(a, F.array(F.struct(e["key"].alias("key"), e["priority"].alias("priority"), e["seq"].alias("seq")))))
-            .when(e["verb"] == "promote", F.transform(a, lambda j: F.struct(j["key"].alias("key"), F.when(j["key"] == e["key"], F.greatest(j["priority"], e["priority"])).otherwise(j["priority"]).alias("priority"), j["seq"].alias("seq"))))
-            .when(e["verb"] == "cancel", F.filter(a, lambda j: j["key"] != e["key"]))
-            .when(e["verb"] == "cancel-except", F.filter(a, lambda j: j["key"] == e["key"]))
-            .when(e["verb"] == "clear", F.filter(a, lambda j: F.lit(False)))
-            .otherwise(a)
-        )
-
-    left = rows.select("queue", F.explode(F.aggregate("e", F.array().cast(kind), step)).alias("j")).select("queue", "j.*")
+    enqueue (ignored while the key waits), promote (keeps the higher priority), cancel, cancel-except, clear. What waits is the state, by key."""
+
+    def step(waiting: dict, row: dict) -> tuple:
+        verb, key = row["verb"], row["key"]
+        if verb == "enqueue":
+            waiting.setdefault(key, [row["priority"], row["seq"]])
+        elif verb == "promote" and key in waiting:
+            waiting[key][0] = max(waiting[key][0], row["priority"])
+        elif verb == "cancel":
+            waiting.pop(key, None)
+        elif verb in ("cancel-except", "clear"):
+            kept = {key: waiting[key]} if verb == "cancel-except" and key in waiting else {}
+            waiting.clear()
+            waiting.update(kept)
+        return ()
+
+    rows = commands.select("queue", "seq", "verb", "key", "priority")
+    left = ordered.fold(rows, ["queue"], ["seq", "verb", "key"], "key string, priority int, seq long", dict, step, lambda w: [{"key": k, "priority": p, "seq": n} for k, (p, n) in w.items()])
     return left.withColumn("place", F.row_number().over(Window.partitionBy("queue").orderBy(F.desc("priority"), "seq")))
 
 

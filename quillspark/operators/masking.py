@@ -36,13 +36,10 @@ _MATH, _MARK = re.compile(X.MATH_SYMBOL), re.compile(r"[=+\-*/^_(){}\[\]|<>~]")
 
 
 def is_formula(run: str) -> bool:
-    """F25 for one string."""
-    run = run.strip()
-    if len(run) < 3:
-        return False
-    marks = len(_MARK.findall(run))
-    words = sum(bool(re.fullmatch("[a-zA-Z]{3,}", w)) for w in run.split())
-    return bool(_MATH.search(run)) or (marks >= 3 and marks >= len(re.findall("[a-zA-Z一-鿿]", run)) / 2 and words <= 1)
+    """F25 for one string, with the fixed values of the column's rule."""
+    t = run.strip()
+    marks, letters, words = len(_MARK.findall(t)), len(re.findall("[a-zA-Z一-鿿]", t)), sum(w.isascii() and w.isalpha() and len(w) > 2 for w in t.split())
+    return len(t) > 2 and bool(_MATH.search(t) or (marks > 2 and 2 * marks >= letters and words < 2))
 
 
 @dataclass

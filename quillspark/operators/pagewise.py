@@ -9,6 +9,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -127,59 +128,45 @@ def bands(values: list[float], tolerance: float) -> list[float]:
     return out
 
 
+def _covered(intervals: np.ndarray, n: int) -> np.ndarray:
+    """How many of the intervals (first and last grid line) lie over each of n cells."""
+    lo, hi = np.clip(np.rint(intervals), 0, n).astype(int).T
+    real = hi > lo
+    return np.cumsum(np.bincount(lo[real], minlength=n + 1) - np.bincount(hi[real], minlength=n + 1))[:n]
+
+
+def _stretches(mask: np.ndarray) -> np.ndarray:
+    """(first, behind the last) of every run of true cells."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).reshape(-1, 2)
+
+
 def coverage_channels(boxes: list[Box], step: float = 2, least: float = 6, intrusion: float = 0.1) -> list[tuple[float, float]]:
     """Inner x-ranges of at least ``least`` points that at most a tenth of the boxes cross."""
     if len(boxes) < 6:
         return []
-    left, right = min(b.x1 for b in boxes), max(b.x2 for b in boxes)
-    n = -int(-(right - left) // step)
-    count = [0] * (n + 1)
-    for b in boxes:
-        lo, hi = max(0, round((b.x1 - left) / step)), min(n, round((b.x2 - left) / step))
-        if hi > lo:
-            count[lo] += 1
-            count[hi] -= 1
-    allowed, out, depth, since = max(1, int(len(boxes) * intrusion)), [], 0, None
-    for k in range(n + 1):
-        depth += count[k]
-        free = k < n and depth <= allowed
-        if free and since is None:
-            since = k
-        elif not free and since is not None:
-            a, b = left + since * step, left + k * step
-            if b - a >= least and a > left + 1 and b < right - 1:
-                out.append((a, b))
-            since = None
-    return out
+    x = np.array([(b.x1, b.x2) for b in boxes], float)
+    left, right = x[:, 0].min(), x[:, 1].max()
+    cover = _covered((x - left) / step, int(np.ceil((right - left) / step)))
+    found = left + step * _stretches(cover <= max(1, int(len(boxes) * intrusion)))
+    inner = (found[:, 1] - found[:, 0] >= least) & (found[:, 0] > left + 1) & (found[:, 1] < right - 1)
+    return [(float(a), float(b)) for a, b in found[inner]]
 
 
 def gutters(rows: list[list[Box]], width: float, step: float = 2) -> list[float]:
     """A10: middles of x-ranges that 60 % of the wide rows leave empty, in the inner part of the page; six wide rows at least."""
-    n = -int(-width // step)
-    free, voters = [0] * n, 0
+    n = int(np.ceil(width / step))
+    cell = np.arange(n)
+    votes = []
     for row in rows:
-        if not row:
-            continue
-        hull = row[0].hull(*row)
-        if hull.width < width * 0.5:
-            continue
-        voters += 1
-        taken = {k for b in row for k in range(max(0, round(b.x1 / step)), min(n, round(b.x2 / step)))}
-        for k in range(max(0, -int(-hull.x1 // step)), min(n - 1, int(hull.x2 // step)) + 1):
-            free[k] += k not in taken
-    if voters < 6:
+        x = np.array([(b.x1, b.x2) for b in row], float).reshape(-1, 2)
+        if len(x) and x[:, 1].max() - x[:, 0].min() >= width * 0.5:
+            inside = (cell >= np.ceil(x[:, 0].min() / step)) & (cell <= np.floor(x[:, 1].max() / step))
+            votes.append(inside & (_covered(x / step, n) == 0))
+    if len(votes) < 6:
         return []
-    out, since = [], None
-    for k in range(n + 1):
-        gap = k < n and free[k] >= voters * 0.6
-        if gap and since is None:
-            since = k
-        elif not gap and since is not None:
-            a, b = since * step, k * step
-            if b - a >= 6 and a > width * 0.12 and b < width * 0.88:
-                out.append((a + b) / 2)
-            since = None
-    return out
+    found = step * _stretches(np.sum(votes, axis=0) >= 0.6 * len(votes)).astype(float)
+    inner = (found[:, 1] - found[:, 0] >= 6) & (found[:, 0] > width * 0.12) & (found[:, 1] < width * 0.88)
+    return [float(m) for m in found[inner].mean(axis=1)]
 
 
 def columns(boxes: list[Box], width: float, height: float = 0.0) -> list[tuple[float, float]]:
