@@ -1,19 +1,21 @@
 """Substring dedup by De Bruijn compaction.
 
-The edges of the graph are token k-mers: windows of ``K`` consecutive words, known by a 64-bit hash. (1) Every task hashes its windows with numpy and sends
-each (edge, document, position) to the edge's part, packed: the parts of a task's message are arrays, 10 bytes a window. Of documents that share an
-edge within a task only the smallest is sent on, as the others are repeated for certain; so a passage that a third of all documents have costs a
-part one entry a task. (2) A part sorts its edges and finds those that start in several documents; the smallest document is the edge's source.
-(3) Repeated edges return to their documents, where edges that follow one another in the document and in the source form one nonbranching path:
-(doc, start, length, source, source start). (4) Paths that meet end to end, whatever their sources, compact into long spans by Spark joins with pointer
-doubling. (5) Source coordinates verify every path: the source's words there are read back and compared by a 128-bit hash.
+Nodes of the graph are runs of ``K`` - 1 words, edges windows of ``K`` words from one node to the next; both are known by a hash, an edge's beginning with its node's.
+(1) Every task hashes its windows with numpy and sends each edge (edge, word before it, document, position) to its node's part, packed: the parts of a task's message are
+arrays, 12 bytes a window. Of documents that share an edge within a task only the smallest is sent on, as the others are repeated for certain; so a passage that a
+third of all documents have costs a part one entry a task. (2) A part sorts its edges and finds those that start in several documents; the smallest document is the
+edge's source. Of the repeated edges it counts those that leave and enter each node: over one of either and the node branches. (3) Repeated edges return to their documents,
+where edges that follow one another in the document and in the source, with no branching node between, form one nonbranching path: (doc, start, length, source, source
+start). (4) Paths that meet end to end, whatever their sources, compact into long spans by Spark joins with pointer doubling. (5) Source coordinates verify the spans'
+paths: a document is asked only for prefix hashes at points of its own, which are no more than its words, so that a much-copied document has no long list; two
+points give the hash of the words between them, which must be that of the path in the document that repeats them. Texts shuffle once.
 
 A window of a document is repeated if its words also start in a document with a smaller doc_id, judged on the input; all words of repeated windows go.
-Hash collisions can't remove anything, since a path that fails verification is left out.
+A path that fails verification (a collision of hashes) is left out, and its document done again without it.
 
 Defined cases: null or blank text has no words; fewer than ``K`` words: no window; a null doc_id counts as larger than any id, so such rows lose what
-others have and never serve as source; rows with equal ids don't count against each other; an empty table gives an empty result; a text of any length is
-handled whole (its windows are arrays of numbers); extra columns pass through :func:`remove`."""
+others have and never serve as source; rows with equal ids don't count against each other; of several places of a window in its source the first counts; an empty table
+gives an empty result; a text of any length is handled whole (its windows are arrays of numbers); extra columns of any name pass through :func:`remove`."""
 
 from __future__ import annotations
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, CHUNK, LAST = 13, 1_000_000, (1 << 63) - 1
+K, CHUNK, LAST, NODE = 13, 1_000_000, (1 << 63) - 1, 40
+_REST = np.uint64((1 << (64 - NODE)) - 1)
 
 
 def tag(text: bytes) -> int:
@@ -44,18 +47,25 @@ class _Hashes(dict):
         return h
 
 
-def edges(code: np.ndarray, k: int = K) -> np.ndarray:
-    """Hash of each window of k word hashes."""
-    n = len(code) - k + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
+def nodes(code: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` word hashes."""
+    n = len(code) - size + 1
+    h = np.zeros(max(0, n), np.uint64)
+    for j in range(size):
         h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= code[j : j + n]
+        h ^= code[j : j + len(h)]
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+def edges(code: np.ndarray, k: int = K) -> np.ndarray:
+    """Hash of each window of k word hashes: ``NODE`` bits of its first k - 1 words, and the rest of all of them."""
+    node = nodes(code[:-1], k - 1)
+    last = (node ^ (code[k - 1 :] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0x9E3779B97F4A7C15)
+    return (node & ~_REST) | (last >> np.uint64(NODE))
+
+
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
     return ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
 
@@ -69,6 +79,24 @@ def _split(key: np.ndarray, n: int):
             yield i, order[cuts[i] : cuts[i + 1]]
 
 
+def branching(h: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For repeated edges sorted by hash (``first`` of each kind): whether the node they leave has over one such edge out, or over one in.
+
+    An edge into the node is a word before it that at least two of the entries have (0: none)."""
+    node = h & ~_REST
+    heads = np.flatnonzero(first)
+    starts = np.append(True, node[1:] != node[:-1]) if len(node) else first
+    of = np.cumsum(starts) - 1
+    kinds = np.bincount(of[heads], minlength=of[-1] + 1 if len(of) else 0)
+    o = np.lexsort((before, of))
+    pair = of[o].astype(np.int64) << 16 | before[o]
+    new = np.append(True, pair[1:] != pair[:-1]) if len(pair) else first
+    at = np.flatnonzero(new)
+    entering = (np.diff(np.append(at, len(pair))) > 1) & ((pair[at] & 0xFFFF) > 0)
+    into = np.bincount((pair[at] >> 16)[entering], minlength=len(kinds))
+    return ((kinds > 1) | (into > 1))[of] if len(of) else first
+
+
 def paths(docs: DataFrame, k: int = K) -> DataFrame:
     """(doc, tag, start, n, source, source_tag, source_start): maximal runs of n repeated windows with one source and offset."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text")).filter("text is not null")
@@ -86,8 +114,10 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             of = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
             h = edges(code, k)
+            before = np.append(np.uint64(0), code[: len(h) - 1]).astype(np.uint16)
+            before[pos[: len(h)] == 0] = 0
             whole = of[: len(h)] == of[k - 1 :]  # no window runs over the end of its document
-            h, of, pos = h[whole], of[: len(whole)][whole], pos[: len(whole)][whole]
+            h, before, of, pos = h[whole], before[whole], of[: len(whole)][whole], pos[: len(whole)][whole]
             order = np.lexsort((doc[of], h)) if (np.diff(doc) < 0).any() else np.argsort(h, kind="stable")  # as a rule documents come in order
             first = np.ones(len(h), bool)
             hs = h[order]
@@ -100,12 +130,14 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             src = np.zeros(len(h), np.int64)
             src[order] = low
             i = np.flatnonzero(mine)
-            yield from answer(doc[of[i]], tg[of[i]], pos[i], doc[of[src[i]]], tg[of[src[i]]], pos[src[i]])
+            yield from answer(doc[of[i]], tg[of[i]], pos[i] * 2, doc[of[src[i]]], tg[of[src[i]]], pos[src[i]])
+            again = np.zeros(len(h), np.int64)
+            again[src[i]] = 1  # known to be repeated, as documents of this task have it as well
             i = np.flatnonzero(~mine)
             part = ((h[i] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             for p, at in _split(part, parts):
                 j = i[at]
-                yield int(keys[p]), 0, h[j].tobytes(), common.pack(doc[of[j]], tg[of[j]], pos[j])
+                yield int(keys[p]), 0, h[j].tobytes() + before[j].tobytes(), common.pack(doc[of[j]], tg[of[j]], pos[j] * 2 + again[j])
 
         def answer(doc, tg, pos, src, src_tag, src_pos):
             for b, at in _split(block_of(doc, blocks), blocks):
@@ -136,25 +168,29 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             sent = [(h, d) for kind, h, d in zip(t.column("kind").to_pylist(), t.column("h").to_pylist(), t.column("data").to_pylist()) if not kind]
             out = [(int(keys[kind - 1]), data) for kind, data in back]
             if sent:
-                h = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in sent])
+                h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 10) for x, _ in sent])
+                before = np.concatenate([np.frombuffer(x, np.uint16, len(x) // 10, len(x) // 10 * 8) for x, _ in sent])
                 doc, tg, pos = (np.concatenate(c) for c in zip(*(common.unpack(d, 3) for _, d in sent)))
+                known, pos = pos & 1, pos >> 1
                 order = np.argsort(h, kind="stable")
                 hs = h[order]
                 again = np.zeros(len(h), bool)
                 again[1:] = hs[1:] == hs[:-1]
                 again[:-1] |= again[1:]
+                again |= known[order] > 0
                 i = order[again]
                 i = i[np.lexsort((pos[i], tg[i], doc[i], h[i]))]
                 first = np.ones(len(i), bool)
                 first[1:] = h[i[1:]] != h[i[:-1]]
                 low = i[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))] if len(i) else i
+                turns = branching(h[i], before[i], first)
                 later = doc[i] > doc[low]
-                i, low = i[later], low[later]
+                i, low, turns = i[later], low[later], turns[later]
                 for b, at in _split(block_of(doc[i], blocks), blocks):
                     x, y = i[at], low[at]
                     s = np.lexsort((pos[x], tg[x], doc[x]))
-                    x, y = x[s], y[s]
-                    out.append((int(keys[b]), common.pack(doc[x], tg[x], pos[x], doc[y], tg[y], pos[y])))
+                    x, y, t = x[s], y[s], turns[at[s]]
+                    out.append((int(keys[b]), common.pack(doc[x], tg[x], pos[x] * 2 + t, doc[y], tg[y], pos[y])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "data"])
 
@@ -164,8 +200,10 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             doc, tg, pos, src, src_tag, src_pos = (np.concatenate(c) for c in zip(*(common.unpack(d, 6) for d in t.column("data").to_pylist())))
             o = np.lexsort((pos, tg, doc))
             doc, tg, pos, src, src_tag, src_pos = (x[o] for x in (doc, tg, pos, src, src_tag, src_pos))
+            turns, pos = pos & 1, pos >> 1
             start = np.ones(len(doc), bool)
             start[1:] = (doc[1:] != doc[:-1]) | (tg[1:] != tg[:-1]) | (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (src_tag[1:] != src_tag[:-1]) | (src_pos[1:] != src_pos[:-1] + 1)
+            start |= turns > 0  # a path ends where another branches off or joins
             at = np.flatnonzero(start)
             n = np.diff(np.append(at, len(doc)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], tg[at], pos[at], n, src[at], src_tag[at], src_pos[at])], ["doc", "tag", "start", "n", "source", "source_tag", "source_start"])
@@ -177,30 +215,41 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
     return out
 
 
-def digest(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
+class _Pairs(dict):
+    def __missing__(self, word):
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_128_digest(word)
+        return h
 
 
-def verified(docs: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
-    """``found`` plus ``want``, the digest of the source's words at the source coordinates."""
-    at = ["source", "source_tag", "source_start", "n"]
-    ask = found.groupBy(*at).agg(F.count("*").alias("times"))  # a passage that very many documents have is one row
-    ask = ask.groupBy(F.col("source").alias("doc"), F.col("source_tag").alias("tag")).agg(F.collect_list(F.struct(F.col("source_start").alias("s"), "n", "times")).alias("asked"))  # slices of one document
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text")).filter("text is not null")
-    rows = rows.withColumn("tag", F.shiftright(F.crc32(F.col("text").cast("binary")), 1))
+_BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_powers: dict[int, np.ndarray] = {}
+
+
+def power(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^n modulo 2^64, kept for the next text."""
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        x = np.full(max(n, 4096) * 2, base, np.uint64)
+        x[0] = 1
+        have = _powers[base] = np.cumprod(x)
+    return have
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc, tg, text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.text_bytes(b.column(2)), b.column(3).to_pylist()):
-                w = text.split()
-                out += [(doc, tg, x["s"], x["n"], x["times"], digest(w[x["s"] : x["s"] + x["n"] + k - 1])) for x in asked]
-            types = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], [*at, "times", "want"])
 
-    told = rows.join(ask, ["doc", "tag"]).select("doc", "tag", "text", "asked").mapInArrow(run, "source long, source_tag long, source_start long, n long, times long, want binary")
-    told = common.materialize(told.dropDuplicates(at))
-    return common.attach(found, told, at, "times", found.count())
+def prefixes(words: list[bytes], memo: dict) -> np.ndarray:
+    """Two polynomial hashes of the first 0, 1, .. words: differences of two, shifted back, depend only on the words between."""
+    code = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint64).reshape(-1, 2)
+    out = np.zeros((len(words) + 1, 2), np.uint64)
+    for c, base in enumerate(_BASES):
+        np.cumsum(code[:, c] * power(base, len(words))[: len(words)], out=out[1:, c])
+    return out
+
+
+def between(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hashes of the words between points with prefix hashes ``a`` and ``b``, the first at ``start``."""
+    back = [power(pow(x, -1, 1 << 64), int(start.max(initial=0)))[start] for x in _BASES]
+    return (b - a) * np.stack(back, -1)
 
 
 def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
@@ -224,52 +273,97 @@ def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
     return cur.groupBy("doc", "tag", "end").agg(F.min("start").alias("start")).select("doc", "tag", "start", (F.col("end") + k - 1).alias("end"))
 
 
-def removals(docs: DataFrame, k: int = K) -> DataFrame:
-    """``docs`` (doc_id, text, and columns whose names begin with ``__sd_``) with two more columns, null where nothing repeats: paths (start, n, want) and
-    the spans (start, end) they compact into."""
-    found = paths(docs, k)
-    sure = common.materialize(verified(docs, found, k).select("doc", "tag", "start", "n", "want"))
+PATH = ["start", "n", "source", "source_tag", "source_start"]
+
+
+def needs(found: DataFrame, k: int) -> DataFrame:
+    """(doc, tag, paths, spans, points): what each document is asked for: its own paths and the spans they compact into, and the words between which others repeat it.
+
+    All three are bounded by the document's length."""
+    own = found.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct(*PATH))).alias("paths"))
     long = spans(found, k).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    by = sure.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "want")).alias("paths")).join(long, ["doc", "tag"])  # lists of one document
-    rows = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("tag", F.coalesce(F.shiftright(F.crc32(F.col("text").cast("binary")), 1), F.lit(-1)))
-    return rows.join(by, ["doc", "tag"], "left")
-
-
-def keep_mask(words: list[bytes], paths: list[dict], spans: list[dict], k: int = K) -> np.ndarray:
-    """False for the words of long spans; where a path of a span fails verification, only for those of its other paths."""
-    keep = np.ones(len(words), bool)
-    doubtful = []
-    for p in paths:
-        if digest(words[p["start"] : p["start"] + p["n"] + k - 1]) != p["want"]:
-            doubtful.append(p["start"])
-    for s in spans:
-        if not any(s["start"] <= d < s["end"] for d in doubtful):
-            keep[s["start"] : s["end"]] = False
-    if doubtful:
-        for p in paths:
-            if p["start"] not in doubtful:
-                keep[p["start"] : p["start"] + p["n"] + k - 1] = False
+    ends = F.explode(F.array(F.col("source_start"), F.col("source_start") + F.col("n") + (k - 1)))
+    points = found.select("source", "source_tag", ends.alias("point")).distinct()
+    points = points.groupBy(F.col("source").alias("doc"), F.col("source_tag").alias("tag")).agg(F.collect_list("point").alias("points"))
+    return own.join(long, ["doc", "tag"], "left").join(points, ["doc", "tag"], "full")
+
+
+def keep_mask(n: int, paths: list[dict], spans: list[dict] | None, bad: set, k: int = K) -> np.ndarray:
+    """False for the words of long spans; if some paths are bad, for those of all other paths."""
+    keep = np.ones(n, bool)
+    for s in spans or () if not bad else ():
+        keep[s["start"] : s["end"]] = False
+    for p in paths if bad else ():
+        if p["start"] not in bad:
+            keep[p["start"] : p["start"] + p["n"] + k - 1] = False
     return keep
 
 
-def apply(docs: DataFrame, k: int, carry: list[str], extra: str, make) -> DataFrame:
-    names = [f"__sd_c{i}" for i in range(len(carry))]  # carried columns may have any name
-    own = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
-    rows = removals(own, k).select(*names, "text", "paths", "spans")
+_STRUCT = "array<struct<start: long, n: long, source: long, source_tag: long, source_start: long, a: long, b: long>>"
+
+
+def read(rows: DataFrame, carry: list[str], extra: str, make, k: int) -> DataFrame:
+    """Results of ``rows`` (carry, text, doc, tag, paths, spans, points, bad), and their hashes: told (point, a, b) and mine (paths with a, b)."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [(f.split()[0], kinds[f.split()[1]]) for f in extra.split(", ")]
+    point = pa.list_(pa.struct([(x, pa.int64()) for x in ("point", "a", "b")]))
+    path = pa.list_(pa.struct([(x, pa.int64()) for x in (*PATH, "a", "b")]))
 
     def run(batches):
-        n = len(carry)
+        n, memo = len(carry), _Pairs()
         for b in batches:
-            out = []
-            for text, found, long in zip(common.text_bytes(b.column(n)), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()):
+            out, told, mine = [], [], []
+            columns = [b.column(n + i).to_pylist() for i in range(3, 7)]
+            for text, found, long, points, bad in zip(common.text_bytes(b.column(n)), *columns):
                 w = text.split()
-                out.append(make(text, w, keep_mask(w, found, long, k) if found else None, long))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)]], [*b.schema.names[:n], *[f for f, _ in fields]])
+                out.append(make(text, w, keep_mask(len(w), found, long, set(bad or ()), k) if found else None, long))
+                sums = prefixes(w, memo) if found or points else None
+                told.append([dict(zip(("point", "a", "b"), (p, *v))) for p, v in zip(points, sums[points].view(np.int64).tolist())] if points else None)
+                if found:
+                    at = np.array([p["start"] for p in found])
+                    own = between(sums[at], sums[at + np.array([p["n"] for p in found]) + k - 1], at).view(np.int64).tolist()
+                mine.append([p | {"a": v[0], "b": v[1]} for p, v in zip(found, own)] if found else None)
+            made = [pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made, b.column(n + 1), b.column(n + 2), pa.array(told, point), pa.array(mine, path)], [*b.schema.names[:n], *[f for f, _ in fields], "__sd_doc", "__sd_tag", "__sd_told", "__sd_mine"])
 
-    kinds = {"long": pa.int64(), "string": pa.string()}
-    fields = [(f.split()[0], kinds[f.split()[1]]) for f in extra.split(", ")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)])
-    return rows.mapInArrow(run, head + extra).toDF(*carry, *[f for f, _ in fields])
+    return common.materialize(rows.mapInArrow(run, head + extra + f", __sd_doc long, __sd_tag long, __sd_told array<struct<point: long, a: long, b: long>>, __sd_mine {_STRUCT}"))
+
+
+def unverified(done: DataFrame, k: int) -> DataFrame:
+    """(source, source_tag, source_start, n, a, b) of paths whose source has other words at its coordinates. A passage that very many documents have is one row."""
+    mine = done.select(F.explode("__sd_mine").alias("p")).select(*[f"p.{x}" for x in (*PATH[1:], "a", "b")]).distinct()
+    told = done.select(F.col("__sd_doc").alias("source"), F.col("__sd_tag").alias("source_tag"), F.explode("__sd_told").alias("t")).select("source", "source_tag", "t.*").dropDuplicates(["source", "source_tag", "point"])
+    at = lambda c, p: told.select("source", "source_tag", F.col("point").alias(c), F.col("a").alias(p + "a"), F.col("b").alias(p + "b"))
+    both = mine.withColumn("source_end", F.col("source_start") + F.col("n") + (k - 1)).join(at("source_start", "s"), ["source", "source_tag", "source_start"]).join(at("source_end", "e"), ["source", "source_tag", "source_end"])
+
+    def check(batches):
+        for b in batches:
+            x = {c: b.column(c).to_numpy() for c in b.schema.names}
+            pair = lambda p: np.stack([x[p + "a"], x[p + "b"]], -1).view(np.uint64)
+            wrong = (between(pair("s"), pair("e"), x["source_start"]) != pair("")).any(axis=1) if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(wrong)) for c in (*PATH[1:], "a", "b")], [*PATH[1:], "a", "b"])
+
+    return both.select(*PATH[1:], "a", "b", "sa", "sb", "ea", "eb").mapInArrow(check, "n long, source long, source_tag long, source_start long, a long, b long")
+
+
+def apply(docs: DataFrame, k: int, carry: list[str], extra: str, make) -> DataFrame:
+    names = [f"__sd_c{i}" for i in range(len(carry))]  # carried columns may have any name
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)], "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.shiftright(F.crc32(F.col("text").cast("binary")), 1), F.lit(-1)).alias("tag"))
+    found = paths(docs, k)
+    asked = common.materialize(needs(found, k))
+    columns = [*names, "text", "doc", "tag", "paths", "spans", "points", "bad"]
+    rows = own.join(asked, ["doc", "tag"], "left")
+    done = read(rows.withColumn("bad", F.lit(None).cast("array<long>")).select(*columns), names, extra, make, k)
+    wrong = common.materialize(unverified(done, k))
+    out = done
+    if not wrong.isEmpty():  # a collision: these documents again, without the paths that aren't there
+        mine = done.select("__sd_doc", "__sd_tag", F.explode("__sd_mine").alias("p")).select(F.col("__sd_doc").alias("doc"), F.col("__sd_tag").alias("tag"), "p.*")
+        bad = common.materialize(mine.join(wrong, [*PATH[1:], "a", "b"], "left_semi").distinct().groupBy("doc", "tag").agg(F.collect_list("start").alias("bad")))
+        again = read(rows.join(bad, ["doc", "tag"]).select(*columns), names, extra, make, k)
+        out = done.join(bad.select(F.col("doc").alias("__sd_doc"), F.col("tag").alias("__sd_tag")), ["__sd_doc", "__sd_tag"], "left_anti").select(*done.columns).unionByName(again)
+    made = [f.split()[0] for f in extra.split(", ")]
+    return out.select(*names, *made).toDF(*carry, *made)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,54 @@ def test_substring_dedup_by_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bits", [6, 12])
+def test_substring_collisions_remove_nothing(spark, monkeypatch, bits):
+    """With hashes of a few bits nearly all windows seem repeated: source coordinates tell them apart."""
+    data = [r for r in rows(600)][:20]
+    mask = np.uint64(((1 << bits) - 1) << (64 - bits))
+    monkeypatch.setattr(substring_dedup, "edges", lambda code, k=13, e=substring_dedup.edges: e(code, k) & mask)
+    owner = {}
+    for i, t, *_ in data:
+        w = words(t)
+        for j in range(len(w) - 12):
+            owner.setdefault(tuple(w[j : j + 13]), set()).add(1 << 63 if i is None else i)
+    for r in substring_dedup.report(frame(spark, data)).collect():
+        if r.doc_id in (303, 304):
+            continue
+        w = words(next(t for i, t, *_ in data if i == r.doc_id))
+        gone = set()
+        for j in range(len(w) - 12):
+            if min(owner[tuple(w[j : j + 13])]) < (1 << 63 if r.doc_id is None else r.doc_id):
+                gone |= set(range(j, j + 13))
+        assert r.n_removed <= len(gone)
+
+
+def test_branching_nodes():
+    """Edges of three nodes: one with two ways out, one with two ways in, one with a single way."""
+    node = lambda n, e: np.uint64(n << 24 | e)
+    h = np.array([node(1, 1), node(1, 1), node(1, 2), node(1, 2), node(2, 1), node(2, 1), node(2, 1), node(2, 1), node(3, 1), node(3, 1)], np.uint64)
+    before = np.array([5, 5, 5, 5, 6, 6, 7, 7, 8, 9], np.uint16)  # words 8 and 9 come before node 3 once each: not repeated
+    first = np.append(True, h[1:] != h[:-1])
+    assert substring_dedup.branching(h, before, first).tolist() == [True] * 8 + [False] * 2
+
+
+def test_paths_end_at_branches(spark):
+    a, b, c = ([f"{x}{i}" for i in range(16)] for x in "abc")
+    docs = spark.createDataFrame([(1, " ".join(a + b)), (2, " ".join(a + c)), (3, " ".join(a + b)), (4, " ".join(a + c))], "doc_id long, text string").repartition(4, "doc_id")
+    got = {(r.doc, r.start, r.n) for r in substring_dedup.paths(docs.coalesce(1).repartition(4), 13).collect()}
+    assert {d for d, _, _ in got} == {2, 3, 4}
+    spans = {(r.doc, r.start, r.end) for r in substring_dedup.repeated_spans(docs).collect()}
+    assert (3, 0, 32) in spans and (4, 0, 32) in spans and (2, 0, 16) in spans
+
+
+def test_prefix_hashes_depend_on_the_words_between():
+    memo = substring_dedup._Pairs()
+    a, b = [b"x", b"y", b"z", b"x", b"y"], [b"q", b"q", b"x", b"y", b"q"]
+    p, q = substring_dedup.prefixes(a, memo), substring_dedup.prefixes(b, memo)
+    at = lambda s, i, j: substring_dedup.between(s[[i]], s[[j]], np.array([i])).tolist()
+    assert at(p, 0, 2) == at(p, 3, 5) == at(q, 2, 4) != at(q, 1, 3) and at(p, 1, 2) != at(p, 0, 1)
+
+
 def test_substring_remove_carries_any_column(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     names = "doc_id long, text string, doc string, tag string, paths string, spans string, start int, __sd_c0 long, want string"
