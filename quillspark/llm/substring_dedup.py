@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,8 @@ def branching(h: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarra
 
 
 def paths(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc, tag, start, n, source, source_tag, source_start): maximal runs of n repeated windows with one source and offset."""
+    """(doc, tag, start, n, run, source, source_tag, source_start): nonbranching paths of n repeated windows with one source and offset. ``run``: windows from here on
+    with that source and offset, branches or not, on the first path of them; 0 on the others."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text")).filter("text is not null")
     parts = blocks = max(2, 2 * common.partitions(docs))
     keys = common.even_keys(docs.sparkSession, parts)  # of parts, and of blocks as well
@@ -203,23 +205,28 @@ def paths(docs: DataFrame, k: int = K) -> DataFrame:
             turns, pos = pos & 1, pos >> 1
             start = np.ones(len(doc), bool)
             start[1:] = (doc[1:] != doc[:-1]) | (tg[1:] != tg[:-1]) | (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (src_tag[1:] != src_tag[:-1]) | (src_pos[1:] != src_pos[:-1] + 1)
+            run = np.flatnonzero(start)
+            whole = np.zeros(len(doc), np.int64)
+            whole[run] = np.diff(np.append(run, len(doc)))
             start |= turns > 0  # a path ends where another branches off or joins
             at = np.flatnonzero(start)
             n = np.diff(np.append(at, len(doc)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], tg[at], pos[at], n, src[at], src_tag[at], src_pos[at])], ["doc", "tag", "start", "n", "source", "source_tag", "source_start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], tg[at], pos[at], n, whole[at], src[at], src_tag[at], src_pos[at])], ["doc", "tag", "start", "n", "run", "source", "source_tag", "source_start"])
 
     met = rows.mapInArrow(send, "part int, kind int, h binary, data binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "block int, data binary")
     met = common.materialize(met)
-    out = common.materialize(met.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(compact, "doc long, tag long, start long, n long, source long, source_tag long, source_start long"))
+    out = common.materialize(met.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(compact, "doc long, tag long, start long, n long, run long, source long, source_tag long, source_start long"))
     common.drop(met)
     return out
 
 
-class _Pairs(dict):
+class _Codes(dict):
+    """Another hash of words than that of the windows."""
+
     def __missing__(self, word):
         if len(self) > 200_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_128_digest(word)
+        h = self[word] = xxhash.xxh64_intdigest(word, 13)
         return h
 
 
@@ -239,10 +246,11 @@ def power(base: int, n: int) -> np.ndarray:
 
 def prefixes(words: list[bytes], memo: dict) -> np.ndarray:
     """Two polynomial hashes of the first 0, 1, .. words: differences of two, shifted back, depend only on the words between."""
-    code = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint64).reshape(-1, 2)
+    code = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     out = np.zeros((len(words) + 1, 2), np.uint64)
     for c, base in enumerate(_BASES):
-        np.cumsum(code[:, c] * power(base, len(words))[: len(words)], out=out[1:, c])
+        np.cumsum(code * power(base, len(words))[: len(words)], out=out[1:, c])
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out
 
 
@@ -252,25 +260,34 @@ def between(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (b - a) * np.stack(back, -1)
 
 
-def spans(found: DataFrame, k: int = K, most_rounds: int = 40) -> DataFrame:
-    """(doc, tag, start, end): paths that meet end to end compacted into long spans of words, by joins with pointer doubling.
+def spans(found: DataFrame, k: int = K, rounds: int = 6, most_rounds: int = 40) -> DataFrame:
+    """(doc, tag, start, end): paths that meet end to end compacted into long spans of words, by joins.
 
     A path's tail is the node (doc, tag, start + n); it joins the path that starts there. Each node has one path in and one out at most, so chains
-    don't branch. Every round doubles the stretch a path has taken in, and drops those that another took in."""
-    cur = common.materialize(found.select("doc", "tag", "start", (F.col("start") + F.col("n")).alias("end")).distinct())
+    don't branch. First ``rounds`` contractions: by a hash each path either takes its successor in or may be taken in, so that a quarter of the joints goes and the table
+    shrinks. Then pointer doubling: every round doubles the stretch a path has taken in; those that another took in go at the end."""
+    at = ["doc", "tag"]
+    cur = common.materialize(found.select(*at, "start", (F.col("start") + F.col("n")).alias("end")).distinct())
+    for r in range(rounds):
+        takes = F.xxhash64(*at, "start", F.lit(r)).bitwiseAND(1) == 0
+        a, b = cur.filter(takes), cur.filter(~takes).select(*at, F.col("start").alias("b"), F.col("end").alias("far"))
+        met = a.withColumn("b", F.col("end")).join(b, [*at, "b"], "full")
+        nxt = common.materialize(met.select(*at, F.coalesce("start", "b").alias("start"), F.coalesce("far", "end").alias("end")))
+        common.drop(cur)
+        cur = nxt
     for _ in range(most_rounds):  # each doubles the length, so 40 are enough for any text
-        nxt = cur.select("doc", "tag", F.col("start").alias("end"), F.col("end").alias("far"))
-        grown = cur.join(nxt, ["doc", "tag", "end"], "left").select("doc", "tag", "start", F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("more"))
+        nxt = cur.select(*at, F.col("start").alias("end"), F.col("end").alias("far"))
+        grown = cur.join(nxt, [*at, "end"], "left").select(*at, "start", F.coalesce("far", "end").alias("end"), F.col("far").isNotNull().alias("more"))
         grown = common.materialize(grown)
         if grown.filter("more").isEmpty():
             break
         common.drop(cur)
-        cur = grown.select("doc", "tag", "start", "end")
+        cur = grown.select(*at, "start", "end")
         cur._quill_path = grown._quill_path
     else:
         raise RuntimeError(f"spans: not done after {most_rounds} rounds")
     # What lies inside a longer span of the same end has been taken in.
-    return cur.groupBy("doc", "tag", "end").agg(F.min("start").alias("start")).select("doc", "tag", "start", (F.col("end") + k - 1).alias("end"))
+    return cur.groupBy(*at, "end").agg(F.min("start").alias("start")).select(*at, "start", (F.col("end") + k - 1).alias("end"))
 
 
 PATH = ["start", "n", "source", "source_tag", "source_start"]
@@ -279,52 +296,67 @@ PATH = ["start", "n", "source", "source_tag", "source_start"]
 def needs(found: DataFrame, k: int) -> DataFrame:
     """(doc, tag, paths, spans, points): what each document is asked for: its own paths and the spans they compact into, and the words between which others repeat it.
 
-    All three are bounded by the document's length."""
-    own = found.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct(*PATH))).alias("paths"))
+    All three are bounded by the document's length. Paths that follow one another in the document and in the source are verified as one."""
+    runs = found.filter("run > 0").select("doc", "tag", "start", F.col("run").alias("n"), *PATH[2:])
+    own = runs.groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct(*PATH))).alias("paths"))
     long = spans(found, k).groupBy("doc", "tag").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     ends = F.explode(F.array(F.col("source_start"), F.col("source_start") + F.col("n") + (k - 1)))
-    points = found.select("source", "source_tag", ends.alias("point")).distinct()
+    points = runs.select("source", "source_tag", ends.alias("point")).distinct()
     points = points.groupBy(F.col("source").alias("doc"), F.col("source_tag").alias("tag")).agg(F.collect_list("point").alias("points"))
     return own.join(long, ["doc", "tag"], "left").join(points, ["doc", "tag"], "full")
 
 
-def keep_mask(n: int, paths: list[dict], spans: list[dict] | None, bad: set, k: int = K) -> np.ndarray:
-    """False for the words of long spans; if some paths are bad, for those of all other paths."""
+def keep_mask(n: int, start: np.ndarray, end: np.ndarray, spans: np.ndarray, bad: list | None) -> np.ndarray:
+    """False for the words of long spans (rows: start, end); if some paths are bad, for those of all other paths."""
     keep = np.ones(n, bool)
-    for s in spans or () if not bad else ():
-        keep[s["start"] : s["end"]] = False
-    for p in paths if bad else ():
-        if p["start"] not in bad:
-            keep[p["start"] : p["start"] + p["n"] + k - 1] = False
+    for a, b in spans.tolist() if not bad else zip(start[~np.isin(start, bad)].tolist(), end[~np.isin(start, bad)].tolist()):
+        keep[a:b] = False
     return keep
 
 
 _STRUCT = "array<struct<start: long, n: long, source: long, source_tag: long, source_start: long, a: long, b: long>>"
 
 
+def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's list begins and ends among all items, and the items' fields."""
+    at = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+    items = column.flatten()
+    return at, [(items.field(x) if names != [""] else items).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+
+
+def _listed(at: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names))
+
+
 def read(rows: DataFrame, carry: list[str], extra: str, make, k: int) -> DataFrame:
     """Results of ``rows`` (carry, text, doc, tag, paths, spans, points, bad), and their hashes: told (point, a, b) and mine (paths with a, b)."""
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [(f.split()[0], kinds[f.split()[1]]) for f in extra.split(", ")]
-    point = pa.list_(pa.struct([(x, pa.int64()) for x in ("point", "a", "b")]))
-    path = pa.list_(pa.struct([(x, pa.int64()) for x in (*PATH, "a", "b")]))
 
     def run(batches):
-        n, memo = len(carry), _Pairs()
+        n, memo = len(carry), _Codes()
         for b in batches:
-            out, told, mine = [], [], []
-            columns = [b.column(n + i).to_pylist() for i in range(3, 7)]
-            for text, found, long, points, bad in zip(common.text_bytes(b.column(n)), *columns):
+            own, found = _lists(b.column(n + 3), PATH)
+            within, spans_ = _lists(b.column(n + 4), ["start", "end"])
+            asked, (points,) = _lists(b.column(n + 5), [""])
+            ends = found[0] + found[1] + (k - 1)
+            spans_ = np.stack(spans_, 1)
+            told, mine = np.zeros((len(points), 2), np.uint64), np.zeros((len(ends), 2), np.uint64)
+            out = []
+            for r, (text, bad) in enumerate(zip(common.text_bytes(b.column(n)), b.column(n + 6).to_pylist())):
                 w = text.split()
-                out.append(make(text, w, keep_mask(len(w), found, long, set(bad or ()), k) if found else None, long))
-                sums = prefixes(w, memo) if found or points else None
-                told.append([dict(zip(("point", "a", "b"), (p, *v))) for p, v in zip(points, sums[points].view(np.int64).tolist())] if points else None)
-                if found:
-                    at = np.array([p["start"] for p in found])
-                    own = between(sums[at], sums[at + np.array([p["n"] for p in found]) + k - 1], at).view(np.int64).tolist()
-                mine.append([p | {"a": v[0], "b": v[1]} for p, v in zip(found, own)] if found else None)
+                p, s, q = slice(own[r], own[r + 1]), slice(within[r], within[r + 1]), slice(asked[r], asked[r + 1])
+                repeats = p.stop > p.start
+                out.append(make(text, w, keep_mask(len(w), found[0][p], ends[p], spans_[s], bad) if repeats else None, s.stop - s.start))
+                if repeats or q.stop > q.start:
+                    sums = prefixes(w, memo)
+                    told[q] = sums[points[q]]
+                    if repeats:
+                        mine[p] = between(sums[found[0][p]], sums[ends[p]], found[0][p])
             made = [pa.array([x[i] for x in out], t) for i, (_, t) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made, b.column(n + 1), b.column(n + 2), pa.array(told, point), pa.array(mine, path)], [*b.schema.names[:n], *[f for f, _ in fields], "__sd_doc", "__sd_tag", "__sd_told", "__sd_mine"])
+            told, mine = told.view(np.int64), mine.view(np.int64)
+            more = [_listed(asked, [points, *told.T], ["point", "a", "b"]), _listed(own, [*found, *mine.T], [*PATH, "a", "b"])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made, b.column(n + 1), b.column(n + 2), *more], [*b.schema.names[:n], *[f for f, _ in fields], "__sd_doc", "__sd_tag", "__sd_told", "__sd_mine"])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(carry)])
     return common.materialize(rows.mapInArrow(run, head + extra + f", __sd_doc long, __sd_tag long, __sd_told array<struct<point: long, a: long, b: long>>, __sd_mine {_STRUCT}"))
@@ -371,7 +403,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def make(text, w, kept, long):
         left = w if kept is None else [x for x, m in zip(w, kept.tolist()) if m]
-        return len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), len(long or ())
+        return len(w), len(w) - len(left), hashlib.sha256(b" ".join(left)).hexdigest(), long
 
     return apply(docs.select("doc_id", "text"), K, ["doc_id"], "n_words long, n_removed long, kept_sha256 string, n_spans long", make)
 

@@ -95,7 +95,7 @@ def test_paths_end_at_branches(spark):
 
 
 def test_prefix_hashes_depend_on_the_words_between():
-    memo = substring_dedup._Pairs()
+    memo = substring_dedup._Codes()
     a, b = [b"x", b"y", b"z", b"x", b"y"], [b"q", b"q", b"x", b"y", b"q"]
     p, q = substring_dedup.prefixes(a, memo), substring_dedup.prefixes(b, memo)
     at = lambda s, i, j: substring_dedup.between(s[[i]], s[[j]], np.array([i])).tolist()
