@@ -62,7 +62,7 @@ def materialize(df: DataFrame, slim: bool = False, by: str | None = None) -> Dat
     try:
         for k, v in held.items():
             spark.conf.set(k, v)
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

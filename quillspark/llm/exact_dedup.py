@@ -101,4 +101,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = possibly_repeated(rows, total)
     maybe = tested.filter(P + "hit")
     stay = maybe.groupBy(P + "sha").agg(first(P + "id")).select(F.col("best.row").alias(P + "row"))
-    return tested.filter(~F.col(P + "hit")).select(*names).unionByName(maybe.join(stay, P + "row", "left_semi").select(*names)).toDF(*docs.columns)
+    # An inner join: Spark would push a semi join below the test of the filter, and shuffle all rows.
+    return tested.filter(~F.col(P + "hit")).select(*names).unionByName(maybe.join(stay, P + "row").select(*names)).toDF(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SIZE, END, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN, FULL, MOST_LEVELS = 1024, 2, 20_000, 2, 2, 5, 24, 1022 / 1024, 12
+SIZE, END, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN, FULL, MOST_LEVELS = 1024, 2, 20_000, 2, 2, 3, 12, 1022 / 1024, 12
 P = "__pk_"
 
 
@@ -99,19 +99,21 @@ def cross(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Ran
     good = [x for x in a if x[0] >= size * FULL] or [max(a, key=lambda x: x[0])]
     take = rng.sample(good, max(1, int(len(good) * rng.uniform(0.05, 0.6))))
     inside = {i for x in take for i in x[1:]}
-    child, displaced = [list(x) for x in take], []
+    full, child, displaced = [x for x in take if x[0] == size], [list(x) for x in take if x[0] < size], []  # full bins never change, so packings share them
     open_ = [x for x in b if x[0] < size]
     dissolved = {id(x) for x in rng.sample(open_, int(len(open_) * rng.uniform(0, 0.5)))} | {id(min(b, key=lambda x: x[0]))}
     for x in b:
         if id(x) in dissolved or not inside.isdisjoint(x[1:]):
             displaced += [i for i in x[1:] if i not in inside]
+        elif x[0] == size:
+            full.append(x)
         else:
             child.append(list(x))
     if noise := rng.choice((0, 0, 4, 16, 64)):
         displaced.sort(key=lambda i: lengths[i] + rng.random() * noise, reverse=True)
     else:
         displaced.sort(key=lengths.__getitem__, reverse=True)
-    return best_fit(lengths, displaced, size, child)
+    return full + best_fit(lengths, displaced, size, child)
 
 
 def evolve(lengths: list[int], population: list[Packing], size: int, seed: int, children: int | None = None) -> Packing:
