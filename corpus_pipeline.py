@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm import common, exact_dedup, mixing, packing, quality, simhash
 
 
+# Stages write their result in the shared folder, so that the shuffle files of whole texts go at once.
 # Every stage: null texts count as empty; texts of any length are handled whole; rows with equal ids or equal in all columns are rows of their own; an
 # empty table gives an empty one; extra columns of any name are kept (the last stage returns its own columns only). The operators' docstrings say more.
 
@@ -24,19 +25,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the smallest doc_id (null last); of rows equal in both, one. Null and empty texts are one group."""
-    return exact_dedup.deduplicate(docs)
+    return common.materialize(exact_dedup.deduplicate(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id stays (null last; of equal ids one). Null and empty texts have fingerprint zero."""
     with common.batches(spark):
-        return simhash.deduplicate(docs)
+        return common.materialize(simhash.deduplicate(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it, 0 to 3. A null source is a source of its own; null and empty texts have size 0; rows of equal rank are taken in an
     order of their sizes."""
-    return mixing.apply(docs)
+    return common.materialize(mixing.apply(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; tables between stages are in the shared folder, and go once they are read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            out = common.materialize(out)
-        docs = out
+    for _, stage in STAGES:  # all but the last write their tables themselves
+        docs = stage(spark, docs, sf_dir)
     return docs
