@@ -72,6 +72,16 @@ def materialize(df: DataFrame, slim: bool = False, by: str | None = None) -> Dat
     return out
 
 
+def written(spark: SparkSession, make) -> DataFrame:
+    """The result of ``make`` as a table; the tables made on the way to it go at once."""
+    before = {path for _, path in _made}
+    out = materialize(make())
+    for _, path in [x for x in _made if x[1] not in before and x[1] != out._quill_path]:
+        _delete(spark, path)
+    _made[:] = [x for x in _made if x[1] in before or x[1] == out._quill_path]
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that nothing needs any more."""
     for t in tables:
