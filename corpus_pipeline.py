@@ -20,24 +20,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and go; of equal rows all stay or all go; a null lang makes no reference but is judged."""
     with common.batches(spark):  # what is given to Python runs while batches are small
-        return common.materialize(quality.keep(docs))
+        return common.written(spark, lambda: quality.keep(docs))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest original stays, then the smallest doc_id (null last); of rows equal in both, one. Null and empty texts are one group."""
-    return common.materialize(exact_dedup.deduplicate(docs))
+    return common.written(spark, lambda: exact_dedup.deduplicate(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id stays (null last; of equal ids one). Null and empty texts have fingerprint zero."""
     with common.batches(spark):
-        return common.materialize(simhash.deduplicate(docs))
+        return common.written(spark, lambda: simhash.deduplicate(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it, 0 to 3. A null source is a source of its own; null and empty texts have size 0; rows of equal rank are taken in an
     order of their sizes."""
-    return common.materialize(mixing.apply(docs))
+    return common.written(spark, lambda: mixing.apply(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
