@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-SIZE, END, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN, FULL, MOST_LEVELS = 1024, 2, 20_000, 2, 2, 3, 12, 1022 / 1024, 12
+SIZE, END, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN, FULL, MOST_LEVELS = 1024, 2, 20_000, 2, 2, 3, 8, 1022 / 1024, 12
 P = "__pk_"
 
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, ids: bo
     def run(batches):
         memo = tokens.memo(path, "bytes")
         tail = np.array([end], memo.type).tobytes()
-        for b in common.slices(batches):
+        for b in common.slices(batches, 2400):
             at, columns = [], ([], [], [], [], [])
             for row, found in enumerate(memo.encode(common.text_bytes(b.column(1)))):
                 own = np.frombuffer(found + tail, memo.type)
@@ -97,7 +97,7 @@ def fitness(bins: Packing, size: int) -> tuple[int, int]:
 def cross(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
     """Child of b with well-filled bins of a."""
     good = [x for x in a if x[0] >= size * FULL] or [max(a, key=lambda x: x[0])]
-    take = rng.sample(good, max(1, int(len(good) * rng.uniform(0.05, 0.6))))
+    take = rng.sample(good, max(1, int(len(good) * rng.uniform(0.02, 0.25))))
     inside = {i for x in take for i in x[1:]}
     full, child, displaced = [x for x in take if x[0] == size], [list(x) for x in take if x[0] < size], []  # full bins never change, so packings share them
     open_ = [x for x in b if x[0] < size]

@@ -22,7 +22,7 @@ _QUERIES = {
 
 
 #: Texts in a batch to Python; packing gains by more, as a batch repeats more of its words.
-_ROWS = {"packing": 1200}
+_ROWS = {"packing": 2400}
 #: Their last step gives whole texts to Python: it runs while the batches are small, and its few columns are written.
 _LAST_IN_PYTHON = {"langid", "quality", "htmlcrf"}
 

@@ -207,4 +207,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = dict(zip(docs.columns, names))
     seen = common.materialize(docs.toDF(*names).withColumn(P + "row", F.monotonically_increasing_id()))
     _, member, _ = rows_with_roots(seen, of[id_col], of[text_col], radius, P + "row")
-    return seen.join(member.select(F.col("keep_row").alias(P + "row")).distinct(), P + "row", "left_semi").select(*names).toDF(*docs.columns)
+    keep = member.select(F.col("keep_row").alias(P + "row")).distinct().hint("merge")  # one plan at every size: this table grows with the documents
+    return seen.join(keep, P + "row", "left_semi").select(*names).toDF(*docs.columns)
