@@ -2,7 +2,7 @@
 
 Both tokenizers here split a text before merging, and never merge across a white-space boundary. So a text is cut where a cut
 cannot matter, each distinct part is encoded once by the library, and the parts' ids are joined; a text with any unusual white
-space or an added token is encoded whole. The memo lives in the worker process and never changes a result. It holds two generations of at most ``MOST`` parts:
+space or an added token is encoded whole. The memo lives in the worker process and never changes a result. It holds two generations of at most ``MOST`` parts (words: twice as many):
 when the young one is full it becomes the old one, from which parts come back when they are met again."""
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _BREAK = np.isin(np.arange(256), list(b" \n\r"))
 _MARK = np.isin(np.arange(256), list(_MARKS))
 _LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+#: ASCII marks but the apostrophe, which starts contractions.
+_SIGN = np.array([32 < i < 127 and not chr(i).isalnum() and i != 39 for i in range(256)])
+#: Code points up to U+024F of a space, and of letters that are their own normal form and whose one small letter takes as many bytes.
+_PLAIN = np.array([i == 32 or chr(i).isalpha() and len(chr(i).lower()) == 1 and len(chr(i).lower().encode()) == len(chr(i).encode()) for i in range(0x250)] + [False])
+_SPELL_ROW = {b: c for b, c in _SPELL.items() if b != 32}
 
 
 def single_marks(b: np.ndarray, white: np.ndarray) -> np.ndarray:
@@ -45,6 +50,22 @@ def single_marks(b: np.ndarray, white: np.ndarray) -> np.ndarray:
     return out
 
 
+def last_marks(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the run of ASCII marks that ends a word begins, if a Latin letter is before it: no token goes from a letter to a mark, and no mark
+    forms a character with what is beside it here. ``ends``: of the words, each behind a byte that isn't white."""
+    sign = _SIGN[b]
+    begin = np.flatnonzero(sign[1:] & ~sign[:-1]) + 1  # of every run but one at the start, which has no letter before it
+    last = ends[sign[ends - 1]] - 1
+    if not len(begin):
+        return begin
+    at = begin[np.searchsorted(begin, last[last >= begin[0]], "right") - 1]
+    before, lead = b[at - 1], b[np.maximum(at - 2, 0)]
+    two = (lead >= 0xC3) & (lead <= 0xC8) & (before >= 0x80) & (before < 0xC0) & (at > 1)  # U+00C0 to U+023F
+    sign = (lead == 0xC3) & ((before == 0x97) | (before == 0xB7))  # two of them are none
+    dotted = (lead == 0xC4) & (before == 0xB0)  # U+0130: its small form ends with a mark
+    return at[_LETTER[before] | (two & ~sign & ~dotted)]
+
+
 _made: dict[tuple[str, str], "Memo"] = {}
 
 
@@ -62,6 +83,8 @@ def memo(path: str, kind: str) -> Memo:
 
 
 class Memo:
+    share = 1  # of MOST
+
     def __init__(self, path: str):
         import os
 
@@ -107,7 +130,7 @@ class Memo:
         """Ids of the parts text[start:end] in a row, and the number of ids of each.
 
         Equal parts are found with numpy: one of up to 16 bytes is two integers. Only different parts are looked up, and only new ones learnt."""
-        if len(self.ids) > MOST:
+        if len(self.ids) > MOST * self.share:
             self.old, self.ids = self.ids, {}
         size = ends - starts
         short = np.flatnonzero(size <= 16)
@@ -231,32 +254,37 @@ class ByteMemo(Memo):
 
 
 class WordMemo(Memo):
-    """BPE with word ends whose splitting drops white space: every word stands alone."""
+    """BPE with word ends whose splitting drops white space: every word stands alone, and so does the run of marks that ends it.
 
-    def spelled(self, word: bytes) -> str | None:
-        if word.isalpha():
-            return word.lower().decode()
-        stem = word.rstrip(_MARKS)
-        marks = word[len(stem) :]
-        if stem.isalpha():
-            letters = stem.lower().decode()
-        else:
-            try:
-                letters = stem.decode("utf-8")
-            except UnicodeDecodeError:
-                return None
-            # Up to U+024F every letter is its own normal form and, but for U+0130, has one small letter.
-            if not letters.isalpha() or max(letters) > "\u024f" or "\u0130" in letters:
-                return None
-            letters = letters.lower().encode().decode("latin-1").translate(_SPELL)
-        return f"{letters} {marks.decode()}" if marks else letters
+    Its memo is twice as large: texts have more different words than it holds, and learning one again takes longest."""
 
-    def spell(self, words: list[bytes]) -> list[str | None]:
-        other = self.spelled
-        return [w.lower().decode() if w.isalpha() else other(w) for w in words]
+    share = 2
 
-    def learn_hard(self, words: list[bytes]) -> None:
-        self.ids.update(zip(words, self.bare(words)))
+    def learn(self, words: list[bytes]) -> None:
+        """Words of letters are spelled in a row, one byte a character, so that no word is handled alone but to be cut out again."""
+        rest = [w for w in words if not w.isalpha()]
+        words = [w for w in words if w.isalpha()]
+        if rest:
+            latin, hard = self.latin(rest)
+            words += latin
+            if hard:
+                self.ids.update(zip(hard, self.bare(hard)))
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            row = b" ".join(part).lower()
+            row = row.decode() if row.isascii() else row.decode().lower().encode().decode("latin-1").translate(_SPELL_ROW)
+            ids = np.array(self.plain.encode_batch_fast([row], add_special_tokens=False)[0].ids, self.type)
+            cuts = (np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))) + 1) * self.width
+            data, cuts = ids.tobytes(), cuts.tolist()
+            self.ids.update(zip(part, map(data.__getitem__, map(slice, [0, *cuts], cuts))))
+
+    def latin(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Words of the letters of ``_PLAIN``, and the others."""
+        row = np.frombuffer(b" ".join(words).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        other = np.zeros(len(words), bool)
+        other[(np.cumsum(row == 32))[~_PLAIN[np.minimum(row, len(_PLAIN) - 1)]]] = True
+        other = other.tolist()
+        return [w for w, x in zip(words, other) if not x], [w for w, x in zip(words, other) if x]
 
     def some(self, texts: list[bytes]) -> list[bytes]:
         text = b" ".join(texts).lower()  # A-Z alone; the library lowers all letters anyway
@@ -264,8 +292,8 @@ class WordMemo(Memo):
             return [b""] * len(texts)
         b = np.frombuffer(text, np.uint8)
         edge = np.flatnonzero(np.diff(_WHITE[b], prepend=True, append=True))
-        mark = np.flatnonzero(single_marks(b, _WHITE))
-        starts, ends = np.sort(np.append(edge[::2], mark)), np.sort(np.append(edge[1::2], mark))
+        mark = last_marks(b, edge[1::2])
+        starts, ends = np.sort(np.append(edge[::2], mark), kind="stable"), np.sort(np.append(edge[1::2], mark), kind="stable")
         ids, n = self.join(text, starts, ends)
         data, total = ids.tobytes(), np.append(0, np.cumsum(n))
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
