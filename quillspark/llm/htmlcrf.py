@@ -7,17 +7,20 @@ hidden, and of its text (length, share of links and buttons, marks, stop phrases
 the exact conditional likelihood (forward-backward), on labelled pages that :func:`labelled_pages` writes from templates with random parts, and
 decodes by Viterbi. Training takes some seconds on the driver, once a session, is deterministic, and needs no page of the input.
 
-Time is linear in the page: a tag that the page's end cuts off, a quote or a raw element that is never closed are each searched for once, and a block
-takes its ancestors' features from sets that follow the stack and hold only what the model knows.
+Time is linear in the page: a tag that the page's end cuts off, a quote or a raw element that is never closed are each searched for once, and a block's
+ancestors are one :class:`Context`, which holds only what the model knows and is shared by all blocks and pages that have the same. A block's score is the sum
+of its context's and of that of what its text and place say; each is summed once from the named features. Stop phrases are searched for in the page's whole text.
 
 Defined cases: null or empty html, or no main block: empty text; equal rows get equal results; both labels equally likely: other; broken markup never fails (a stray < is text, open elements
 end with the page, but a raw element other than a script or style that is never closed hides
-nothing); an empty table gives an empty result; extra columns don't matter; pages of any length are handled whole."""
+nothing; a reference to a number of any length is decoded); an empty table gives an empty result; extra columns don't matter; pages of any length are handled whole."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
+import itertools
 import random
 import re
 
@@ -25,10 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*>)?")  # the whole tag if it has no quotes
+# The whole tag if its quotes are values without < and >; the start of a comment or declaration. Nothing is tried twice (*+, ?+).
+_TAG = re.compile(r"""<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"'=]*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+')?+)*+[^<>"'=]*+>)?+|[!?])""")
 _TO_VALUE = re.compile(r"[^>=]*")
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one attribute after the other, whatever its name
-_SPACE = re.compile(r"\s+")
+_REFERENCE = re.compile(r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?))")
+_DIGIT = re.compile("[0-9]")
 _NAME = re.compile(r"[a-z]+", re.I)
 # HTML element groups.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -41,6 +46,7 @@ NESTED = frozenset("svg canvas object audio video template".split())  # raw elem
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 HOLDS_P = frozenset(("td", "th", "button", "object"))  # a paragraph outside of these is not ended from within
+_COUNTED = HIDDEN | HOLDS_P | {"p"}  # what the scanner keeps places or numbers of
 
 
 def _attributes(rest: str) -> tuple[list[tuple[str, str]], bool]:
@@ -90,17 +96,19 @@ class _Tokens:
     def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
         """(start, end, slash, tag in lower case or "", attributes) of the first tag, comment or declaration from ``pos`` on."""
         page = self.page
-        while (pos := page.find("<", pos)) >= 0:
-            if m := _TAG.match(page, pos):
-                if m[3]:
-                    return pos, m.end(), m[1], m[2].lower(), m[3][:-1]
-                end = self.close_of(m.end())
-                if end >= 0:
-                    return pos, end + 1, m[1], m[2].lower(), page[m.end() : end]
+        while m := _TAG.search(page, pos):
+            slash, tag, rest = m.groups()
+            pos, end = m.span()
+            if rest:
+                return pos, end, slash, tag.lower(), rest[:-1]
+            if tag:
+                at = self.close_of(end)
+                if at >= 0:
+                    return pos, at + 1, slash, tag.lower(), page[end:at]
             elif page.startswith("<!--", pos):
                 end = self.find("-->", pos + 4)
                 return pos, end + 3 if end >= 0 else self.size, "", "", ""
-            elif page.startswith(("<!", "<?"), pos):
+            else:
                 end = self.find(">", pos)
                 if end >= 0:
                     return pos, end + 1, "", "", ""
@@ -135,178 +143,261 @@ class _Tokens:
         return self.of.get(pos)
 
 
+class Context:
+    """What a block's ancestors say: tags of the two nearest block elements, tags and names of all, names of the two nearest. ``score`` is for the model."""
+
+    __slots__ = ("tags", "inside", "names", "own", "near", "framed", "score")
+
+    def __init__(self, tags: tuple = (), inside: tuple = (), names: tuple = (), own: tuple = (), near: tuple = ()):
+        self.tags, self.inside, self.names, self.own, self.near = tags, inside, names, own, near
+        self.framed = "content" if "article" in inside or "main" in inside else "page"
+        self.score: tuple[float, float] | None = None
+
+    def features(self) -> list[str]:
+        tags = self.tags
+        f = ["bias", f"tag={tags[0] if tags else '-'}", f"up={tags[1] if len(tags) > 1 else '-'}"]
+        f += [f"in={t}" for t in self.inside]
+        f += [f"name={w}" for w in self.names]
+        f += [f"near={w}" for w in dict.fromkeys(self.near)]
+        if "!hidden" in self.names:
+            f.append(f"hidden in {self.framed}")
+        return f
+
+
+class Contexts:
+    """Contexts and the steps between them. Pages share them, as few differ; a page that has more than ``most`` begins anew, and needs no more memory."""
+
+    def __init__(self, known: frozenset | None = None, most: int = 4096):
+        self.known, self.most = known, most
+        self.top = Context()
+        self.all: dict[tuple, Context] = {}
+        self.steps: dict[tuple, Context] = {}
+        self.read: dict[str, tuple] = {}
+
+    def names(self, rest: str) -> tuple:
+        """Names of a start tag's attributes that are known (None: all)."""
+        found = self.read.get(rest)
+        if found is None:
+            each: dict[str, None] = {}
+            for key, value in _attributes(rest)[0]:
+                if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+                    each["!hidden"] = None
+                elif key in ("class", "id", "role", "itemprop", "aria-label"):
+                    each |= dict.fromkeys(_NAME.findall(value))
+            found = tuple(w for w in each if self.known is None or w in self.known)
+            if len(rest) <= 100:  # what is kept is short
+                if len(self.read) >= self.most:
+                    self.read.clear()
+                self.read[rest] = found
+        return found
+
+    def step(self, c: Context, tag: str, names: tuple) -> Context:
+        """The context inside a block element that stands in ``c``."""
+        found = self.steps.get((c, tag, names))
+        if found is None:
+            if len(self.steps) >= self.most:
+                self.steps.clear()
+                self.all.clear()
+            inside = c.inside if tag in c.inside else (*c.inside, tag)
+            key = ((tag, *c.tags[:1]), inside, tuple(dict.fromkeys(c.names + names)) if names else c.names, names, c.own + names)
+            found = self.steps[c, tag, names] = self.all.get(key) or self.all.setdefault(key, Context(*key))
+        return found
+
+
 class Block:
-    """Text; characters of it in links and in buttons; tags of the two nearest block elements; tags and names of all, names of the two nearest."""
-
-    __slots__ = ("text", "linked", "pressed", "tags", "inside", "names", "near")
-
-    def __init__(self, text: str, linked: int, pressed: int, tags: tuple, inside: tuple, names: tuple, near: tuple):
-        self.text, self.linked, self.pressed, self.tags, self.inside, self.names, self.near = text, linked, pressed, tags, inside, names, near
-
-
-class _Stack:
-    """Open elements, with what a block asks of them kept up to date."""
-
-    def __init__(self):
-        self.tags: list[str] = []
-        self.own: list[tuple] = []  # names of each
-        self.blocks: list[int] = []  # places of block elements, of paragraphs, of what holds paragraphs
-        self.paragraphs: list[int] = []
-        self.holders: list[int] = []
-        self.open: dict[str, int] = {}
-        self.inside: dict[str, int] = {}  # tags and names of block elements, counted
-        self.names: dict[str, int] = {}
-        self.hidden = 0
-
-    def push(self, tag: str, names: tuple) -> None:
-        at = len(self.tags)
-        self.tags.append(tag)
-        self.own.append(names)
-        self.open[tag] = self.open.get(tag, 0) + 1
-        self.hidden += tag in HIDDEN
-        if tag in BLOCK:
-            self.blocks.append(at)
-            self.inside[tag] = self.inside.get(tag, 0) + 1
-            for w in names:
-                self.names[w] = self.names.get(w, 0) + 1
-            if tag == "p":
-                self.paragraphs.append(at)
-        if tag in HOLDS_P:
-            self.holders.append(at)
-
-    def pop(self) -> str:
-        tag, names = self.tags.pop(), self.own.pop()
-        at = len(self.tags)
-        self.open[tag] -= 1
-        self.hidden -= tag in HIDDEN
-        for places in (self.blocks, self.paragraphs, self.holders):
-            if places and places[-1] == at:
-                places.pop()
-        if tag in BLOCK:
-            for counted, keys in ((self.inside, (tag,)), (self.names, names)):
-                for w in keys:
-                    counted[w] -= 1
-                    if not counted[w]:
-                        del counted[w]
-        return tag
+    """Text; number of words; characters of it in links and in buttons; where it stands."""
+
+    __slots__ = ("text", "words", "linked", "pressed", "context")
 
-    def pop_to(self, size: int) -> None:
-        while len(self.tags) > size:
-            self.pop()
+    def __init__(self, text: str, words: int, linked: int, pressed: int, context: Context):
+        self.text, self.words, self.linked, self.pressed, self.context = text, words, linked, pressed, context
 
-    def top(self) -> str:
-        return self.tags[-1] if self.tags else ""
+    @property
+    def names(self) -> tuple:
+        return self.context.names
 
 
-def blocks(page: str, known: frozenset | None = None) -> list[Block]:
-    """Leaf blocks with text, in page order. Names of attributes that aren't ``known`` are left out (None: none are)."""
+@functools.lru_cache(maxsize=1024)
+def _decoded(reference: str) -> str:
+    try:
+        return html.unescape(reference)
+    except ValueError:  # more digits than int() takes; past the last character nine say as much
+        return html.unescape(f"&#{reference[2:].strip(';').lstrip('0')[:9] or 0};")
+
+
+def _unescape(text: str) -> str:
+    """As html.unescape; each reference is looked up."""
+    out = _REFERENCE.split(text)
+    out[1::2] = [_decoded(x) if len(x) < 40 else _decoded.__wrapped__(x) for x in out[1::2]]  # what is kept is short
+    return "".join(out)
+
+
+def blocks(page: str, contexts: Contexts | None = None) -> list[Block]:
+    """Leaf blocks with text, in page order, with names of attributes as ``contexts`` know them (None: all)."""
+    contexts = contexts or Contexts()
     out: list[Block] = []
-    stack, tokens = _Stack(), _Tokens(page)
+    tokens = _Tokens(page)
+    tags: list[str] = []  # open elements
+    places: list[Context] = [contexts.top]  # outside of all, and inside each
+    paragraphs: list[int] = []  # places of paragraphs, of what holds paragraphs
+    holders: list[int] = []
+    opened: dict[str, int] = {"a": 0, "button": 0, "head": 0}
     parts: list[str] = []
-    linked = pressed = 0
+    hidden = linked = pressed = 0
 
     def close() -> None:
         nonlocal linked, pressed
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = "".join(parts)
             parts.clear()
-            if text:
-                last = stack.blocks[-2:]
-                out.append(Block(text, linked, pressed, tuple(stack.tags[i] for i in reversed(last)), tuple(stack.inside), tuple(stack.names), tuple(w for i in last for w in stack.own[i])))
-        linked = pressed = 0
+            words = (_unescape(text) if "&" in text else text).split()
+            if words:
+                out.append(Block(" ".join(words), len(words), linked, pressed, places[-1]))
+            linked = pressed = 0
 
     def add(text: str) -> None:
         nonlocal linked, pressed
-        if text and not stack.hidden:
+        if not hidden:
             parts.append(text)
-            if stack.open.get("a"):
+            if opened["a"]:
                 linked += len(text)
-            if stack.open.get("button"):
+            if opened["button"]:
                 pressed += len(text)
 
+    def pop() -> str:
+        nonlocal hidden
+        tag = tags.pop()
+        places.pop()
+        opened[tag] -= 1
+        if tag in _COUNTED:
+            hidden -= tag in HIDDEN
+            for at in (paragraphs, holders):
+                if at and at[-1] == len(tags):
+                    at.pop()
+        return tag
+
     pos, size = 0, len(page)
     while m := tokens.next(pos):
         start, end, slash, tag, rest = m
-        add(page[pos:start])
+        if start > pos:
+            add(page[pos:start])
         pos = end
         if not tag:
             continue
         if slash:
-            if stack.open.get(tag):
+            if opened.get(tag):
                 if tag in BLOCK:
                     close()
-                while stack.pop() != tag:
+                while pop() != tag:
                     pass
             continue
-        if tag in BLOCK:
+        block = tag in BLOCK
+        if block:
             close()
-        if stack.open.get("head") and tag not in OF_HEAD:
-            while stack.pop() != "head":
+        if opened["head"] and tag not in OF_HEAD:
+            while pop() != "head":
                 pass
-        while stack.top() in CONTROL and tag not in CONTROL:
-            stack.pop()
+        while tags and tags[-1] in CONTROL and tag not in CONTROL:
+            pop()
         if tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        if tag in CLOSES_P and stack.paragraphs and (not stack.holders or stack.holders[-1] < stack.paragraphs[-1]):
-            stack.pop_to(stack.paragraphs[-1])
-        if tag in SELF_CLOSING and stack.top() in SELF_CLOSING[tag]:
-            stack.pop()
-            while tag in ("tr", "dd", "dt") and stack.top() in SELF_CLOSING[tag]:
-                stack.pop()
-        names: dict[str, None] = {}
-        attributes, closed = _attributes(rest)
-        for key, value in attributes:
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                names["!hidden"] = None
-            elif key in ("class", "id", "role", "itemprop", "aria-label"):
-                names |= dict.fromkeys(_NAME.findall(value))
+        if paragraphs and tag in CLOSES_P and (not holders or holders[-1] < paragraphs[-1]):
+            to = paragraphs[-1]
+            while len(tags) > to:
+                pop()
+        if tag in SELF_CLOSING and tags and tags[-1] in SELF_CLOSING[tag]:
+            pop()
+            while tag in ("tr", "dd", "dt") and tags and tags[-1] in SELF_CLOSING[tag]:
+                pop()
         if tag in RAW:  # its content makes no text; without an end tag only scripts and styles go on to the end
-            if not (tag == "svg" and closed):
+            if not (tag == "svg" and _attributes(rest)[1]):
                 end = tokens.nested(pos) if tag in NESTED else tokens.first(tag, pos)
                 pos = end or (size if tag in ("script", "style") else pos)
-        else:
-            stack.push(tag, tuple(w for w in names if known is None or w in known))
-    add(page[pos:])
+            continue
+        if tag in _COUNTED:
+            hidden += tag in HIDDEN
+            if tag == "p":
+                paragraphs.append(len(tags))
+            if tag in HOLDS_P:
+                holders.append(len(tags))
+        tags.append(tag)
+        places.append(contexts.step(places[-1], tag, contexts.names(rest) if rest else ()) if block else places[-1])
+        opened[tag] = opened.get(tag, 0) + 1
+    if pos < size:
+        add(page[pos:])
     close()
     return out
 
 
-_STOP = re.compile(r"cookie|subscri|newsletter|sign ?(?:up|in)|log ?in|copyright|©|all rights|privacy|terms of|advert|sponsor|read more|share (?:this|on)|follow us|related|comment|repl(?:y|ies)|posted by|©|impressum|datenschutz|menu|next page|previous|home page", re.I)
+# In lower case; none can reach over the line ends between blocks.
+STOP = tuple("cookie,subscri,newsletter,sign in,sign up,signin,signup,log in,login,copyright,©,all rights,privacy,terms of,advert,sponsor,read more,share this,share on,follow us,related,comment,reply,replies,posted by,impressum,datenschutz,menu,next page,previous,home page".split(","))
 
 
-def features(found: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def _lower(text: str) -> str:
+    """In lower case, of the same length; letters as re.IGNORECASE takes them."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return text.lower()
+
+
+def _stopped(found: list[Block]) -> list[bool]:
+    """Which blocks hold a phrase of ``STOP``, each searched for in the whole page at once."""
+    hit = [False] * len(found)
+    page = _lower("\n".join([b.text for b in found]))
+    starts = [0, *itertools.accumulate(len(b.text) + 1 for b in found)]
+    for phrase in STOP:
+        at = page.find(phrase)
+        while at >= 0:
+            i = bisect.bisect_right(starts, at)
+            hit[i - 1] = True
+            at = page.find(phrase, starts[i])
+    return hit
+
+
+def _signs(found: list[Block]) -> list[tuple]:
+    """What each block's text and place in the page say; there are some thousand different ones."""
     out, n = [], len(found)
-    h1 = next((i for i, b in enumerate(found) if b.tags and b.tags[0] == "h1"), None)
-    for i, b in enumerate(found):
-        text, size = b.text, len(b.text)
-        words = text.count(" ") + 1
-        f = ["bias", f"tag={b.tags[0] if b.tags else '-'}", f"up={b.tags[1] if len(b.tags) > 1 else '-'}"]
-        f += [f"in={t}" for t in b.inside]
-        f += [f"name={w}" for w in b.names]
-        f += [f"near={w}" for w in set(b.near)]
-        framed = "content" if "article" in b.inside or "main" in b.inside else "page"
-        if "!hidden" in b.names:
-            f.append(f"hidden in {framed}")
-        f.append(f"words={min(6, words.bit_length())}")
-        share = b.linked / max(1, size)
-        f.append(f"links={0 if share < 0.05 else 1 if share < 0.4 else 2 if share < 0.9 else 3}")
-        if b.pressed:
-            f.append(f"buttons={0 if b.pressed < 0.4 * size else 1 if b.pressed < 0.9 * size else 2}")
-        f.append(f"end={'.' if text[-1] in '.!?…。' else ':' if text[-1] in ':;,' else '-'}")
-        if _STOP.search(text):
-            f += [f"stop={min(3, words.bit_length() // 2)}", f"stop in {framed}"]
-        if size < 60 and any(c.isdigit() for c in text):
-            f.append("digits")
-        if h1 is not None:
-            f.append("h1=" + ("before" if i < h1 else "at" if i == h1 else "after"))
-        f.append("first" if i == 0 else "last" if i == n - 1 else "inner")
-        out.append(f)
+    h1 = next((i for i, b in enumerate(found) if b.context.tags[:1] == ("h1",)), None)
+    for i, (b, stop) in enumerate(zip(found, _stopped(found))):
+        text, size, pressed, share = b.text, len(b.text), b.pressed, b.linked / len(b.text)
+        out.append(
+            (
+                min(6, b.words.bit_length()),
+                0 if share < 0.05 else 1 if share < 0.4 else 2 if share < 0.9 else 3,
+                None if not pressed else 0 if pressed < 0.4 * size else 1 if pressed < 0.9 * size else 2,
+                "." if text[-1] in ".!?…。" else ":" if text[-1] in ":;," else "-",
+                b.context.framed if stop else None,
+                size < 60 and bool(_DIGIT.search(text) if text.isascii() else any(map(str.isdigit, text))),
+                None if h1 is None else "before" if i < h1 else "at" if i == h1 else "after",
+                "first" if i == 0 else "last" if i == n - 1 else "inner",
+            )
+        )
     return out
 
 
+def _of_sign(sign: tuple) -> list[str]:
+    words, links, buttons, end, stop, digits, h1, place = sign
+    f = [f"words={words}", f"links={links}"]
+    if buttons is not None:
+        f.append(f"buttons={buttons}")
+    f.append(f"end={end}")
+    if stop:
+        f += [f"stop={words // 2}", f"stop in {stop}"]
+    if digits:
+        f.append("digits")
+    if h1:
+        f.append(f"h1={h1}")
+    f.append(place)
+    return f
+
+
+def features(found: list[Block]) -> list[list[str]]:
+    """Names of the features that hold for each block."""
+    return [b.context.features() + _of_sign(s) for b, s in zip(found, _signs(found))]
+
+
 class Crf:
     """Two labels (0 other, 1 main); weights of features by label and of label pairs."""
 
@@ -314,16 +405,34 @@ class Crf:
         self.names = names
         self.known = frozenset(f.partition("=")[2] for f in names if f.startswith(("name=", "near=")))
         self.w, self.t = np.zeros((len(names), 2)), np.zeros((2, 2))
+        self.contexts, self.of_sign = Contexts(self.known), {}
+
+    def sum(self, row: list[str]) -> tuple[float, float]:
+        a, b = self.w[[k for k in map(self.names.get, row) if k is not None]].sum(0).tolist()
+        return a, b
+
+    def of(self, found: list[Block]) -> list[tuple[float, float]]:
+        """Scores of blocks in this model's contexts: those of their features, as :func:`features` names them, but each context and sign is summed once."""
+        out, signs = [], self.of_sign
+        for b, sign in zip(found, _signs(found)):
+            c = b.context.score
+            if c is None:
+                c = b.context.score = self.sum(b.context.features())
+            s = signs.get(sign)
+            if s is None:
+                s = signs[sign] = self.sum(_of_sign(sign))
+            out.append((c[0] + s[0], c[1] + s[1]))
+        return out
 
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         get, w = self.names.get, self.w
         return np.array([w[[k for k in map(get, r) if k is not None]].sum(0) for r in rows]).reshape(-1, 2)
 
-    def viterbi(self, s: np.ndarray) -> list[int]:
+    def viterbi(self, s: np.ndarray | list[tuple[float, float]]) -> list[int]:
         if not len(s):
             return []
-        t, best, back = self.t.tolist(), s[0].tolist(), []
-        for a, b in s[1:].tolist():
+        t, best, back = self.t.tolist(), s[0], []
+        for a, b in s[1:]:
             p, q = best[0] + t[0][0], best[1] + t[1][0]
             u, v = best[0] + t[0][1], best[1] + t[1][1]
             back.append((int(q > p), int(v > u)))
@@ -510,7 +619,7 @@ def label(page: str, main: list[str]) -> tuple[list[Block], list[int]]:
     """Blocks of a generated page; main are those that carry the article's texts, in order."""
     found, y, k = blocks(page), [], 0
     for b in found:
-        hit = k < len(main) and b.text == _SPACE.sub(" ", main[k]).strip()
+        hit = k < len(main) and b.text == " ".join(main[k].split())
         y.append(int(hit))
         k += hit
     return found, y
@@ -526,8 +635,8 @@ def model(n: int = 600, seed: int = 9) -> Crf:
 
 
 def extract(page: str | None, crf: Crf) -> str:
-    found = blocks(page or "", crf.known)
-    return "\n".join(b.text for b, y in zip(found, crf.viterbi(crf.scores(features(found)))) if y)
+    found = blocks(page or "", crf.contexts)
+    return "\n".join([b.text for b, y in zip(found, crf.viterbi(crf.of(found))) if y])
 
 
 def report(pages: DataFrame) -> DataFrame:
